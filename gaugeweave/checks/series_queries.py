@@ -163,7 +163,7 @@ UNIT = {"sample": ("INTERVAL 1 HOUR", 24), "hour": ("INTERVAL 1 DAY", 10), "day"
 def ticks_sql(grain, source="summary"):
     unit, limit = UNIT[grain]
     return (
-        f"tick AS (SELECT host, ts_min, ts_max, CAST(n AS INTEGER) AS n, {BASE[grain]} + n * {unit} AS at "
+        f"tick AS (SELECT host, ts_min, ts_max, CAST(n AS INTEGER) AS n, {BASE[grain]} + n * {unit} AS tick_ts "
         f"FROM {source}, range(0, {limit + 1}) AS numbers(n) "
         f"WHERE {BASE[grain]} + n * {unit} BETWEEN ts_min AND ts_max)"
     )
@@ -180,7 +180,7 @@ def order_summary(spark, sf):
 
 
 def _tick_queries(key, grain, of, ctes):
-    @FAMILY.add(f"d7_ticks_{key}", f"WITH {ctes}, {ticks_sql(grain.name)} SELECT host, n, at FROM tick")
+    @FAMILY.add(f"d7_ticks_{key}", f"WITH {ctes}, {ticks_sql(grain.name)} SELECT host, n, tick_ts FROM tick")
     def tick_query(spark, sf):
         return ticks(of(spark, sf), grain)
 
@@ -190,13 +190,13 @@ _tick_queries("hour", HOUR, lambda s, d: summary_of(s, d, HOUR), summary_sql("ho
 _tick_queries("week", DAY, order_summary, ORDER_SUMMARY)
 
 ORDINAL = (
-    "CAST(day(at) AS VARCHAR) || CASE WHEN day(at) IN (11, 12, 13) THEN 'th' WHEN day(at) % 10 = 1 THEN 'st' "
-    "WHEN day(at) % 10 = 2 THEN 'nd' WHEN day(at) % 10 = 3 THEN 'rd' ELSE 'th' END"
+    "CAST(day(tick_ts) AS VARCHAR) || CASE WHEN day(tick_ts) IN (11, 12, 13) THEN 'th' WHEN day(tick_ts) % 10 = 1 THEN 'st' "
+    "WHEN day(tick_ts) % 10 = 2 THEN 'nd' WHEN day(tick_ts) % 10 = 3 THEN 'rd' ELSE 'th' END"
 )
 LABEL = {
-    "sample": "CASE hour(at) % 4 WHEN 0 THEN strftime(at, '%H:00') WHEN 2 THEN ' ' ELSE '' END",
+    "sample": "CASE hour(tick_ts) % 4 WHEN 0 THEN strftime(tick_ts, '%H:00') WHEN 2 THEN ' ' ELSE '' END",
     "hour": ORDINAL,
-    "day": "lower(strftime(at, '%b %-d'))",
+    "day": "lower(strftime(tick_ts, '%b %-d'))",
 }
 SPAN_UNIT = {"sample": "minute", "hour": "hour", "day": "day"}
 LEAD = {

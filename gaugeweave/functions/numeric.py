@@ -19,14 +19,14 @@ def ratio_units(num: Column, den: Column, units: int) -> Column:
     """``num / den`` in whole ``1/units`` steps, half away from zero, as a long.
 
     The quotient and the remainder are scaled apart, so ``num`` may use the full 64-bit range while
-    ``den`` stays below ``2**62 / units``.
+    ``den`` stays below ``2**62 / units``. One guard covers a zero divisor, and half a step is added
+    with the sign of ``num`` before a division that truncates: short code, for plans with hundreds of
+    such columns.
     """
-    n, d = num.cast("long"), F.nullif(den.cast("long"), F.lit(0))
-    top, bottom = F.abs(n), F.abs(d)
-    whole = div(top, bottom) * F.lit(units)
-    part = div((top % bottom) * F.lit(2 * units) + bottom, bottom * F.lit(2))
-    size = whole + part
-    return F.when((n < 0) != (d < 0), -size).otherwise(size)
+    n, d = num.cast("long"), den.cast("long")
+    half = F.when(n < 0, -F.abs(d)).otherwise(F.abs(d))
+    part = div((n % d) * F.lit(2 * units) + half, d * F.lit(2))
+    return F.when(d != 0, div(n, d) * F.lit(units) + part)
 
 
 def round_ratio(num: Column, den: Column, digits: int, times: int = 1) -> Column:

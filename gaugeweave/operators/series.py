@@ -49,16 +49,16 @@ TICK_SECONDS = {"HOUR": 3600, "DAY": 86400, "WEEK": 604800}
 
 
 def _tick_array(grain: Grain) -> Column:
-    """Ticks inside the span as an array of (n, at); at most ``tick_limit`` + 1 candidates."""
+    """Ticks inside the span as an array of (n, tick_ts); at most ``tick_limit`` + 1 candidates."""
     low, high = F.col("ts_min").cast(NTZ), F.col("ts_max").cast(NTZ)
     base, step = tick_base(low, grain), TICK_SECONDS[grain.tick]
 
     def at(n: Column) -> Column:
         moved = (base + F.make_dt_interval(secs=n * F.lit(step))).cast(NTZ)
-        return F.struct(n.alias("n"), moved.alias("at"))
+        return F.struct(n.alias("n"), moved.alias("tick_ts"))
 
     every = F.transform(F.sequence(F.lit(0), F.lit(grain.tick_limit)), at)
-    return F.filter(every, lambda t: (t["at"] >= low) & (t["at"] <= high))
+    return F.filter(every, lambda t: (t["tick_ts"] >= low) & (t["tick_ts"] <= high))
 
 
 def ticks(summary: DataFrame, grain: Grain) -> DataFrame:
@@ -128,7 +128,7 @@ def axis_labels(summary: DataFrame, grain: Grain, as_of: Column) -> DataFrame:
         "host",
         F.coalesce(fixed(F.col("_step") / 100, 2), F.lit("")).alias("x_axis_step_size"),
         F.coalesce(fixed(F.col("_offset") / 100, 2), F.lit("")).alias("x_axis_offset"),
-        F.array_join(F.transform("_ticks", lambda t: tick_label(t["at"], grain)), "|").alias("x_axis_labels"),
+        F.array_join(F.transform("_ticks", lambda t: tick_label(t["tick_ts"], grain)), "|").alias("x_axis_labels"),
         F.array_join(F.transform("_ticks", position), ",").alias("x_axis_labels_positions"),
         title(as_of, grain).alias("chart_time_description"),
         F.lit(grain.step_seconds).alias("ts_step_seconds"),
