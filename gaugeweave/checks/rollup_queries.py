@@ -119,7 +119,7 @@ TEN = "time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '2000-01-01')"
 
 
 def averages_sql(names):
-    d = digits_of(names)
+    d = digits_of(names, CAT.custom_ids)
     return "".join(f', {mean(n, d[n])} AS "{n}"' for n in names)
 
 

@@ -29,31 +29,41 @@ def ratio_units(num: Column, den: Column, units: int) -> Column:
     return F.when(d != 0, div(n, d) * F.lit(units) + part)
 
 
-def round_ratio(num: Column, den: Column, digits: int, times: int = 1) -> Column:
-    """``ROUND(times * num / den, digits)`` as a double."""
-    return ratio_units(num, den, times * 10**digits) / F.lit(10**digits)
+def ratio_text(num: str, den: str, units: int) -> str:
+    """``ratio_units`` as SQL text. Wide plans are built from text: one parse instead of a call per node."""
+    return (
+        f"CASE WHEN ({den}) <> 0 THEN (({num}) div ({den})) * {units} + ((({num}) % ({den})) * {2 * units} + "
+        f"CASE WHEN ({num}) < 0 THEN -abs({den}) ELSE abs({den}) END) div (({den}) * 2) END"
+    )
+
+
+def round_text(num: str, den: str, digits: int, times: int = 1) -> str:
+    """``ROUND(times * num / den, digits)`` as SQL text."""
+    return f"(({ratio_text(num, den, times * 10**digits)}) / {10**digits})"
 
 
-def rate(diff: Column, seconds: Column) -> Column:
-    """Change per second with two digits."""
-    return round_ratio(diff, seconds, 2)
+def rate_text(diff: str, seconds: str) -> str:
+    """Change per second with two digits, as SQL text."""
+    return round_text(diff, seconds, 2)
 
 
-def percent(part: Column, whole: Column, digits: int = 1) -> Column:
-    return round_ratio(part, whole, digits, times=100)
+def percent_text(part: str, whole: str, digits: int = 1) -> str:
+    return round_text(part, whole, digits, times=100)
 
 
-def to_units(value: Column, digits: int) -> Column:
+def units_text(value: str, digits: int) -> str:
     """A value with at most ``digits`` decimals as a whole number of its last place."""
-    if digits == 0:
-        return F.floor(value + F.lit(0.5)).cast("long")
-    return F.floor(value * F.lit(10**digits) + F.lit(0.5)).cast("long")
+    return f"CAST(floor(({value}) * {10**digits} + 0.5D) AS BIGINT)"
 
 
-def mean(value: Column, digits: int) -> Column:
+def mean_text(value: str, digits: int) -> str:
     """Average that does not depend on the order of summation: the sum is taken in whole units."""
-    total = F.sum(to_units(value, digits))
-    return total / F.count(value) / F.lit(float(10**digits))
+    return f"(sum({units_text(value, digits)}) / count({value}) / {float(10**digits)}D)"
+
+
+def round_ratio(num: Column, den: Column, digits: int, times: int = 1) -> Column:
+    """``ROUND(times * num / den, digits)`` as a double."""
+    return ratio_units(num, den, times * 10**digits) / F.lit(10**digits)
 
 
 def _guard(cols: tuple[Column, ...], answer: Column) -> Column:

@@ -170,6 +170,13 @@ def pending(runs: DataFrame) -> DataFrame:
     )
 
 
+def newest_pending(runs: DataFrame) -> DataFrame:
+    """The state table after the last evaluation: one row per rule and host, its newest episode."""
+    newest = F.max_by(F.struct("start_id", "end_id"), F.col("start_id")).alias("_run")
+    rows = runs.groupBy("host", "alert_condition_id").agg(newest)
+    return pending(rows.select("host", "alert_condition_id", "_run.*"))
+
+
 def upsert_pending(current: DataFrame, events: DataFrame) -> DataFrame:
     """Pending rows after new events: a known rule moves its end, an unknown one starts here."""
     keys = ["host", "alert_condition_id"]
@@ -320,11 +327,11 @@ def pending_listing(view: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def condition_query(conditions: DataFrame) -> DataFrame:
-    """One row with the ordered ``rule AS condition_<id>`` list of the enabled rules."""
+    """(host, query): the ordered ``rule AS condition_<id>`` list of the enabled rules of a host."""
     part = F.concat(F.col("condition_eval"), F.lit(" AS condition_"), F.col("alert_condition_id").cast("string"))
     listed = joined(part, " ,", F.col("alert_condition_id"))
     text = F.concat(F.lit("SELECT "), listed, F.lit(" FROM sv_report_sample ORDER BY id DESC LIMIT 1;"))
-    return conditions.where(F.col("enabled")).agg(text.alias("query"))
+    return conditions.where(F.col("enabled")).groupBy("host").agg(text.alias("query"))
 
 
 def process_summary(processes: DataFrame) -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeweave.catalog import MetricCatalog
-from gaugeweave.functions.numeric import rate
-from gaugeweave.functions.timefn import elapsed
+from gaugeweave.functions.numeric import rate_text
 
 BLOCK = 65_536
 
@@ -65,23 +64,23 @@ def adjacent(samples: DataFrame, columns: Sequence[str], step: int | str = 1, bl
     rows = _in_blocks(samples, step, block)
     if step > 1:
         rows = rows.withColumn("_lane", F.pmod(F.col("id"), F.lit(step)))
-    w = Window.partitionBy(*by).orderBy("id")
-    rows = rows.select(
+    over = f"OVER (PARTITION BY {', '.join(by)} ORDER BY id)"
+    rows = rows.selectExpr(
         "*",
-        F.lag("id").over(w).alias("_prev_id"),
-        F.lag("ts").over(w).alias("prev_ts"),
-        *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns],
+        f"lag(id) {over} AS _prev_id",
+        f"lag(ts) {over} AS prev_ts",
+        *[f"lag(`{c}`) {over} AS `prev_{c}`" for c in columns],
     )
     kept = rows.where((F.col("_prev_id") == F.col("id") - step) & (F.col("_home") == F.col("_block")))
     return kept.drop("_home", "_block", "_prev_id", "_lane")
 
 
-def change(name: str, gauge: bool) -> Column:
+def change(name: str, gauge: bool) -> str:
     """Difference to the previous sample; a counter that fell was reset and counts from zero."""
-    now, before = F.col(name), F.col(f"prev_{name}")
+    now, before = f"`{name}`", f"`prev_{name}`"
     if gauge:
-        return now - before
-    return F.when(now < before, now).otherwise(now - before)
+        return f"{now} - {before}"
+    return f"CASE WHEN {now} < {before} THEN {now} ELSE {now} - {before} END"
 
 
 def delta(
@@ -98,20 +97,20 @@ def delta(
     extra = [step] if isinstance(step, str) and step not in params else []
     narrow = samples.select("host", "id", "ts", *metrics, *params, *extra)
     pairs = adjacent(narrow, metrics, step, block)
-    return pairs.select(
+    return pairs.selectExpr(
         "host",
         "id",
         "ts",
-        elapsed("SECOND", F.col("prev_ts"), F.col("ts")).alias("ts_diff_seconds"),
+        "timestampdiff(SECOND, prev_ts, ts) AS ts_diff_seconds",
         *metrics,
-        *[change(m, cat.is_gauge(m)).alias(f"{m}_diff") for m in metrics],
+        *[f"{change(m, cat.is_gauge(m))} AS `{m}_diff`" for m in metrics],
         *params,
     )
 
 
 def rates(deltas: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Add ``<metric>_psec``; works on samples and on rollups (change over summed seconds)."""
-    return deltas.withColumns({f"{m}_psec": rate(F.col(f"{m}_diff"), F.col("ts_diff_seconds")) for m in metrics})
+    return deltas.selectExpr("*", *[f"{rate_text(f'{m}_diff', 'ts_diff_seconds')} AS `{m}_psec`" for m in metrics])
 
 
 def samples_view(samples: DataFrame, cat: MetricCatalog, metrics: Sequence[str] | None = None,

@@ -172,7 +172,7 @@ def decode_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
     simple = F.col("_kind") == "s:"
     per_series = F.when(simple, F.split("_data", ",")).otherwise(F.split("_data", "\\|"))
     by_series = opened.select("*", F.posexplode(per_series).alias("_s", "_points"))
-    marks = F.when(simple, F.split("_points", "(?!^)")).otherwise(F.split("_points", ","))
+    marks = F.when(simple, F.split("_points", "(?!^)(?!$)")).otherwise(F.split("_points", ","))
     points = by_series.select("*", F.posexplode(marks).alias("i", "_mark"))
     share = (F.position(F.col("_mark"), F.lit(LEVELS)) - 1) / 61
     value = F.when(F.col("_mark") == MISSING, None).when(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeweave.catalog import DAY, HOUR, SAMPLE, Grain, MetricCatalog
-from gaugeweave.functions.numeric import mean, ratio_units, round_digits
+from gaugeweave.functions.numeric import mean_text, rate_text, ratio_text, round_digits
 from gaugeweave.functions.timefn import NTZ, elapsed, floor_hour, floor_minutes
 
 
@@ -39,34 +39,24 @@ def rollup(
     ``rate_mode`` adds rates: ``"ratio"`` divides the summed change by the summed seconds,
     ``"mean"`` averages the rates of the samples. Both round half away from zero.
     """
-    secs = F.col("ts_diff_seconds")
-    aggs = [F.min("id").alias("id"), F.sum(secs).alias("ts_diff_seconds")]
-    aggs += [F.max(m).alias(m) for m in metrics]
-    aggs += [F.sum(f"{m}_diff").alias(f"{m}_diff") for m in metrics]
-    aggs += [F.max(p).alias(p) for p in params]
+    if rate_mode not in (None, "ratio", "mean"):
+        raise ValueError(f"rate_mode {rate_mode!r}")
+    secs = "ts_diff_seconds"
+    aggs = ["min(id) AS id", f"sum({secs}) AS {secs}"]
+    aggs += [f"max(`{c}`) AS `{c}`" for c in [*metrics, *params]]
+    aggs += [f"sum(`{m}_diff`) AS `{m}_diff`" for m in metrics]
+    added: list[str] = []
     if rate_mode == "mean":
         for m in metrics:
-            cents = ratio_units(F.col(f"{m}_diff"), secs, 100)
-            aggs += [F.sum(cents).alias(f"_s_{m}"), F.count(cents).alias(f"_n_{m}")]
-    buckets = deltas.groupBy("host", bucket_start(F.col("ts"), grain).alias("ts")).agg(*aggs)
-    added: list[Column] = []
-    if rate_mode == "mean":
-        added = [(ratio_units(F.col(f"_s_{m}"), F.col(f"_n_{m}"), 1) / 100).alias(f"{m}_psec") for m in metrics]
+            cents = ratio_text(f"{m}_diff", secs, 100)
+            aggs += [f"sum({cents}) AS `_s_{m}`", f"count({cents}) AS `_n_{m}`"]
+        added = [f"({ratio_text(f'_s_{m}', f'_n_{m}', 1)}) / 100 AS `{m}_psec`" for m in metrics]
     elif rate_mode == "ratio":
-        added = [(ratio_units(F.col(f"{m}_diff"), secs, 100) / 100).alias(f"{m}_psec") for m in metrics]
-    elif rate_mode is not None:
-        raise ValueError(f"rate_mode {rate_mode!r}")
-    return buckets.select(
-        "host",
-        "id",
-        "ts",
-        bucket_end(F.col("ts"), grain).alias("end_ts"),
-        "ts_diff_seconds",
-        *metrics,
-        *[f"{m}_diff" for m in metrics],
-        *added,
-        *params,
-    )
+        added = [f"{rate_text(f'{m}_diff', secs)} AS `{m}_psec`" for m in metrics]
+    grouped = deltas.groupBy("host", bucket_start(F.col("ts"), grain).alias("ts"))
+    buckets = grouped.agg(*[F.expr(a) for a in aggs]).withColumn("end_ts", bucket_end(F.col("ts"), grain))
+    diffs = [f"`{m}_diff`" for m in metrics]
+    return buckets.selectExpr("host", "id", "ts", "end_ts", secs, *metrics, *diffs, *added, *params)
 
 
 def buckets_of(rows: DataFrame, grain: Grain) -> DataFrame:
@@ -119,14 +109,14 @@ def replace_buckets(existing: DataFrame, fresh: DataFrame, keys: Sequence[str] =
 def bucket_avg(report: DataFrame, metrics: Mapping[str, int], minutes: int = 10) -> DataFrame:
     """Averages per floor of ``minutes``; ``metrics`` maps names to their decimals."""
     return report.groupBy("host", floor_minutes(F.col("ts"), minutes).alias("ts")).agg(
-        F.max("id").alias("id"), *[mean(F.col(m), d).alias(m) for m, d in metrics.items()]
+        F.max("id").alias("id"), *[F.expr(f"{mean_text(m, d)} AS `{m}`") for m, d in metrics.items()]
     )
 
 
 def profile_24_7(report: DataFrame, metrics: Mapping[str, int]) -> DataFrame:
     """Averages per weekday (Monday is 0) and hour of the day."""
     cell = [F.weekday("ts").alias("wd"), F.hour("ts").alias("hr")]
-    return report.groupBy("host", *cell).agg(*[mean(F.col(m), d).alias(m) for m, d in metrics.items()])
+    return report.groupBy("host", *cell).agg(*[F.expr(f"{mean_text(m, d)} AS `{m}`") for m, d in metrics.items()])
 
 
 def minmax(rows: DataFrame, metrics: Sequence[str], ts: str | None = "ts") -> DataFrame:
