@@ -1,3 +1,124 @@
+"""Streams over the given tables, drained and read back."""
+
+from pyspark.sql import functions as F
+
+from gaugeweave.catalog import HOUR
+from gaugeweave.checks.alert_queries import BLOCK, CONDITIONS, ISLANDS, NAMES, host_facts
+from gaugeweave.checks.fixtures import CAT, COLUMNS, HOST, ev_samples, table
+from gaugeweave.checks.oracle import delta_sql, rollup_select, samples_sql
 from gaugeweave.checks.registry import Family
+from gaugeweave.functions.timefn import NTZ
+from gaugeweave.operators.alerts import evaluate_wide
+from gaugeweave.operators.delta import rates
+from gaugeweave.operators.report import inputs_of, report
+from gaugeweave.session import scratch_dir
+from gaugeweave.sources.tables import read_table
+from gaugeweave.streaming.alerts import OPEN_SCHEMA, EpisodeStep
+from gaugeweave.streaming.deltas import DeltaStep
+from gaugeweave.streaming.ingest import silent_hosts, unique_seconds
+from gaugeweave.streaming.rollups import RefreshStep, closed_windows
+from gaugeweave.streaming.run import each_batch, fresh_table, read_files, to_table
 
 FAMILY = Family()
+METRICS = ["com_select", "uptime", "threads_connected"]
+PARAMS = ["max_connections"]
+BATCHES = 3
+
+
+def event_stream(spark, sf, columns=()):
+    """The events file as a stream of samples."""
+    schema = table(spark, sf, "events").schema
+    events = read_files(spark, sf, schema, pattern="events.parquet")
+    picked = [f"CAST({COLUMNS[c]} AS BIGINT) AS `{c}`" for c in columns]
+    return events.selectExpr(f"{HOST} AS host", "event_id AS id", "ts", *picked)
+
+
+def staged(spark, rows):
+    """All rows as files that arrive one after the other, each file one micro-batch."""
+    path = scratch_dir(spark, "arrivals")
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    part = F.least(F.floor((F.col("id") - low) * BATCHES / (high - low + 1)), F.lit(BATCHES - 1))
+    for i in range(BATCHES):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return read_files(spark, path, rows.schema, files_per_batch=1)
+
+
+@FAMILY.add(
+    "j1_stream_ingest",
+    f"WITH {samples_sql([])} SELECT host, ts FROM samples",
+)
+def j1(spark, sf):
+    path = scratch_dir(spark, "ingested")
+    to_table(unique_seconds(event_stream(spark, sf)), path, scratch_dir(spark, "state"))
+    return spark.read.parquet(path).select("host", F.col("ts").cast(NTZ).alias("ts"))
+
+
+@FAMILY.add("j2_stream_delta", f"WITH {delta_sql(METRICS, PARAMS)} SELECT * FROM delta")
+def j2(spark, sf):
+    out, carried = fresh_table(spark, "deltas"), fresh_table(spark, "carried")
+    step = DeltaStep(CAT, METRICS, PARAMS, carried)
+    stream = staged(spark, ev_samples(spark, sf, [*METRICS, *PARAMS]))
+    each_batch(stream, lambda batch, n: out.write(step(batch, n), n) and None, scratch_dir(spark, "state"))
+    return out.all(spark)
+
+
+# Hours whose end the watermark (newest delta minus ten minutes) has passed.
+CLOSED = "SELECT * FROM rolled WHERE end_ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM delta)"
+
+
+@FAMILY.add(
+    "j3_stream_hours",
+    f"WITH {delta_sql(METRICS)}, rolled AS ({rollup_select('hour', METRICS)}) {CLOSED}",
+)
+def j3(spark, sf):
+    from gaugeweave.operators.delta import delta
+
+    source, path = scratch_dir(spark, "deltas"), scratch_dir(spark, "hours")
+    rows = delta(ev_samples(spark, sf, METRICS), CAT, METRICS, [])
+    rows.write.parquet(source)
+    stream = read_files(spark, source, rows.schema)
+    to_table(closed_windows(stream, HOUR, METRICS), path, scratch_dir(spark, "state"))
+    return spark.read.parquet(path)
+
+
+@FAMILY.add("j4_stream_refresh", f"WITH {delta_sql(METRICS, PARAMS)} {rollup_select('hour', METRICS, PARAMS)}")
+def j4(spark, sf):
+    """Batches arrive newest part first, so each later batch is late and changes stored buckets."""
+    samples, rolled = scratch_dir(spark, "samples"), scratch_dir(spark, "rolled")
+    step = RefreshStep(CAT, METRICS, PARAMS, samples, rolled, HOUR, shards=1)
+    rows = ev_samples(spark, sf, [*METRICS, *PARAMS])
+    path = scratch_dir(spark, "arrivals")
+    for late in (0, 1):
+        # Odd hours first: the even ones then come late and sit between stored samples.
+        rows.where((F.hour("ts") + 1) % 2 == late).coalesce(1).write.mode("append").parquet(path)
+    each_batch(read_files(spark, path, rows.schema, files_per_batch=1), step, scratch_dir(spark, "state"))
+    return read_table(spark, rolled)
+
+
+@FAMILY.add("j5_stream_episodes", f"WITH {ISLANDS} SELECT * FROM runs")
+def j5(spark, sf):
+    needs = inputs_of(NAMES, CAT)
+    still_open, ended, carried = (fresh_table(spark, n) for n in ("open", "ended", "carried"))
+    changes = DeltaStep(CAT, needs.metrics, needs.params, carried)
+    episodes = EpisodeStep(still_open, ended, BLOCK)
+    facts = host_facts(spark, sf)
+    last = []
+
+    def step(batch, number):
+        rows = report(rates(changes(batch, number), needs.rates), NAMES, CAT)
+        episodes(evaluate_wide(rows, CONDITIONS, facts), number)
+        last.append(number)
+
+    each_batch(staged(spark, ev_samples(spark, sf, [*needs.metrics, *needs.params])), step, scratch_dir(spark, "state"))
+    return ended.all(spark).unionByName(still_open.of(spark, max(last), OPEN_SCHEMA))
+
+
+@FAMILY.add(
+    "j6_silent_hosts",
+    f"WITH {samples_sql([])}, newest AS (SELECT host, max(ts) AS ts_last FROM ev GROUP BY host) SELECT host, ts_last "
+    "FROM newest WHERE ts_last + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)",
+)
+def j6(spark, sf):
+    path = scratch_dir(spark, "silent")
+    to_table(silent_hosts(event_stream(spark, sf)), path, scratch_dir(spark, "state"))
+    return spark.read.parquet(path)
