@@ -31,7 +31,7 @@ def os_samples(lines: DataFrame) -> DataFrame:
         return F.max(F.when(when, value)).alias(alias)
 
     first_stat = (source == "stat") & (F.col("line_no") == 0)
-    load = (token(0).try_cast("decimal(18,6)") * 1000).cast("long")
+    load = (token(0).try_cast("double") * 1000).cast("long")
     key = F.lower(F.replace(token(0), F.lit(":"), F.lit("")))
     facts = [picked(first_stat, token(i + 1).try_cast("long"), f) for i, f in enumerate(CPU_FIELDS)]
     facts.append(
