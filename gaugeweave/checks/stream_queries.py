@@ -13,11 +13,11 @@ from gaugeweave.operators.delta import rates
 from gaugeweave.operators.report import inputs_of, report
 from gaugeweave.session import scratch_dir
 from gaugeweave.sources.tables import read_table
-from gaugeweave.streaming.alerts import OPEN_SCHEMA, EpisodeStep
+from gaugeweave.streaming.alerts import EpisodeStep
 from gaugeweave.streaming.deltas import DeltaStep
 from gaugeweave.streaming.ingest import silent_hosts, unique_seconds
 from gaugeweave.streaming.rollups import RefreshStep, closed_windows
-from gaugeweave.streaming.run import each_batch, fresh_table, read_files, to_table
+from gaugeweave.streaming.run import each_batch, output_table, read_files, state_table, to_table
 
 FAMILY = Family()
 METRICS = ["com_select", "uptime", "threads_connected"]
@@ -55,7 +55,7 @@ def j1(spark, sf):
 
 @FAMILY.add("j2_stream_delta", f"WITH {delta_sql(METRICS, PARAMS)} SELECT * FROM delta")
 def j2(spark, sf):
-    out, carried = fresh_table(spark, "deltas"), fresh_table(spark, "carried")
+    out, carried = output_table(spark, "deltas"), state_table(spark, "carried")
     step = DeltaStep(CAT, METRICS, PARAMS, carried)
     stream = staged(spark, ev_samples(spark, sf, [*METRICS, *PARAMS]))
     each_batch(stream, lambda batch, n: out.write(step(batch, n), n) and None, scratch_dir(spark, "state"))
@@ -98,9 +98,10 @@ def j4(spark, sf):
 @FAMILY.add("j5_stream_episodes", f"WITH {ISLANDS} SELECT * FROM runs")
 def j5(spark, sf):
     needs = inputs_of(NAMES, CAT)
-    still_open, ended, carried = (fresh_table(spark, n) for n in ("open", "ended", "carried"))
+    ended = output_table(spark, "ended")
+    state, carried = state_table(spark, "open"), state_table(spark, "carried")
     changes = DeltaStep(CAT, needs.metrics, needs.params, carried)
-    episodes = EpisodeStep(still_open, ended, BLOCK)
+    episodes = EpisodeStep(state, ended, BLOCK)
     facts = host_facts(spark, sf)
     last = []
 
@@ -110,7 +111,7 @@ def j5(spark, sf):
         last.append(number)
 
     each_batch(staged(spark, ev_samples(spark, sf, [*needs.metrics, *needs.params])), step, scratch_dir(spark, "state"))
-    return ended.all(spark).unionByName(still_open.of(spark, max(last), OPEN_SCHEMA))
+    return ended.all(spark).unionByName(episodes.still_open(spark, max(last)))
 
 
 @FAMILY.add(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,48 +112,39 @@ def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
     """(host, alert_condition_id, start_id, end_id, fires): unbroken runs of firing samples.
 
     Runs are found per (host, block of sample numbers), one window for all rules. Only runs that
-    touch a block edge, two at most per block and rule, are then joined across blocks, so no step
-    sees the whole history of a host.
+    touch a block edge, and one mark for a block that begins quietly, are then chained across blocks:
+    three rows at most per block and rule, so no step sees the whole history of a host.
     """
     ids = condition_ids(wide)
-    rows = wide.withColumn("_block", block_of(F.col("id"), block))
-    inside = Window.partitionBy("host", "_block")
-    so_far = inside.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    whole = inside.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    quiet = {i: F.when(F.col(flag(i)), 0).otherwise(1) for i in ids}
-    entries = [
-        F.struct(
-            F.lit(i).alias("alert_condition_id"),
-            F.col(flag(i)).alias("fired"),
-            F.col(f"_before_{i}").alias("before"),
-            F.col(f"_total_{i}").alias("total"),
-        )
-        for i in ids
-    ]
-    marked = rows.select(
-        "host", "_block", "id", *[flag(i) for i in ids],
-        *[F.sum(quiet[i]).over(so_far).alias(f"_before_{i}") for i in ids],
-        *[F.sum(quiet[i]).over(whole).alias(f"_total_{i}") for i in ids],
-    ).select("host", "_block", "id", F.inline(F.array(*entries)))
-    runs = marked.where("fired").groupBy("host", "alert_condition_id", "_block", "before", "total").agg(
-        F.min("id").alias("start_id"), F.max("id").alias("end_id"), F.count(F.lit(1)).alias("fires")
+    inside = "PARTITION BY host, _block ORDER BY id"
+    rows = wide.withColumn("_block", block_of(F.col("id"), block)).selectExpr(
+        "host", "_block", "id",
+        f"lag(id) OVER ({inside}) IS NULL AS _first",
+        f"lead(id) OVER ({inside}) IS NULL AS _last",
+        *[flag(i) for i in ids],
+        *[
+            f"sum(CASE WHEN {flag(i)} THEN 0 ELSE 1 END) OVER ({inside} ROWS UNBOUNDED PRECEDING) AS _quiet_{i}"
+            for i in ids
+        ],
     )
-    order = Window.partitionBy("host").orderBy("_block")
-    blocks = rows.select("host", "_block").distinct().withColumn("_seq", F.row_number().over(order))
-    runs = runs.join(blocks, ["host", "_block"])
-    opens, closes = F.col("before") == 0, F.col("before") == F.col("total")
-    # Inner runs get a group of their own; edge runs of a rule share one and are chained there.
-    lane = F.when(opens | closes, F.lit(-1)).otherwise(F.col("start_id"))
-    runs = runs.select("*", opens.alias("_opens"), closes.alias("_closes"), lane.alias("_lane"))
-    chain = Window.partitionBy("host", "alert_condition_id", "_lane").orderBy("_seq", "start_id")
-    follows = (
-        F.col("_opens")
-        & F.lag("_closes").over(chain)
-        & (F.lag("_seq").over(chain) == F.col("_seq") - 1)
+    entries = ", ".join(
+        f"struct({i} AS alert_condition_id, {flag(i)} AS _fired, _quiet_{i} AS _quiet)" for i in ids
     )
-    numbered = runs.withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
-    numbered = numbered.withColumn("_run", F.sum("_new").over(chain))
-    return numbered.groupBy("host", "alert_condition_id", "_lane", "_run").agg(
+    fanned = rows.selectExpr("host", "_block", "id", "_first", "_last", f"inline(array({entries}))")
+    runs = fanned.where("_fired OR _first").groupBy("host", "alert_condition_id", "_block", "_fired", "_quiet").agg(
+        F.min("id").alias("start_id"),
+        F.max("id").alias("end_id"),
+        F.count_if("_fired").alias("fires"),
+        F.bool_or(F.col("_fired") & F.col("_first")).alias("_opens"),
+        F.bool_or(F.col("_fired") & F.col("_last")).alias("_closes"),
+    )
+    # Inner runs get a group of their own; edge runs and marks of a rule share one and are chained there.
+    lane = "CASE WHEN _opens OR _closes OR NOT _fired THEN -1L ELSE start_id END AS _lane"
+    chain = "PARTITION BY host, alert_condition_id, _lane ORDER BY start_id"
+    runs = runs.selectExpr("*", lane).selectExpr(
+        "*", f"CASE WHEN _opens AND coalesce(lag(_closes) OVER ({chain}), false) THEN 0 ELSE 1 END AS _new"
+    ).selectExpr("*", f"sum(_new) OVER ({chain} ROWS UNBOUNDED PRECEDING) AS _run")
+    return runs.where("_fired").groupBy("host", "alert_condition_id", "_lane", "_run").agg(
         F.min("start_id").alias("start_id"), F.max("end_id").alias("end_id"), F.sum("fires").alias("fires")
     ).drop("_lane", "_run")
 

@@ -58,11 +58,14 @@ def normalize_value(name: Column, value: Column, kind: str = "decimal(20,0)") ->
 def pivot(rows: DataFrame, names: Sequence[str], cat: MetricCatalog) -> DataFrame:
     """One wide row per snapshot. The name list is given, so no pass is spent on finding it and the
     pivot is one partial aggregation."""
-    value = normalize_value(F.col("name"), F.col("value"))
-    valued = rows.where(F.col("name").isin(*names)).withColumn("_number", value)
-    picked = [
-        F.max(F.when(F.col("name") == n, F.col("_number"))).cast(cat.type_of(n)).alias(n) for n in names
-    ]
+    name, value = F.col("name"), F.col("value")
+    # Whole numbers of 64 bits are read as such; only the few wide parameters pay for decimals.
+    number = {"long": normalize_value(name, value, "long").alias("_long")}
+    if any(cat.type_of(n) != "long" for n in names):
+        number["decimal(20,0)"] = normalize_value(name, value).alias("_decimal")
+    source = {"long": "_long", "decimal(20,0)": "_decimal"}
+    valued = rows.where(name.isin(*names)).select(*SNAPSHOT_KEYS, "name", *number.values())
+    picked = [F.max(F.when(F.col("name") == n, F.col(source[cat.type_of(n)]))).alias(n) for n in names]
     return valued.groupBy(*SNAPSHOT_KEYS).agg(*picked)
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeweave.operators.alerts import episodes
 from gaugeweave.operators.delta import BLOCK
 from gaugeweave.streaming.run import BatchTable
 
-OPEN_SCHEMA = "host string, alert_condition_id int, start_id long, end_id long, fires long"
+STATE_SCHEMA = "host string, alert_condition_id int, start_id long, end_id long, fires long, closed boolean"
 KEYS = ["host", "alert_condition_id"]
 
 
@@ -41,18 +41,19 @@ def merge_open(still_open: DataFrame, runs: DataFrame, seen: DataFrame) -> DataF
 class EpisodeStep:
     """One micro-batch of evaluated rows (wide form): ended episodes are emitted, open ones carried.
 
-    Between batches only one row per open (host, rule) is kept.
+    A batch is computed once, into the state; what it ended is copied from there. Between batches only
+    one row per open (host, rule) counts.
     """
 
-    still_open: BatchTable
+    state: BatchTable
     ended: BatchTable
     block: int = BLOCK
 
+    def still_open(self, spark: SparkSession, number: int) -> DataFrame:
+        return self.state.of(spark, number, STATE_SCHEMA).where("NOT closed").drop("closed")
+
     def __call__(self, evaluated: DataFrame, number: int) -> None:
-        spark = evaluated.sparkSession
         seen = evaluated.groupBy("host").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-        before = self.still_open.of(spark, number - 1, OPEN_SCHEMA)
-        merged = merge_open(before, episodes(evaluated, self.block), seen)
-        columns = [*KEYS, "start_id", "end_id", "fires"]
-        self.ended.write(merged.where("closed").select(*columns), number)
-        self.still_open.write(merged.where("NOT closed").select(*columns), number)
+        before = self.still_open(evaluated.sparkSession, number - 1)
+        merged = self.state.write(merge_open(before, episodes(evaluated, self.block), seen), number)
+        self.ended.write(merged.where("closed").drop("closed"), number)

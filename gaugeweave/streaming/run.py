@@ -49,13 +49,18 @@ class BatchTable:
     """A folder with one sub-folder per micro-batch.
 
     Batch N reads the state of N-1 and overwrites its own folder, so a batch that is run again after
-    a failure starts from the same state and leaves the same rows.
+    a failure starts from the same state and leaves the same rows. With ``slots`` the folders are
+    reused in turn: two are enough for state, where only the batch before is ever read.
     """
 
     path: str
+    slots: int | None = None
+
+    def _folder(self, number: int) -> str:
+        return f"{self.path}/batch={number % self.slots if self.slots else number}"
 
     def write(self, rows: DataFrame, number: int) -> DataFrame:
-        target = f"{self.path}/batch={number}"
+        target = self._folder(number)
         rows.write.mode("overwrite").parquet(target)
         return rows.sparkSession.read.schema(rows.schema).parquet(target)
 
@@ -63,11 +68,17 @@ class BatchTable:
         """Rows of a batch; empty before the first one."""
         if number < 0:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{self.path}/batch={number}")
+        return spark.read.schema(schema).parquet(self._folder(number))
 
     def all(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path).drop("batch")
 
 
-def fresh_table(spark: SparkSession, label: str) -> BatchTable:
+def output_table(spark: SparkSession, label: str) -> BatchTable:
+    """All batches are kept."""
     return BatchTable(scratch_dir(spark, label))
+
+
+def state_table(spark: SparkSession, label: str) -> BatchTable:
+    """Only the state of the last two batches is kept."""
+    return BatchTable(scratch_dir(spark, label), slots=2)
