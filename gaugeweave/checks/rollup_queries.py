@@ -78,19 +78,19 @@ def c5(spark, sf):
     return refresh(delta(samples, CAT, METRICS, PARAMS), newest, HOUR, METRICS, PARAMS)
 
 
-# A rollup that lacks the hours whose first sample number is a multiple of five.
-LACKING = "id % 5 <> 0"
+# A rollup table as an outage leaves it: nothing written since a day, and one hour missed every night.
+WRITTEN = "ts < TIMESTAMP '2024-01-25' AND hour(ts) <> 3"
 
 
 def _partial(spark, sf):
-    return rollup(deltas(spark, sf), HOUR, METRICS, PARAMS).where(LACKING)
+    return rollup(deltas(spark, sf), HOUR, METRICS, PARAMS).where(WRITTEN.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
 
 
 @FAMILY.add(
     "c6_missing_hours",
     f"WITH {DELTA}, rolled AS ({rollup_select('hour', METRICS, PARAMS)}) "
     f"SELECT DISTINCT d.host AS host, date_trunc('hour', d.ts) AS ts FROM delta d LEFT JOIN "
-    f"(SELECT * FROM rolled WHERE {LACKING}) r ON r.host = d.host AND r.ts = date_trunc('hour', d.ts) "
+    f"(SELECT * FROM rolled WHERE {WRITTEN}) r ON r.host = d.host AND r.ts = date_trunc('hour', d.ts) "
     "WHERE r.id IS NULL",
 )
 def c6(spark, sf):
@@ -99,7 +99,7 @@ def c6(spark, sf):
 
 @FAMILY.add(
     "c7_backfill",
-    f"WITH {DELTA}, rolled AS ({rollup_select('hour', METRICS, PARAMS)}) SELECT * FROM rolled WHERE NOT ({LACKING})",
+    f"WITH {DELTA}, rolled AS ({rollup_select('hour', METRICS, PARAMS)}) SELECT * FROM rolled WHERE NOT ({WRITTEN})",
 )
 def c7(spark, sf):
     return backfill(deltas(spark, sf), _partial(spark, sf), HOUR, METRICS, PARAMS)

@@ -83,9 +83,8 @@ def j3(spark, sf):
 
 @FAMILY.add("j4_stream_refresh", f"WITH {delta_sql(METRICS, PARAMS)} {rollup_select('hour', METRICS, PARAMS)}")
 def j4(spark, sf):
-    """Batches arrive newest part first, so each later batch is late and changes stored buckets."""
     samples, rolled = scratch_dir(spark, "samples"), scratch_dir(spark, "rolled")
-    step = RefreshStep(CAT, METRICS, PARAMS, samples, rolled, HOUR, shards=1)
+    step = RefreshStep(CAT, METRICS, PARAMS, samples, {HOUR: rolled}, shards=1)
     rows = ev_samples(spark, sf, [*METRICS, *PARAMS])
     path = scratch_dir(spark, "arrivals")
     for late in (0, 1):
@@ -111,7 +110,7 @@ def j5(spark, sf):
         last.append(number)
 
     each_batch(staged(spark, ev_samples(spark, sf, [*needs.metrics, *needs.params])), step, scratch_dir(spark, "state"))
-    return ended.all(spark).unionByName(episodes.still_open(spark, max(last)))
+    return ended.all(spark).unionByName(episodes.still_open(spark, max(last)).drop("ts_notified"))
 
 
 @FAMILY.add(

@@ -109,7 +109,7 @@ def alert_events(evaluated: DataFrame, existing: DataFrame | None = None) -> Dat
 
 
 def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(host, alert_condition_id, start_id, end_id, fires): unbroken runs of firing samples.
+    """(host, alert_condition_id, start_id, end_id, ts_start, ts_end, fires): unbroken runs of firing samples.
 
     Runs are found per (host, block of sample numbers), one window for all rules. Only runs that
     touch a block edge, and one mark for a block that begins quietly, are then chained across blocks:
@@ -118,7 +118,7 @@ def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
     ids = condition_ids(wide)
     inside = "PARTITION BY host, _block ORDER BY id"
     rows = wide.withColumn("_block", block_of(F.col("id"), block)).selectExpr(
-        "host", "_block", "id",
+        "host", "_block", "id", "ts",
         f"lag(id) OVER ({inside}) IS NULL AS _first",
         f"lead(id) OVER ({inside}) IS NULL AS _last",
         *[flag(i) for i in ids],
@@ -130,10 +130,12 @@ def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
     entries = ", ".join(
         f"struct({i} AS alert_condition_id, {flag(i)} AS _fired, _quiet_{i} AS _quiet)" for i in ids
     )
-    fanned = rows.selectExpr("host", "_block", "id", "_first", "_last", f"inline(array({entries}))")
+    fanned = rows.selectExpr("host", "_block", "id", "ts", "_first", "_last", f"inline(array({entries}))")
     runs = fanned.where("_fired OR _first").groupBy("host", "alert_condition_id", "_block", "_fired", "_quiet").agg(
         F.min("id").alias("start_id"),
         F.max("id").alias("end_id"),
+        F.min_by("ts", "id").alias("ts_start"),
+        F.max_by("ts", "id").alias("ts_end"),
         F.count_if("_fired").alias("fires"),
         F.bool_or(F.col("_fired") & F.col("_first")).alias("_opens"),
         F.bool_or(F.col("_fired") & F.col("_last")).alias("_closes"),
@@ -145,7 +147,11 @@ def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
         "*", f"CASE WHEN _opens AND coalesce(lag(_closes) OVER ({chain}), false) THEN 0 ELSE 1 END AS _new"
     ).selectExpr("*", f"sum(_new) OVER ({chain} ROWS UNBOUNDED PRECEDING) AS _run")
     return runs.where("_fired").groupBy("host", "alert_condition_id", "_lane", "_run").agg(
-        F.min("start_id").alias("start_id"), F.max("end_id").alias("end_id"), F.sum("fires").alias("fires")
+        F.min("start_id").alias("start_id"),
+        F.max("end_id").alias("end_id"),
+        F.min_by("ts_start", "start_id").alias("ts_start"),
+        F.max_by("ts_end", "end_id").alias("ts_end"),
+        F.sum("fires").alias("fires"),
     ).drop("_lane", "_run")
 
 
@@ -222,13 +228,14 @@ def pending_view(rows: DataFrame, conditions: DataFrame, report: DataFrame) -> D
     """Pending rows with times, elapsed minutes and whether the delay of their rule has passed."""
     start = report.select("host", F.col("id").alias("sv_report_sample_id_start"), F.col("ts").alias("ts_start"))
     end = report.select("host", F.col("id").alias("sv_report_sample_id_end"), F.col("ts").alias("ts_end"))
-    full = (
-        rows.join(conditions, "alert_condition_id")
-        .join(start, ["host", "sv_report_sample_id_start"])
-        .join(end, ["host", "sv_report_sample_id_end"])
-    )
+    timed = rows.join(start, ["host", "sv_report_sample_id_start"]).join(end, ["host", "sv_report_sample_id_end"])
+    return with_conditions(timed, conditions)
+
+
+def with_conditions(rows: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The pending view of rows that carry ``ts_start`` and ``ts_end`` themselves."""
     minutes = div(elapsed("SECOND", F.col("ts_start"), F.col("ts_end")) + 3, F.lit(60))
-    return full.select(
+    return rows.join(conditions, "alert_condition_id").select(
         "host",
         "alert_condition_id",
         "sv_report_sample_id_start",

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeweave.catalog import MetricCatalog
-from gaugeweave.functions.numeric import rate_text
+from gaugeweave.functions.numeric import div, rate_text
+from gaugeweave.functions.timefn import NTZ
+from gaugeweave.session import materialize
 
 BLOCK = 65_536
 
 
 def block_of(sample_id: Column, block: int) -> Column:
-    return F.floor(sample_id / F.lit(block)).cast("long")
+    return div(sample_id - F.pmod(sample_id, F.lit(block)), F.lit(block))
 
 
 def latest(samples: DataFrame) -> DataFrame:
@@ -96,7 +98,10 @@ def delta(
     params = cat.params_in(samples.columns) if params is None else list(params)
     extra = [step] if isinstance(step, str) and step not in params else []
     narrow = samples.select("host", "id", "ts", *metrics, *params, *extra)
-    pairs = adjacent(narrow, metrics, step, block)
+    return _changes(adjacent(narrow, metrics, step, block), cat, metrics, params)
+
+
+def _changes(pairs: DataFrame, cat: MetricCatalog, metrics: Sequence[str], params: Sequence[str]) -> DataFrame:
     return pairs.selectExpr(
         "host",
         "id",
@@ -108,6 +113,37 @@ def delta(
     )
 
 
+def delta_between(current: DataFrame, earlier: DataFrame, cat: MetricCatalog, metrics: Sequence[str],
+                  params: Sequence[str] = ()) -> DataFrame:
+    """Deltas of a few rows whose predecessors are looked up in another set of samples."""
+    before = earlier.select(
+        "host", (F.col("id") + 1).alias("id"), F.col("ts").alias("prev_ts"),
+        *[F.col(m).alias(f"prev_{m}") for m in metrics],
+    )
+    return _changes(current.select("host", "id", "ts", *metrics, *params).join(before, ["host", "id"]),
+                    cat, metrics, params)
+
+
+def delta_since(samples: DataFrame, cat: MetricCatalog, since: Column, metrics: Sequence[str],
+                params: Sequence[str] = (), lookback_days: int = 1) -> DataFrame:
+    """``delta`` of the samples from ``since`` on, without reading the whole history.
+
+    Numbers of a host rise with time, so only its first sample in the scanned range can have its
+    predecessor before that range. Such samples, from hosts silent for ``lookback_days``, are counted,
+    and only if there are any the older part is searched for just their predecessors.
+    """
+    edge = (since - F.make_dt_interval(F.lit(lookback_days))).cast(NTZ)
+    columns = ["host", "id", "ts", *metrics, *params]
+    near = samples.where(F.col("ts") >= edge).select(*columns)
+    changes = delta(near, cat, metrics, params).where(F.col("ts") >= since)
+    first = near.groupBy("host").agg(F.min_by(F.struct(*columns), F.col("id")).alias("_row")).select("_row.*")
+    alone = materialize(first.where(F.col("ts") >= since), "unpaired")
+    if alone.isEmpty():
+        return changes
+    older = samples.where(F.col("ts") < edge)
+    return changes.unionByName(delta_between(alone, older, cat, metrics, params))
+
+
 def rates(deltas: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Add ``<metric>_psec``; works on samples and on rollups (change over summed seconds)."""
     return deltas.selectExpr("*", *[f"{rate_text(f'{m}_diff', 'ts_diff_seconds')} AS `{m}_psec`" for m in metrics])

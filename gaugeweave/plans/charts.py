@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gaugeweave.catalog import CHARTS, PROFILE_METRICS, SAMPLE, Chart, Grain, MetricCatalog
-from gaugeweave.operators.delta import delta, latest, rates
+from gaugeweave.functions.timefn import NTZ
+from gaugeweave.operators.delta import delta, delta_since, latest, rates
 from gaugeweave.operators.payload import (
     Canvas,
     axis_bounds,
@@ -21,20 +23,44 @@ from gaugeweave.operators.payload import (
 )
 from gaugeweave.operators.report import digits_of, inputs_of, report
 from gaugeweave.operators.rollup import bucket_avg, minmax, minmax_long, profile_24_7, rollup
-from gaugeweave.operators.series import axis_labels, fill_gaps, recent
+from gaugeweave.operators.series import axis_labels, fill_gaps, recent, recent_from
 from gaugeweave.session import materialize
 
 
 def report_of(samples: DataFrame, grain: Grain, names: Sequence[str], cat: MetricCatalog,
-              step: int | str = 1) -> DataFrame:
-    """Report metrics at a grain, computed from samples; nothing the metrics do not read is touched."""
+              step: int | str = 1, since: Column | None = None) -> DataFrame:
+    """Report metrics at a grain, computed from samples; nothing the metrics do not read is touched.
+
+    With ``since``, the start of a bucket, older samples are not scanned either.
+    """
+    needs = inputs_of(names, cat)
+    if since is None or step != 1:
+        rows = delta(samples, cat, needs.metrics, needs.params, step)
+    else:
+        rows = delta_since(samples, cat, since, needs.metrics, needs.params)
+    return report_rows(rows, grain, names, cat)
+
+
+def report_rows(deltas: DataFrame, grain: Grain, names: Sequence[str], cat: MetricCatalog) -> DataFrame:
     needs = inputs_of(names, cat)
-    rows = delta(samples, cat, needs.metrics, needs.params, step)
-    if grain.name != SAMPLE.name:
-        rows = rollup(rows, grain, needs.metrics, needs.params)
+    rows = deltas if grain.name == SAMPLE.name else rollup(deltas, grain, needs.metrics, needs.params)
     return report(rates(rows, needs.rates), names, cat)
 
 
+def report_of_rollup(rolled: DataFrame, names: Sequence[str], cat: MetricCatalog) -> DataFrame:
+    """Report metrics of a stored hour or day rollup: the cheap way to those grains."""
+    return report(rates(rolled, inputs_of(names, cat).rates), names, cat)
+
+
+def scan_start(newest: DataFrame, grain: Grain) -> Column:
+    """Start of the day in which the earliest recent window of any host begins, as a literal.
+
+    It reaches the file scan, so folders and row groups before it are skipped.
+    """
+    first = newest.agg(F.min(recent_from(F.col("ts_latest"), grain)).alias("t")).first().t
+    return F.date_trunc("DAY", F.lit(first)).cast(NTZ)
+
+
 def recent_buckets(rows: DataFrame, newest: DataFrame, grain: Grain, names: Sequence[str],
                    cat: MetricCatalog) -> DataFrame:
     """The rows a chart draws: ten-minute averages of samples, or the rollup rows themselves."""
@@ -86,8 +112,9 @@ def chart_payloads(samples: DataFrame, grain: Grain, as_of: Column, cat: MetricC
                    charts: Sequence[Chart] = CHARTS, encoding: str = "s", step: int | str = 1) -> DataFrame:
     """All chart payloads of a grain. The small recent part is written out once and shared."""
     names = names_of(charts)
-    rows = report_of(samples, grain, names, cat, step)
-    buckets = materialize(recent_buckets(rows, latest(samples), grain, names, cat), f"recent-{grain.name}")
+    newest = materialize(latest(samples), "latest")
+    rows = report_of(samples, grain, names, cat, step, scan_start(newest, grain))
+    buckets = materialize(recent_buckets(rows, newest, grain, names, cat), f"recent-{grain.name}")
     return payloads(chart_inputs(buckets, grain, charts), as_of, charts, encoding)
 
 

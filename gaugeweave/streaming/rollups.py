@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeweave.catalog import Grain, MetricCatalog
 from gaugeweave.functions.timefn import NTZ
-from gaugeweave.operators.delta import change
+from gaugeweave.operators.delta import delta_between
 from gaugeweave.operators.ingest import append_samples
 from gaugeweave.operators.rollup import buckets_of, in_buckets, rollup
 from gaugeweave.session import materialize
-from gaugeweave.sources.tables import append_rows, read_table, upsert_buckets
+from gaugeweave.sources.tables import append_rows, upsert_buckets
 from gaugeweave.streaming.run import WATERMARK, event_time
 
 SPANS = {"sample": "10 minutes", "hour": "1 hour", "day": "1 day"}
@@ -45,60 +46,46 @@ class RefreshStep:
     metrics: Sequence[str]
     params: Sequence[str]
     samples_path: str
-    rollup_path: str
-    grain: Grain
+    rollup_paths: Mapping[Grain, str]
     lookback_days: int = 1
     shards: int = 16
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("host", "id", "ts", *self.metrics, *self.params)
+        rows = materialize(batch.select("host", "id", "ts", *self.metrics, *self.params), "arrived")
+        low = rows.agg(F.min("ts")).first()[0]
+        if low is None:
+            return
         stored = self._table(spark)
         # Written before the table changes; a repeated batch finds its seconds stored and adds nothing.
         fresh = materialize(append_samples(rows, stored), "fresh")
         append_rows(fresh, self.samples_path, self.shards)
         table = self._table(spark)
         # Of the whole batch, not of its new rows: the first attempt may have stopped after the append.
-        arrived = rows.select("host", "id", "ts")
-        low, high = arrived.agg(F.min("ts"), F.max("ts")).first()
-        if low is None:
-            return
-        after = arrived.select("host", (F.col("id") + 1).alias("id"))
+        after = rows.select("host", (F.col("id") + 1).alias("id"))
         followers = table.where(F.col("day") >= F.to_date(F.lit(low))).select("host", "id", "ts").join(
             after, ["host", "id"])
-        touched = materialize(
-            buckets_of(arrived.select("host", "ts").unionByName(followers.select("host", "ts")), self.grain), "touched")
+        changed = materialize(rows.select("host", "ts").unionByName(followers.select("host", "ts")), "changed")
+        for grain, path in self.rollup_paths.items():
+            self._refresh(table, changed, grain, path)
+
+    def _refresh(self, table: DataFrame, changed: DataFrame, grain: Grain, path: str) -> None:
+        touched = materialize(buckets_of(changed, grain), "touched")
         first, last = touched.agg(F.min("ts").cast("date"), F.max("ts").cast("date")).first()
         inside = table.where(F.col("day").between(F.lit(first), F.lit(last)))
-        current = in_buckets(inside, touched, self.grain).drop("day", "shard")
-        upsert_buckets(
-            rollup(self._changes(current, table, first), self.grain, self.metrics, self.params),
-            self.rollup_path, self.shards,
-        )
+        current = in_buckets(inside, touched, grain)
+        near_from = F.date_sub(F.lit(first), self.lookback_days)
+        deltas = self._deltas(current, table.where(F.col("day") >= near_from))
+        alone = materialize(current.join(deltas.select("host", "id"), ["host", "id"], "left_anti"), "unpaired")
+        if not alone.isEmpty():
+            deltas = deltas.unionByName(self._deltas(alone, table.where(F.col("day") < near_from)))
+        upsert_buckets(rollup(deltas, grain, self.metrics, self.params), path, self.shards)
 
-    def _table(self, spark) -> DataFrame | None:
+    def _deltas(self, current: DataFrame, earlier: DataFrame) -> DataFrame:
+        return delta_between(current, earlier, self.cat, self.metrics, self.params)
+
+    def _table(self, spark: SparkSession) -> DataFrame | None:
         try:
             return spark.read.parquet(self.samples_path)
-        except Exception:  # noqa: BLE001 - no table before the first batch
+        except AnalysisException:
             return None
-
-    def _changes(self, current: DataFrame, table: DataFrame, first) -> DataFrame:
-        near_from = F.date_sub(F.lit(first), self.lookback_days)
-        near = self._pairs(current, table.where(F.col("day") >= near_from))
-        near_keys = near.select("host", "id")
-        lost = materialize(current.join(near_keys, ["host", "id"], "left_anti"), "unpaired")
-        if lost.isEmpty():
-            return near
-        return near.unionByName(self._pairs(lost, table.where(F.col("day") < near_from)))
-
-    def _pairs(self, current: DataFrame, earlier: DataFrame) -> DataFrame:
-        before = earlier.select(
-            "host", (F.col("id") + 1).alias("id"), F.col("ts").alias("prev_ts"),
-            *[F.col(m).alias(f"prev_{m}") for m in self.metrics])
-        return current.join(before, ["host", "id"]).selectExpr(
-            "host", "id", "ts", "timestampdiff(SECOND, prev_ts, ts) AS ts_diff_seconds", *self.metrics,
-            *[f"{change(m, self.cat.is_gauge(m))} AS `{m}_diff`" for m in self.metrics], *self.params)
-
-
-def read_rollup(spark, path: str) -> DataFrame:
-    return read_table(spark, path)

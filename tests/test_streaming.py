@@ -1,6 +1,6 @@
 import random
 
-from gaugeweave.catalog import HOUR, MetricCatalog
+from gaugeweave.catalog import DAY, HOUR, MetricCatalog
 from gaugeweave.operators.delta import delta
 from gaugeweave.operators.rollup import rollup
 from gaugeweave.session import scratch_dir
@@ -21,11 +21,13 @@ def test_refresh_with_late_and_repeated_batches(spark, make):
         rows.append(("a" if i % 3 else "b", i // 3 if i % 3 == 0 else i, at, rng.randrange(500)))
     arrivals = rows[:]
     rng.shuffle(arrivals)
-    step = RefreshStep(CAT, ["com_select"], [], scratch_dir(spark, "s"), scratch_dir(spark, "r"), HOUR, shards=1)
+    paths = {HOUR: scratch_dir(spark, "hours"), DAY: scratch_dir(spark, "days")}
+    step = RefreshStep(CAT, ["com_select"], [], scratch_dir(spark, "s"), paths, shards=1)
     for n in range(4):
         batch = make(arrivals[n * 30 : (n + 1) * 30], "com_select")
         step(batch, n)
         if n == 2:
             step(batch, n)
-    want = rollup(delta(make(rows, "com_select"), CAT, ["com_select"], []), HOUR, ["com_select"])
-    assert rows_of(read_table(spark, step.rollup_path), *COLUMNS) == rows_of(want, *COLUMNS)
+    deltas = delta(make(rows, "com_select"), CAT, ["com_select"], [])
+    for grain, path in paths.items():
+        assert rows_of(read_table(spark, path), *COLUMNS) == rows_of(rollup(deltas, grain, ["com_select"]), *COLUMNS)
