@@ -178,15 +178,13 @@ def c12(spark, sf):
 
 @FAMILY.add(
     "c13_ordered_concat",
-    "SELECT o_custkey, string_agg(o_orderstatus || CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderdate, o_orderkey) "
-    "AS orders FROM orders GROUP BY o_custkey",
+    f"WITH {DELTA}, rolled AS ({rollup_select('hour', METRICS, PARAMS)}) SELECT host, CAST(ts AS DATE) AS day, "
+    "string_agg(hour(ts) || ':' || com_select_diff, '|' ORDER BY ts) AS changes FROM rolled GROUP BY host, CAST(ts AS DATE)",
 )
 def c13(spark, sf):
-    item = F.concat("o_orderstatus", F.col("o_orderkey").cast("string"))
-    orders = table(spark, sf, "orders")
-    return orders.groupBy("o_custkey").agg(
-        joined(item, "|", F.col("o_orderdate"), F.col("o_orderkey")).alias("orders")
-    )
+    hours = rollup(deltas(spark, sf), HOUR, METRICS, PARAMS)
+    item = F.concat(F.hour("ts").cast("string"), F.lit(":"), F.col("com_select_diff").cast("string"))
+    return hours.groupBy("host", F.to_date("ts").alias("day")).agg(joined(item, "|", F.col("ts")).alias("changes"))
 
 
 # Suppliers as a registry of custom queries, one host per nation.

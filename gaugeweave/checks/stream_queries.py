@@ -15,7 +15,7 @@ from gaugeweave.session import scratch_dir
 from gaugeweave.sources.tables import read_table
 from gaugeweave.streaming.alerts import EpisodeStep
 from gaugeweave.streaming.deltas import DeltaStep
-from gaugeweave.streaming.ingest import silent_hosts, unique_seconds
+from gaugeweave.streaming.ingest import SilenceStep, unique_seconds
 from gaugeweave.streaming.rollups import RefreshStep, closed_windows
 from gaugeweave.streaming.run import each_batch, output_table, read_files, state_table, to_table
 
@@ -119,6 +119,7 @@ def j5(spark, sf):
     "FROM newest WHERE ts_last + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)",
 )
 def j6(spark, sf):
-    path = scratch_dir(spark, "silent")
-    to_table(silent_hosts(event_stream(spark, sf)), path, scratch_dir(spark, "state"))
-    return spark.read.parquet(path)
+    silent = output_table(spark, "silent")
+    step = SilenceStep(state_table(spark, "seen"), silent)
+    each_batch(event_stream(spark, sf), step, scratch_dir(spark, "state"))
+    return silent.all(spark)

@@ -195,7 +195,7 @@ def resolve(rows: DataFrame, evaluated_to: DataFrame) -> DataFrame:
 
     ``evaluated_to`` holds (host, id_evaluated). Rules that were switched off resolve as well.
     """
-    joined_rows = join_host_facts(rows, evaluated_to, F.col("alert_condition_id"), how="left")
+    joined_rows = join_host_facts(rows, evaluated_to, F.col("sv_report_sample_id_start"), how="left")
     ended = F.col("sv_report_sample_id_end") < F.col("id_evaluated")
     return joined_rows.withColumn("resolved", F.col("resolved") | F.coalesce(ended, F.lit(False))).drop("id_evaluated")
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gaugeweave.streaming.run import WATERMARK, event_time
+from gaugeweave.functions.timefn import NTZ
+from gaugeweave.streaming.run import WATERMARK, BatchTable, event_time
+
+SEEN_SCHEMA = "host string, ts_last timestamp_ntz"
 
 
 def unique_seconds(stream: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -18,27 +19,30 @@ def unique_seconds(stream: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["host", "ts"])
 
 
-def silent_hosts(stream: DataFrame, after_seconds: int = 3600, delay: str = WATERMARK) -> DataFrame:
-    """(host, ts_last) when no sample of a host came for ``after_seconds`` of event time.
+@dataclass(frozen=True)
+class SilenceStep:
+    """One micro-batch: hosts whose newest sample lies ``after_seconds`` behind the event clock.
 
-    The state of a host is one time. Batches are folded chunk by chunk, never gathered.
+    The clock is the newest sample of all hosts less the delay allowed for late ones. The state is one
+    row per host, fed by a partial aggregation, so a busy host costs no more than a quiet one. A host
+    is told once until it speaks again.
     """
 
-    def watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"host": [key[0]], "ts_last": [pd.Timestamp(last, unit="us")]})
-            return
-        newest = state.get[0] if state.exists else None
-        for chunk in chunks:
-            top = int(chunk["micros"].max())
-            newest = top if newest is None else max(newest, top)
-        state.update((newest,))
-        due = newest // 1000 + after_seconds * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    timed = event_time(stream).withWatermark("ts", delay)
-    return timed.select("host", "ts", F.unix_micros("ts").alias("micros")).groupBy("host").applyInPandasWithState(
-        watch, "host string, ts_last timestamp_ntz", "newest long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    seen: BatchTable
+    silent: BatchTable
+    after_seconds: int = 3600
+    delay_seconds: int = 600
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        before = self.seen.of(batch.sparkSession, number - 1, SEEN_SCHEMA)
+        heard = batch.select("host", F.col("ts").cast(NTZ).alias("ts_last"))
+        newest = before.unionByName(heard).groupBy("host").agg(F.max("ts_last").alias("ts_last"))
+        now = self.seen.write(newest, number)
+        # What the state before calls silent was told then, unless the host has spoken since.
+        fresh = self._overdue(now).join(self._overdue(before), ["host", "ts_last"], "left_anti")
+        self.silent.write(fresh, number)
+
+    def _overdue(self, seen: DataFrame) -> DataFrame:
+        newest = seen.agg(F.max("ts_last")).first()[0]
+        allowed = F.make_dt_interval(secs=F.lit(self.after_seconds + self.delay_seconds))
+        return seen.where(F.col("ts_last") <= (F.lit(newest).cast(NTZ) - allowed).cast(NTZ))

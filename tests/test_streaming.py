@@ -5,7 +5,9 @@ from gaugeweave.operators.delta import delta
 from gaugeweave.operators.rollup import rollup
 from gaugeweave.session import scratch_dir
 from gaugeweave.sources.tables import read_table
+from gaugeweave.streaming.ingest import SilenceStep
 from gaugeweave.streaming.rollups import RefreshStep
+from gaugeweave.streaming.run import output_table, state_table
 from conftest import rows_of
 
 CAT = MetricCatalog()
@@ -31,3 +33,21 @@ def test_refresh_with_late_and_repeated_batches(spark, make):
     deltas = delta(make(rows, "com_select"), CAT, ["com_select"], [])
     for grain, path in paths.items():
         assert rows_of(read_table(spark, path), *COLUMNS) == rows_of(rollup(deltas, grain, ["com_select"]), *COLUMNS)
+
+
+def test_a_silent_host_is_told_once_until_it_speaks(spark, make):
+    silent = output_table(spark, "silent")
+    step = SilenceStep(state_table(spark, "seen"), silent)
+    hour = 3600
+    batches = [
+        [("a", 1, 0), ("b", 1, 0)],
+        [("a", 2, 2 * hour)],
+        [("a", 3, 3 * hour)],
+        [("b", 2, 3 * hour + 60)],
+        [("a", 4, 6 * hour)],
+    ]
+    for n, rows in enumerate(batches):
+        step(make(rows), n)
+        step(make(rows), n)
+    got = rows_of(silent.all(spark).selectExpr("host", "date_format(ts_last, 'HH:mm') AS t"), "host", "t")
+    assert got == [("b", "00:00"), ("b", "03:01")]
