@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,21 +38,21 @@ def wanted(raw: DataFrame, cat: MetricCatalog) -> DataFrame:
     return rows.where(keep_status | keep_variable)
 
 
+def _words(words: Mapping[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+
+
 def normalize_value(name: Column, value: Column, kind: str = "decimal(20,0)") -> Column:
     """Text to number: on/off words first, then digits; an empty or unknown text is NULL.
 
     ``concurrent_insert`` has its own words (never, auto, always) and they are honoured here.
     """
     word = F.lower(value)
-    number = word.try_cast(kind)
-    chosen = None
-    for special, words in WORDS_BY_NAME.items():
-        for text, n in words.items():
-            hit = (name == special) & (word == text)
-            chosen = F.when(hit, F.lit(n)) if chosen is None else chosen.when(hit, F.lit(n))
-    for text, n in WORDS.items():
-        chosen = chosen.when(word == text, F.lit(n))
-    return F.coalesce(chosen.cast(kind), number)
+    special = F.lit(None).cast("int")
+    for owner, words in WORDS_BY_NAME.items():
+        special = F.when(name == owner, F.try_element_at(_words(words), word)).otherwise(special)
+    spoken = F.coalesce(special, F.try_element_at(_words(WORDS), word))
+    return F.coalesce(spoken.cast(kind), word.try_cast(kind))
 
 
 def pivot(rows: DataFrame, names: Sequence[str], cat: MetricCatalog) -> DataFrame:
