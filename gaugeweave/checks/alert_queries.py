@@ -33,6 +33,7 @@ from gaugeweave.operators.ingest import purge, purge_orphans
 from gaugeweave.operators.report import inputs_of
 from gaugeweave.operators.rollup import latest_rows
 from gaugeweave.plans.charts import report_of
+from gaugeweave.session import materialize
 
 FAMILY = Family()
 BLOCK = 128  # small, so that episodes cross block edges on the given tables
@@ -65,8 +66,13 @@ def alert_report(spark, sf):
     return report_of(ev_samples(spark, sf, [*needs.metrics, *needs.params]), SAMPLE, NAMES, CAT)
 
 
-def fired_wide(spark, sf):
-    return evaluate_wide(alert_report(spark, sf), CONDITIONS, host_facts(spark, sf))
+def shared_report(spark, sf):
+    """Written once where evaluation and views both read it."""
+    return materialize(alert_report(spark, sf), "report")
+
+
+def fired_wide(spark, sf, rows=None):
+    return evaluate_wide(alert_report(spark, sf) if rows is None else rows, CONDITIONS, host_facts(spark, sf))
 
 
 def fired(spark, sf):
@@ -139,17 +145,17 @@ def h4(spark, sf):
 @FAMILY.add(
     "h4_pending_upsert",
     f"WITH {FIRED}, e AS (SELECT host, alert_condition_id, id FROM fired WHERE fired), "
-    "old AS (SELECT host, alert_condition_id, min(id) AS s, max(id) AS t FROM e WHERE id % 2 = 0 GROUP BY ALL), "
-    "new AS (SELECT host, alert_condition_id, min(id) AS s, max(id) AS t FROM e WHERE id % 2 = 1 GROUP BY ALL) "
+    "old AS (SELECT host, alert_condition_id, min(id) AS s, max(id) AS t FROM e WHERE id < 500 GROUP BY ALL), "
+    "new AS (SELECT host, alert_condition_id, min(id) AS s, max(id) AS t FROM e WHERE id >= 500 GROUP BY ALL) "
     "SELECT host, alert_condition_id, coalesce(old.s, new.s) AS sv_report_sample_id_start, "
     "coalesce(new.t, old.t) AS sv_report_sample_id_end, CAST(NULL AS TIMESTAMP) AS ts_notified, false AS resolved "
     "FROM old FULL JOIN new USING (host, alert_condition_id)",
 )
 def h4_upsert(spark, sf):
     events = alert_events(fired(spark, sf))
-    even = events.where("sv_report_sample_id % 2 = 0").groupBy("host", "alert_condition_id").agg(
+    earlier = events.where("sv_report_sample_id < 500").groupBy("host", "alert_condition_id").agg(
         F.min("sv_report_sample_id").alias("start_id"), F.max("sv_report_sample_id").alias("end_id"))
-    return upsert_pending(pending(even), events.where("sv_report_sample_id % 2 = 1"))
+    return upsert_pending(pending(earlier), events.where("sv_report_sample_id >= 500"))
 
 
 EVALUATED = "seen AS (SELECT host, max(id) AS id_evaluated FROM report GROUP BY host)"
@@ -160,22 +166,22 @@ PENDING = (
 )
 
 
-def evaluated_to(spark, sf):
-    return alert_report(spark, sf).groupBy("host").agg(F.max("id").alias("id_evaluated"))
+def evaluated_to(rows):
+    return rows.groupBy("host").agg(F.max("id").alias("id_evaluated"))
 
 
-def all_pending(spark, sf):
-    return resolve(pending(episodes(fired_wide(spark, sf), BLOCK)), evaluated_to(spark, sf))
+def all_pending(spark, sf, rows):
+    return resolve(pending(episodes(fired_wide(spark, sf, rows), BLOCK)), evaluated_to(rows))
 
 
 @FAMILY.add("h5_resolve", f"WITH {PENDING} SELECT * FROM pend")
 def h5(spark, sf):
-    return all_pending(spark, sf)
+    return all_pending(spark, sf, shared_report(spark, sf))
 
 
 @FAMILY.add("h6_remove_resolved", f"WITH {PENDING} SELECT * FROM pend WHERE NOT resolved")
 def h6(spark, sf):
-    return unresolved(all_pending(spark, sf))
+    return unresolved(all_pending(spark, sf, shared_report(spark, sf)))
 
 
 @FAMILY.add(
@@ -185,7 +191,9 @@ def h6(spark, sf):
     "description, error_level, ts FROM fired JOIN rules USING (alert_condition_id) WHERE fired",
 )
 def h7(spark, sf):
-    return alert_view(alert_events(fired(spark, sf)), conditions_frame(spark, CONDITIONS), alert_report(spark, sf))
+    rows = shared_report(spark, sf)
+    events = alert_events(evaluate(rows, CONDITIONS, host_facts(spark, sf)))
+    return alert_view(events, conditions_frame(spark, CONDITIONS), rows)
 
 
 # Two rules count as already notified at a fixed time.
@@ -207,19 +215,25 @@ NEWEST = (
 )
 
 
-def viewed(spark, sf, rows):
+def viewed(spark, rows, report):
     told = mark_notified(rows, rows.where(TOLD), as_of())
-    return pending_view(told, conditions_frame(spark, CONDITIONS), alert_report(spark, sf))
+    return pending_view(told, conditions_frame(spark, CONDITIONS), report)
+
+
+def all_viewed(spark, sf):
+    report = shared_report(spark, sf)
+    return viewed(spark, materialize(all_pending(spark, sf, report), "pending"), report)
 
 
 def newest_view(spark, sf):
-    rows = newest_pending(episodes(fired_wide(spark, sf), BLOCK))
-    return viewed(spark, sf, resolve(rows, evaluated_to(spark, sf)))
+    report = shared_report(spark, sf)
+    rows = resolve(newest_pending(episodes(fired_wide(spark, sf, report), BLOCK)), evaluated_to(report))
+    return viewed(spark, materialize(rows, "pending"), report)
 
 
 @FAMILY.add("h8_pending_view", f"WITH {VIEW} SELECT * FROM view")
 def h8(spark, sf):
-    return viewed(spark, sf, all_pending(spark, sf))
+    return all_viewed(spark, sf)
 
 
 MESSAGE = (
@@ -233,7 +247,7 @@ DUE = "in_error AND (NOT is_notified OR repetitive_alert OR resolved)"
 
 @FAMILY.add("h9_notifications", f"WITH {VIEW} SELECT *, {MESSAGE} AS message_item FROM view WHERE {DUE}")
 def h9(spark, sf):
-    return notifications(viewed(spark, sf, all_pending(spark, sf)))
+    return notifications(all_viewed(spark, sf))
 
 
 RANK = (
@@ -259,7 +273,7 @@ def h10(spark, sf):
     f"CASE WHEN {DUE} THEN TIMESTAMP '{AS_OF}' ELSE ts_notified END AS ts_notified FROM newest",
 )
 def h11(spark, sf):
-    view = newest_view(spark, sf)
+    view = materialize(newest_view(spark, sf), "view")
     marked = mark_notified(view, notified_ids(notifications(view)), as_of())
     return marked.select("host", "alert_condition_id", "sv_report_sample_id_start", "ts_notified")
 
@@ -349,7 +363,7 @@ def h15(spark, sf):
     f"WITH {samples_sql(['com_select'])} SELECT * FROM samples WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY",
 )
 def a12(spark, sf):
-    return purge(ev_samples(spark, sf, ["com_select"]), 14, as_of())
+    return purge(ev_samples(spark, sf, ["com_select"]), 14, as_of=as_of())
 
 
 @FAMILY.add(
@@ -359,5 +373,5 @@ def a12(spark, sf):
     "LEFT JOIN kept USING (host) WHERE fired AND (first IS NULL OR id >= first)",
 )
 def a13(spark, sf):
-    kept = purge(ev_samples(spark, sf, []), 14, as_of())
+    kept = purge(ev_samples(spark, sf, []), 14, as_of=as_of())
     return purge_orphans(alert_events(fired(spark, sf)), kept)

@@ -2,13 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from gaugeweave.catalog import CHARTS, HOUR, SAMPLE, Chart
+from gaugeweave.catalog import BRIEF_SECTIONS, CHARTS, HOUR, SAMPLE, Chart
 from gaugeweave.checks.fixtures import CAT, as_of, ev_samples
 from gaugeweave.checks.oracle import report_sql
 from gaugeweave.checks.registry import Family
-from gaugeweave.checks.rollup_queries import REGISTRY_SQL, averages_sql, supplier_registry
+from gaugeweave.checks.rollup_queries import REGISTRY_SQL, averages_sql, minmax_columns, supplier_registry
 from gaugeweave.checks.series_queries import filled_ctes, filled_of, labels_sql, recent_buckets
-from gaugeweave.checks.rollup_queries import minmax_columns
 from gaugeweave.operators.payload import (
     LEVELS,
     Canvas,
@@ -21,9 +20,10 @@ from gaugeweave.operators.payload import (
     navigation,
     profile_payload,
     rewrite_legend,
+    section_table,
 )
 from gaugeweave.operators.reshape import custom_registry
-from gaugeweave.operators.report import digits_of
+from gaugeweave.operators.report import digits_of, inputs_of
 from gaugeweave.operators.rollup import profile_24_7
 from gaugeweave.plans.charts import chart_inputs, chart_payloads, names_of, payloads, report_of
 from gaugeweave.session import materialize
@@ -94,6 +94,17 @@ def text_cte():
     )
 
 
+@FAMILY.add(
+    "g1_chart_series",
+    f"WITH {chart_ctes('sample')} SELECT host, alias, CAST(pos AS INTEGER) AS pos, metric, count(*) AS steps, count(v) AS "
+    "measured FROM points JOIN charts USING (metric) GROUP BY ALL",
+)
+def g1(spark, sf):
+    made = inputs(spark, sf, SAMPLE)
+    return made.series.join(made.charts, "metric").groupBy("host", "alias", "pos", "metric").agg(
+        F.count(F.lit(1)).alias("steps"), F.count("value").alias("measured"))
+
+
 @FAMILY.add("g2_axis_bounds", f"WITH {chart_ctes('sample')} SELECT host, alias, low, high FROM bounds")
 def g2(spark, sf):
     made = inputs(spark, sf, SAMPLE)
@@ -176,8 +187,6 @@ SHARE = "100 * (v - CASE WHEN low > 0 THEN 0 ELSE low END) / nullif(high - CASE
     "AS payload FROM long JOIN r USING (host, metric) GROUP BY host, metric",
 )
 def g6(spark, sf):
-    from gaugeweave.operators.report import inputs_of
-
     needs = inputs_of(PROFILED, CAT)
     rows = report_of(ev_samples(spark, sf, [*needs.metrics, *needs.params]), SAMPLE, PROFILED, CAT)
     return profile_payload(materialize(profile_24_7(rows, digits_of(PROFILED)), "profile"), PROFILED)
@@ -230,6 +239,22 @@ def g8(spark, sf):
     return made.select("host", "alias", rewrite_legend(F.col("payload"), told).alias("payload"))
 
 
+SECTION_ROWS = ", ".join(
+    f"({i}, '{name}', {j}, '{a}')" for i, (name, aliases) in enumerate(BRIEF_SECTIONS) for j, a in enumerate(aliases)
+)
+
+
+@FAMILY.add(
+    "g9_brief_sections",
+    f"WITH {chart_ctes('sample')}, {simple_cte()}, {labels_sql('sample')}, p AS ({payload_select('s')}), "
+    f"sections(section_no, section, pos, alias) AS (VALUES {SECTION_ROWS}) SELECT host, CAST(section_no AS INTEGER) AS "
+    "section_no, section, CAST(pos AS INTEGER) AS pos, alias, payload FROM p JOIN sections USING (alias)",
+)
+def g9_sections(spark, sf):
+    made = payloads(inputs(spark, sf, SAMPLE), as_of(), DRAWN, "s")
+    return made.join(section_table(spark, BRIEF_SECTIONS), "alias")
+
+
 @FAMILY.add(
     "g9_navigation",
     f"WITH {REGISTRY_SQL} SELECT host, string_agg('<a href=\"#custom_' || custom_query_id || '_chart\">' || description "

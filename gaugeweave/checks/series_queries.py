@@ -311,12 +311,11 @@ def e1(spark, sf):
     return to_long(hours, LONG)
 
 
-# Supplier texts stand in for stored payloads: chart names by host.
+# Supplier texts stand in for stored payloads: those of the enabled queries.
 CHARTS_SQL = (
     "charts AS (SELECT DISTINCT host, concat('custom_', CAST(custom_query_id AS STRING), "
     "CASE chart_type WHEN 'value_psec' THEN '_psec' WHEN 'time' THEN '_time' ELSE '' END) AS alias, "
-    "concat('s:', description) AS chart, concat('t:', description) AS chart_extended FROM registry "
-    "WHERE custom_query_id % 5 <> 0)"
+    "concat('s:', description) AS chart, concat('t:', description) AS chart_extended FROM registry WHERE enabled)"
 )
 NAME_SQL = (
     "CASE chart_type WHEN 'value' THEN 'custom_' || custom_query_id WHEN 'value_psec' THEN "
@@ -326,7 +325,7 @@ NAME_SQL = (
 
 def supplier_charts(spark, sf):
     suffix = "CASE chart_type WHEN 'value_psec' THEN '_psec' WHEN 'time' THEN '_time' ELSE '' END"
-    return supplier_registry(spark, sf).where("custom_query_id % 5 <> 0").selectExpr(
+    return supplier_registry(spark, sf).where("enabled").selectExpr(
         "host", f"concat('custom_', custom_query_id, {suffix}) AS alias",
         "concat('s:', description) AS chart", "concat('t:', description) AS chart_extended")
 

@@ -11,6 +11,10 @@ from gaugeweave.catalog import CUSTOM_COLUMN, MetricCatalog
 from gaugeweave.functions.timefn import NTZ
 
 
+# Fixed value: days a sample is kept.
+RETENTION_DAYS = 182
+
+
 def to_second(ts: Column) -> Column:
     return F.date_trunc("SECOND", ts).cast(NTZ)
 
@@ -60,7 +64,7 @@ def align_rollup(df: DataFrame, cat: MetricCatalog, metrics: Sequence[str]) -> D
     return df.select("*", *[F.lit(None).cast("long").alias(c) for c in added])
 
 
-def purge(rows: DataFrame, days: int, as_of: Column) -> DataFrame:
+def purge(rows: DataFrame, days: int = RETENTION_DAYS, *, as_of: Column) -> DataFrame:
     """Rows not older than ``days`` before ``as_of``."""
     if days < 1:
         raise ValueError("days must be at least 1")

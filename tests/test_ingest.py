@@ -57,9 +57,9 @@ def test_align_schema(make):
 def test_purge_needs_a_day(make):
     rows = make([("a", 1, 0, 1), ("a", 2, 86400 * 3, 1)], "v")
     moment = F.lit("2024-01-04 12:00:00").cast(NTZ)
-    assert rows_of(purge(rows, 1, moment), "id") == [(2,)]
+    assert rows_of(purge(rows, 1, as_of=moment), "id") == [(2,)]
     with pytest.raises(ValueError):
-        purge(rows, 0, moment)
+        purge(rows, 0, as_of=moment)
 
 
 def test_custom_names(spark):
