@@ -18,14 +18,12 @@ from gaugeweave.operators.payload import (
     encode_text,
     json_arrays,
     navigation,
-    profile_payload,
     rewrite_legend,
     section_table,
 )
 from gaugeweave.operators.reshape import custom_registry
-from gaugeweave.operators.report import digits_of, inputs_of
-from gaugeweave.operators.rollup import profile_24_7
-from gaugeweave.plans.charts import chart_inputs, chart_payloads, names_of, payloads, report_of
+from gaugeweave.operators.report import inputs_of
+from gaugeweave.plans.charts import chart_inputs, chart_payloads, names_of, payloads, profile_payloads
 from gaugeweave.session import materialize
 
 FAMILY = Family()
@@ -188,8 +186,7 @@ SHARE = "100 * (v - CASE WHEN low > 0 THEN 0 ELSE low END) / nullif(high - CASE
 )
 def g6(spark, sf):
     needs = inputs_of(PROFILED, CAT)
-    rows = report_of(ev_samples(spark, sf, [*needs.metrics, *needs.params]), SAMPLE, PROFILED, CAT)
-    return profile_payload(materialize(profile_24_7(rows, digits_of(PROFILED)), "profile"), PROFILED)
+    return profile_payloads(ev_samples(spark, sf, [*needs.metrics, *needs.params]), CAT, PROFILED)
 
 
 BOUND = "CAST(CAST({0} AS DECIMAL(24,6)) AS DOUBLE)"
@@ -225,9 +222,6 @@ def _decode_query(key, encoding):
 _decode_query("g7_decode_quantised", "s")
 _decode_query("g7_decode_text", "t")
 
-DESCRIBED = "'Value of ' || host"
-
-
 @FAMILY.add(
     "g8_legend_rewrite",
     f"WITH {chart_ctes('sample')}, {simple_cte()}, {labels_sql('sample')}, p AS ({payload_select('s')}) SELECT host, alias, "

@@ -51,13 +51,15 @@ def _placed(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumns({"day": F.to_date("ts"), "shard": shard_of(F.col("host"), shards)})
 
 
+def _gathered(placed: DataFrame) -> DataFrame:
+    """Rows of a folder together, so that it gets few files; Spark splits a folder that is too large
+    for one task and merges small ones."""
+    return placed.hint("rebalance", F.col("day"), F.col("shard"))
+
+
 def append_rows(rows: DataFrame, path: str, shards: int = 16) -> None:
     """Append samples to a table laid out by day and host shard."""
-    placed = _placed(rows, shards)
-    # The first column spreads a busy host over several files of its folder.
-    placed.repartition("day", "shard", F.floor(F.col("id") / 1_000_000)).write.mode("append").partitionBy(
-        "day", "shard"
-    ).parquet(path)
+    _gathered(_placed(rows, shards)).write.mode("append").partitionBy("day", "shard").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +83,7 @@ def upsert_buckets(fresh: DataFrame, path: str, shards: int = 16) -> None:
         # Folder columns as join keys: the scan skips every folder that is not touched.
         touched = current.join(folders, ["day", "shard"], "left_semi")
         placed = replace_buckets(touched, placed)
-    placed.repartition("day", "shard").write.mode("overwrite").option(
+    _gathered(placed).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("day", "shard").parquet(path)
 
