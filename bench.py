@@ -35,7 +35,7 @@ HEADLINE = (
     "h9_notifications",
     "j2_stream_delta",
 )
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def seconds(query, spark, sf_dir: str) -> float:
