@@ -50,9 +50,14 @@ class Checkpoint:
         return f"{self.root.rstrip('/')}/{name}"
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        self._steps["refresh"](batch, number)
-        if self.conditions:
-            self._steps["episodes"](self._evaluated(batch, number), number)
+        # Several steps read the batch; without this each would read its source again.
+        held = batch.persist()
+        try:
+            self._steps["refresh"](held, number)
+            if self.conditions:
+                self._steps["episodes"](self._evaluated(held, number), number)
+        finally:
+            held.unpersist()
 
     def _evaluated(self, batch: DataFrame, number: int) -> DataFrame:
         needs = inputs_of(self.watched, self.cat)
