@@ -1,7 +1,8 @@
 """Main text of pages by a site style tree.
 
 The element trees of a host's pages are merged: elements with the same chain of tags and class names are one branch.
-For each branch it is counted which contents and which presentations (sequence of the branches below) its pages show.
+For each branch it is counted which contents (all text below it) and which presentations (sequence of the branches
+below) its pages show.
 Importance is the larger of the two entropies, to the base of the number of pages: 0 if all pages look alike there, 1
 if no two do. Branches below 0.2 that at least four pages and a twentieth of the host's pages have are removed.
 
@@ -44,13 +45,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 shapes: dict[str, list[str]] = {}
                 for b in blocks(source):
                     path = b.path
-                    contents.setdefault(path, []).append(b.text)
                     while path:
+                        contents.setdefault(path, []).append(b.text)
                         upper = path.rpartition("/")[0]
                         below = shapes.setdefault(upper, [])
-                        if below and below[-1] == path:
-                            break
-                        below.append(path)
+                        if not below or below[-1] != path:
+                            below.append(path)
                         path = upper
                 for kind, table in ((0, contents), (1, shapes)):
                     for path, items in table.items():
@@ -66,9 +66,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     kinds = features.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.expr("n * ln(n)")).alias("inner"))
     entropy = F.expr("CASE WHEN pages > 1 THEN (ln(pages) - inner / pages) / ln(pages) ELSE 1D END")
     return kinds.withColumn("entropy", entropy).groupBy("host", "path").agg(
-        F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("content"),
-        F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("presentation"),
-    ).select("host", "path", "pages", F.coalesce("content", "presentation").alias("importance"))
+        F.max("pages").alias("pages"), F.max("entropy").alias("importance")
+    )
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
