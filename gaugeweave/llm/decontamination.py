@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Test items are cut into segments of at most 96 words (64 words apart by 32 if longer). Every run of three words of a
-segment is a seed. One pass over the documents counts how many hold each seed. A segment keeps its seeds that at most
-one document in a thousand holds, and in any case its eight rarest, so a passage copied into a third of the corpus is
-still found. A second pass takes the passages (blocks of 64 words with 96 words on either side) that hold a kept seed;
+segment is a seed. One pass over the documents counts how many hold each seed; seeds that none holds find nothing and
+go. A segment keeps its seeds that at most one document in a thousand holds (or 20 documents, in a small corpus), and in
+any case its 16 rarest, so a passage copied into a third of the corpus is still found. A second pass takes the passages (blocks of 64 words with 96 words on either side) that hold a kept seed;
 seeds join passages to segments, and each pair is aligned: match 2, other word -1, gap -1. The score is the best local
 alignment as a share of a perfect one; 0.5 and more is contamination.
 
@@ -25,7 +25,7 @@ from gaugeweave.llm.tables import columns, in_bitmap, marks, rows
 from gaugeweave.session import materialize
 
 SEED, SEGMENT, LONG, STRIDE, BLOCK = 3, 96, 64, 32, 64
-RARE_SHARE, AT_LEAST, THRESHOLD = 1e-3, 8, 0.5
+RARE_SHARE, RARE_DOCS, AT_LEAST, THRESHOLD = 1e-3, 20, 16, 0.5
 MATCH, OTHER, GAP = 2, -1, -1
 FLUSH = 200_000
 _APART = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -104,10 +104,9 @@ def document_counts(docs: DataFrame, wanted) -> DataFrame:
 
 def rare_seeds(seeds: DataFrame, docs: DataFrame) -> DataFrame:
     counts = document_counts(docs, _marks(seeds))
-    limit = RARE_SHARE * docs.count()
+    limit = max(RARE_SHARE * docs.count(), RARE_DOCS)
     rank = F.row_number().over(Window.partitionBy("item_id", "segment").orderBy("docs", "seed"))
-    known = seeds.join(counts, "seed", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-    return known.withColumn("rank", rank).where((F.col("docs") <= limit) | (F.col("rank") <= AT_LEAST)).select("seed", "item_id", "segment")
+    return seeds.join(counts, "seed").withColumn("rank", rank).where((F.col("docs") <= limit) | (F.col("rank") <= AT_LEAST)).select("seed", "item_id", "segment")
 
 
 def passages(docs: DataFrame, wanted) -> DataFrame:
