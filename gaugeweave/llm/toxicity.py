@@ -116,9 +116,10 @@ def figures(words: set[str], ratios: dict[str, float], rest: float) -> tuple[flo
 
 
 class Curve:
-    """Logistic regression with a small ridge on standardised figures, fitted by Newton steps."""
+    """Logistic regression with a small ridge on standardised figures, fitted by Newton steps; 0 if nothing was fitted."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.fitted = len(x) > 0
         self.mean = x.mean(axis=0) if len(x) else np.zeros(5)
         self.scale = x.std(axis=0) + 1e-9 if len(x) else np.ones(5)
         self.weights = np.zeros(6)
@@ -134,6 +135,8 @@ class Curve:
         return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        if not self.fitted:
+            return np.zeros(len(x))
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.weights, -30, 30)))
 
 
@@ -161,7 +164,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
     Null and empty texts, and texts without a letter, get the score of a text with no evidence. A null id is scored
     and never held out or learned from. Several labels of one id count as toxic if one is. Without labels of both
-    classes every ratio is 0. Only the two named columns are read, and of them only the text reaches the score.
+    classes every ratio is 0, and without labels in fold 4 every score is. Only the two named columns are read, and of them only the text reaches the score.
     """
     docs = columns(docs, doc_id=id_column, text=text_column).selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
     labels = columns(labels, doc_id="doc_id", toxic="toxic")
