@@ -19,7 +19,7 @@ from gaugeweave.session import materialize
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, at, role, text, h1, h2)``: turns in order (turn, role, text), with hashes of all turns so far.
+    """``(conv_id, at, last, role, text, h1, h2)``: turns in order (turn, role, text), with hashes of all turns so far.
 
     Null roles and texts count as empty. Rows without a conversation id are left out: they belong to none.
     """
@@ -27,22 +27,19 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     own = own.selectExpr("conv_id", "turn", "coalesce(role, '') AS role", "coalesce(text, '') AS text")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = own.withColumn("at", F.row_number().over(order))
+    numbered = own.withColumns({"at": F.row_number().over(order), "last": F.lead("conv_id").over(order).isNull()})
     first = F.xxhash64("at", "role", "text")
     second = F.xxhash64(F.lit("second"), "text", "at", "role")
     return numbered.select(
-        "conv_id", "at", "role", "text", F.bit_xor(first).over(so_far).alias("h1"), F.bit_xor(second).over(so_far).alias("h2")
+        "conv_id", "at", "last", "role", "text", F.bit_xor(first).over(so_far).alias("h1"), F.bit_xor(second).over(so_far).alias("h2")
     )
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """``(conv_id, n_turns, n_logged)`` of the conversations that are no prefix of a longer one."""
-    marks = turns.select("conv_id", "at", "h1", "h2")
-    lengths = marks.groupBy("conv_id").agg(F.max_by(F.struct("at", "h1", "h2"), "at").alias("last"))
-    whole = lengths.groupBy("last.at", "last.h1", "last.h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_logged"))
+    whole = turns.where("last").groupBy("at", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_logged"))
     # A hash after n turns that is continued by another turn in some conversation.
-    ends = lengths.select("conv_id", F.col("last.at").alias("n_turns"))
-    continued = marks.join(ends, "conv_id").where("at < n_turns").select("at", "h1", "h2").distinct()
+    continued = turns.where("NOT last").select("at", "h1", "h2").distinct()
     kept = whole.join(continued, ["at", "h1", "h2"], "left_anti")
     return kept.select("conv_id", F.col("at").alias("n_turns"), "n_logged")
 
