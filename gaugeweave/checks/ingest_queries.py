@@ -61,6 +61,7 @@ RAW = (
     ("variables", "'max_join_size'", "'18446744073709551615'"),
     ("variables", "'slow_query_log'", "CASE event_id % 3 WHEN 0 THEN 'Not Started' WHEN 1 THEN 'started' ELSE 'yes' END"),
     ("variables", "'read_only'", "CASE event_id % 3 WHEN 0 THEN 'NO' ELSE 'unknown text' END"),
+    ("variables", "'Long_Query_Time'", "CASE event_id % 4 WHEN 0 THEN '10.000000' WHEN 1 THEN '0.5' WHEN 2 THEN '-1' ELSE '-2.5' END"),
     ("variables", "'Version'", "'5.1.50-log'"),
     ("master", "'File'", "concat('mysql-bin.', CASE WHEN event_id % 7 = 0 THEN 'x' ELSE '000' END, CAST(event_id % 90 AS STRING))"),
     ("master", "'Position'", "CAST(event_id * 17 AS STRING)"),
@@ -89,17 +90,17 @@ NUMBER = (
     "CASE WHEN n = 'concurrent_insert' AND v = 'never' THEN 0 WHEN n = 'concurrent_insert' AND v = 'auto' THEN 1 "
     "WHEN n = 'concurrent_insert' AND v = 'always' THEN 2 WHEN n = 'delay_key_write' AND v = 'all' THEN 2 "
     "WHEN v IN ('off', 'no', 'not started') THEN 0 WHEN v IN ('on', 'yes', 'started') THEN 1 WHEN v = 'demand' THEN 2 "
-    "ELSE TRY_CAST(v AS HUGEINT) END"
+    "ELSE CAST(round(TRY_CAST(v AS DECIMAL(38,6))) AS HUGEINT) END"
 )
 CLEAN_SQL = (
     f"{RAW_SQL}, clean AS (SELECT host, snapshot_id, ts, kind, lower(trim(name)) AS n, lower(value) AS v FROM raw), "
     "kept AS (SELECT * FROM clean WHERE (kind = 'status' AND NOT (n LIKE 'ssl!_%' ESCAPE '!' OR n LIKE 'ndb!_%' ESCAPE '!' "
     "OR n IN ('last_query_cost', 'rpl_status'))) OR (kind = 'variables' AND n IN ('concurrent_insert', 'delay_key_write', "
-    "'query_cache_type', 'max_connections', 'max_join_size', 'slow_query_log', 'read_only'))), "
+    "'query_cache_type', 'max_connections', 'max_join_size', 'slow_query_log', 'read_only', 'long_query_time'))), "
     f"numbers AS (SELECT *, {NUMBER} AS number FROM kept)"
 )
 PIVOTED = ["com_select", "threads_connected", "slave_running", "uptime", "concurrent_insert", "delay_key_write",
-           "query_cache_type", "max_connections", "slow_query_log", "read_only"]
+           "query_cache_type", "max_connections", "slow_query_log", "read_only", "long_query_time"]
 PIVOT_COLUMNS = ", ".join(f"CAST(max(CASE WHEN n = '{c}' THEN number END) AS BIGINT) AS {c}" for c in PIVOTED)
 
 

@@ -13,15 +13,22 @@ def fixed(value: Column, digits: int) -> Column:
     return value.cast(f"decimal(24,{digits})").cast("string")
 
 
+def _plain(value: Column, digits: int) -> Column:
+    """Decimal text with ``digits`` decimals; numbers too large for them (from 10^32 on with six) keep zeros there."""
+    whole = F.coalesce(value.try_cast("decimal(38,0)").cast("string"), value.cast("string"))
+    return F.coalesce(value.try_cast(f"decimal(38,{digits})").cast("string"), F.concat(whole, F.lit("." + "0" * digits)))
+
+
 def trimmed(value: Column) -> Column:
-    """A number with up to six decimals and no trailing zeros."""
-    text = value.cast("decimal(24,6)").cast("string")
+    """A number with up to six decimals and no trailing zeros; more decimals if six would show nothing of it."""
+    tiny = (F.abs(value) < 5e-7) & (value != 0)
+    text = F.when(tiny, _plain(value, 18)).otherwise(_plain(value, 6))
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
 
 
 def cut(value: Column, digits: Column) -> Column:
-    """Decimal text cut, not rounded, after ``digits`` decimals (six are kept at most)."""
-    text = value.cast("decimal(24,6)").cast("string")
+    """Decimal text cut, not rounded, after ``digits`` decimals; up to six are cut from a text with six."""
+    text = F.when(digits <= 6, _plain(value, 6)).otherwise(_plain(value, 18))
     return F.concat(
         F.substring_index(text, ".", 1),
         F.lit("."),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,21 @@ def severity(error_level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(e) for e in ERROR_LEVELS]), error_level).cast("int")
 
 
+@contextmanager
+def forgiving(spark):
+    """Expressions built and resolved inside give NULL for a zero divisor or a text that is no number.
+
+    Rule texts are user input; under the ANSI rules one of them could end the run for all rules and hosts. The
+    setting is taken when an expression is resolved, so only what is built here is affected.
+    """
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def _truth(rows: DataFrame, text: str) -> Column:
     """Boolean of a rule text: empty is true, NULL is false, a number is true unless zero."""
     if not text.strip():
@@ -70,17 +86,19 @@ def evaluate_wide(report: DataFrame, conditions: Sequence[Condition],
                   host_facts: DataFrame | None = None) -> DataFrame:
     """(host, id, ts, fired_<condition> …): all enabled rules in one projection of the report."""
     rules = [c for c in conditions if c.enabled]
-    fired = {c.alert_condition_id: _truth(report, c.condition_eval) for c in rules}
-    rows = report.select("host", "id", "ts", *[e.alias(flag(i)) for i, e in fired.items()])
+    with forgiving(report.sparkSession):
+        fired = {c.alert_condition_id: _truth(report, c.condition_eval) for c in rules}
+        rows = report.select("host", "id", "ts", *[e.alias(flag(i)) for i, e in fired.items()])
     second = [c for c in rules if c.monitored_host_condition_eval.strip()]
     if not second:
         return rows
     if host_facts is None:
         raise ValueError("rules on the monitored host need host_facts")
-    hosts = host_facts.select(
-        "host",
-        *[_truth(host_facts, c.monitored_host_condition_eval).alias(f"_h{c.alert_condition_id}") for c in second],
-    )
+    with forgiving(report.sparkSession):
+        hosts = host_facts.select(
+            "host",
+            *[_truth(host_facts, c.monitored_host_condition_eval).alias(f"_h{c.alert_condition_id}") for c in second],
+        )
     both = join_host_facts(rows, hosts, F.col("id"), how="left")
     checks = {
         flag(c.alert_condition_id): F.col(flag(c.alert_condition_id))
@@ -205,8 +223,8 @@ def unresolved(rows: DataFrame) -> DataFrame:
 
 
 def mark_notified(rows: DataFrame, sent: DataFrame, as_of: Column) -> DataFrame:
-    """Stamp the pending rows whose key is in ``sent``."""
-    keys = ["host", "alert_condition_id"]
+    """Stamp the pending rows whose episode (host, rule and start) is in ``sent``."""
+    keys = ["host", "alert_condition_id", "sv_report_sample_id_start"]
     told = sent.select(*keys).distinct().withColumn("_sent", F.lit(True))
     stamped = F.when(F.col("_sent"), as_of.cast(NTZ)).otherwise(F.col("ts_notified"))
     return rows.join(told, keys, "left").withColumn("ts_notified", stamped).drop("_sent")
@@ -349,5 +367,5 @@ def process_summary(processes: DataFrame) -> DataFrame:
 
 
 def notified_ids(items: DataFrame) -> DataFrame:
-    """Keys of the notifications that were sent."""
-    return items.select("host", "alert_condition_id").distinct()
+    """Episodes (host, rule and start) whose notifications were sent."""
+    return items.select("host", "alert_condition_id", "sv_report_sample_id_start").distinct()

@@ -45,6 +45,8 @@ def _words(words: Mapping[str, int]) -> Column:
 def normalize_value(name: Column, value: Column, kind: str = "decimal(20,0)") -> Column:
     """Text to number: on/off words first, then digits; an empty or unknown text is NULL.
 
+    A text with decimals is rounded half away from zero, as in ``10.000000``.
+
     ``concurrent_insert`` has its own words (never, auto, always) and they are honoured here.
     """
     word = F.lower(value)
@@ -52,7 +54,8 @@ def normalize_value(name: Column, value: Column, kind: str = "decimal(20,0)") ->
     for owner, words in WORDS_BY_NAME.items():
         special = F.when(name == owner, F.try_element_at(_words(words), word)).otherwise(special)
     spoken = F.coalesce(special, F.try_element_at(_words(WORDS), word))
-    return F.coalesce(spoken.cast(kind), word.try_cast(kind))
+    whole = word.try_cast(kind) if kind == "long" else F.lit(None).cast(kind)  # the usual case, without decimals
+    return F.coalesce(spoken.cast(kind), whole, word.try_cast("decimal(38,6)").try_cast(kind))
 
 
 def pivot(rows: DataFrame, names: Sequence[str], cat: MetricCatalog) -> DataFrame:

@@ -3,33 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gaugeweave.operators.rollup import replace_buckets
+from gaugeweave.catalog import Grain
+from gaugeweave.operators.rollup import replace_buckets, rollup
 
 
 def scan_samples(samples: DataFrame, metrics: Sequence[str], since: Column | None = None,
                  until: Column | None = None) -> DataFrame:
-    """The wanted metrics in ``[since, until)``; both prunings reach the file scan."""
-    rows = samples
+    """The wanted metrics in ``[since, until)``; both prunings reach the file scan.
+
+    A table that still has its ``day`` folders as a column is filtered by day as well, so other folders are not read.
+    """
+    return in_span(samples, since, until).select("host", "id", "ts", *metrics)
+
+
+def in_span(rows: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """Rows in ``[since, until)``, with the days that this implies."""
+    by_day = "day" in rows.columns
     if since is not None:
         rows = rows.where(F.col("ts") >= since)
+        rows = rows.where(F.col("day") >= F.to_date(since)) if by_day else rows
     if until is not None:
         rows = rows.where(F.col("ts") < until)
-    return rows.select("host", "id", "ts", *metrics)
-
-
-def jdbc_table(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int,
-               **options: str) -> DataFrame:
-    """A table of a relational database, read in parallel by ranges of a numeric key."""
-    reader = spark.read.format("jdbc").options(
-        url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts
-    )
-    return reader.options(**options).load()
+        rows = rows.where(F.col("day") <= F.to_date(until)) if by_day else rows
+    return rows
 
 
 def union_hosts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -62,30 +65,92 @@ def append_rows(rows: DataFrame, path: str, shards: int = 16) -> None:
     _gathered(_placed(rows, shards)).write.mode("append").partitionBy("day", "shard").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("day", "shard")
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the table has a data file or folder; folders and files that readers skip do not count."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return False
+    return any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(place))
+
+
+def open_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
+    """A stored table with its ``day`` and ``shard`` folders as columns, or None if nothing is stored yet.
+
+    Without a declared ``schema`` the columns of all files are merged, so a metric that appeared later is read, and
+    NULL in older files. Any error but a missing table is raised.
+    """
+    if not _exists(spark, path):
+        return None
+    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The columns of a stored table without those of its folders."""
+    table = open_table(spark, path, schema)
+    if table is None:
+        raise FileNotFoundError(path)
+    return table.drop("day", "shard")
+
+
+JOURNAL = "_upsert"
+
+
+def _overwrite_folders(placed: DataFrame, path: str) -> None:
+    _gathered(placed).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("day", "shard").parquet(path)
+
+
+def _finish_upsert(spark: SparkSession, path: str) -> None:
+    """Repeat an upsert that was written to the journal in full but may not have reached all folders."""
+    journal = f"{path.rstrip('/')}/{JOURNAL}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{journal}/_SUCCESS")):
+        _overwrite_folders(spark.read.parquet(journal), path)
+    files.delete(place, True)
 
 
 def upsert_buckets(fresh: DataFrame, path: str, shards: int = 16) -> None:
-    """Replace rollup rows of equal (host, ts) and keep the others.
+    """Replace rollup rows of equal (host, ts) and keep the others, with all their columns.
 
-    Only the (day, shard) folders that hold a fresh row are read and rewritten. Running it again with
-    the same rows leaves the same table.
+    Only the (day, shard) folders that hold a fresh row are read and rewritten. Their new content is first written to
+    a journal beside them; a job that dies while folders are replaced loses nothing, the next upsert repeats it.
+    Running it again with the same rows leaves the same table. One job at a time may write a table.
     """
     spark = fresh.sparkSession
+    _finish_upsert(spark, path)
     placed = _placed(fresh, shards)
-    try:
-        current = spark.read.parquet(path)
-    except AnalysisException:
-        current = None
+    current = open_table(spark, path)
     if current is not None:
         folders = placed.select("day", "shard").distinct()
         # Folder columns as join keys: the scan skips every folder that is not touched.
         touched = current.join(folders, ["day", "shard"], "left_semi")
         placed = replace_buckets(touched, placed)
-    _gathered(placed).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("day", "shard").parquet(path)
+    placed.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{JOURNAL}")
+    _finish_upsert(spark, path)
+
+
+def rebuild_buckets(deltas: DataFrame, path: str, grain: Grain, metrics: Sequence[str], params: Sequence[str] = (),
+                    shards: int = 16) -> None:
+    """Compute a whole rollup table from deltas again; folders without a bucket any more go."""
+    rows = _placed(rollup(deltas, grain, metrics, params), shards)
+    _gathered(rows).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day", "shard").parquet(path)
+
+
+def drop_old_days(spark: SparkSession, path: str, first: date) -> list[str]:
+    """Delete the ``day`` folders before ``first`` and return their names; nothing is read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for folder in files.listStatus(place):
+        name = folder.getPath().getName()
+        if name.startswith("day=") and name[4:] < first.isoformat():
+            files.delete(folder.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from gaugeweave.operators.delta import delta_between
 from gaugeweave.operators.ingest import append_samples
 from gaugeweave.operators.rollup import buckets_of, in_buckets, rollup
 from gaugeweave.session import materialize
-from gaugeweave.sources.tables import append_rows, upsert_buckets
+from gaugeweave.sources.tables import append_rows, open_table, upsert_buckets
 from gaugeweave.streaming.run import WATERMARK, event_time
 
 SPANS = {"sample": "10 minutes", "hour": "1 hour", "day": "1 day"}
@@ -53,10 +52,12 @@ class RefreshStep:
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = materialize(batch.select("host", "id", "ts", *self.metrics, *self.params), "arrived")
-        low = rows.agg(F.min("ts")).first()[0]
+        low, high = rows.agg(F.min("ts"), F.max("ts")).first()
         if low is None:
             return
         stored = self._table(spark)
+        if stored is not None:  # seconds of the batch can only be stored under the days of the batch
+            stored = stored.where(F.col("day").between(F.to_date(F.lit(low)), F.to_date(F.lit(high))))
         # Written before the table changes; a repeated batch finds its seconds stored and adds nothing.
         fresh = materialize(append_samples(rows, stored), "fresh")
         append_rows(fresh, self.samples_path, self.shards)
@@ -85,7 +86,4 @@ class RefreshStep:
         return delta_between(current, earlier, self.cat, self.metrics, self.params)
 
     def _table(self, spark: SparkSession) -> DataFrame | None:
-        try:
-            return spark.read.parquet(self.samples_path)
-        except AnalysisException:
-            return None
+        return open_table(spark, self.samples_path)
