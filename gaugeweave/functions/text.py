@@ -20,10 +20,8 @@ def _plain(value: Column, digits: int) -> Column:
 
 
 def trimmed(value: Column) -> Column:
-    """A number with up to six decimals and no trailing zeros; more decimals if six would show nothing of it."""
-    tiny = (F.abs(value) < 5e-7) & (value != 0)
-    text = F.when(tiny, _plain(value, 18)).otherwise(_plain(value, 6))
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    """A number with up to six decimals and no trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(_plain(value, 6), "0+$", ""), "\\.$", "")
 
 
 def cut(value: Column, digits: Column) -> Column:

@@ -55,7 +55,7 @@ def normalize_value(name: Column, value: Column, kind: str = "decimal(20,0)") ->
         special = F.when(name == owner, F.try_element_at(_words(words), word)).otherwise(special)
     spoken = F.coalesce(special, F.try_element_at(_words(WORDS), word))
     whole = word.try_cast(kind) if kind == "long" else F.lit(None).cast(kind)  # the usual case, without decimals
-    return F.coalesce(spoken.cast(kind), whole, word.try_cast("decimal(38,6)").try_cast(kind))
+    return F.coalesce(spoken.cast(kind), whole, F.round(word.try_cast("decimal(38,6)"), 0).try_cast(kind))
 
 
 def pivot(rows: DataFrame, names: Sequence[str], cat: MetricCatalog) -> DataFrame:
