@@ -14,7 +14,7 @@ from gaugeweave.operators.report import inputs_of, report
 from gaugeweave.session import scratch_dir
 from gaugeweave.sources.tables import read_table
 from gaugeweave.streaming.alerts import EpisodeStep
-from gaugeweave.streaming.deltas import DeltaStep
+from gaugeweave.streaming.deltas import DeltaStep, TableDeltaStep
 from gaugeweave.streaming.ingest import SilenceStep, unique_seconds
 from gaugeweave.streaming.rollups import RefreshStep, closed_windows
 from gaugeweave.streaming.run import each_batch, output_table, read_files, state_table, to_table
@@ -62,6 +62,19 @@ def j2(spark, sf):
     return out.all(spark)
 
 
+@FAMILY.add("j2_stream_delta_out_of_order", f"WITH {delta_sql(METRICS, PARAMS)} SELECT * FROM delta")
+def j2_any_order(spark, sf):
+    out = output_table(spark, "deltas")
+    step = TableDeltaStep(CAT, METRICS, PARAMS, scratch_dir(spark, "samples"), state_table(spark, "noted"), shards=1)
+    rows, path = ev_samples(spark, sf, [*METRICS, *PARAMS]), scratch_dir(spark, "arrivals")
+    for i in range(BATCHES):
+        # Neighbours fall into different batches, in no order of number or time.
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(BATCHES)) == i).coalesce(1).write.mode("append").parquet(path)
+    stream = read_files(spark, path, rows.schema, files_per_batch=1)
+    each_batch(stream, lambda batch, n: out.write(step(batch, n), n) and None, scratch_dir(spark, "state"))
+    return out.all(spark)
+
+
 # Hours whose end the watermark (newest delta minus ten minutes) has passed.
 CLOSED = "SELECT * FROM rolled WHERE end_ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM delta)"
 

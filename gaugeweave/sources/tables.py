@@ -65,7 +65,7 @@ def append_rows(rows: DataFrame, path: str, shards: int = 16) -> None:
     _gathered(_placed(rows, shards)).write.mode("append").partitionBy("day", "shard").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """Whether the table has a data file or folder; folders and files that readers skip do not count."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -80,7 +80,7 @@ def open_table(spark: SparkSession, path: str, schema: StructType | str | None =
     Without a declared ``schema`` the columns of all files are merged, so a metric that appeared later is read, and
     NULL in older files. Any error but a missing table is raised.
     """
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

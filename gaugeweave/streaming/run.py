@@ -56,11 +56,11 @@ class BatchTable:
     path: str
     slots: int | None = None
 
-    def _folder(self, number: int) -> str:
+    def folder(self, number: int) -> str:
         return f"{self.path}/batch={number % self.slots if self.slots else number}"
 
     def write(self, rows: DataFrame, number: int) -> DataFrame:
-        target = self._folder(number)
+        target = self.folder(number)
         rows.write.mode("overwrite").parquet(target)
         return rows.sparkSession.read.schema(rows.schema).parquet(target)
 
@@ -68,7 +68,7 @@ class BatchTable:
         """Rows of a batch; empty before the first one."""
         if number < 0:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(self._folder(number))
+        return spark.read.schema(schema).parquet(self.folder(number))
 
     def all(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path).drop("batch")
