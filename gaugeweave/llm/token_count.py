@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK, PENALTY, MEMO = "▁", 10.0, 1 << 18
+LOWEST = float("-inf")
 _RUNS = re.compile(" *[^ ]+| +")
 
 
@@ -40,24 +41,29 @@ class Lexicon:
 
     def search(self, text: str) -> int:
         """Pieces of the best segmentation of ``text``, in which blanks are signs already."""
-        ends: dict[int, list[tuple[int, float]]] = {}
+        ends: list[list[tuple[int, float]]] = [[] for _ in text]
         if len(self.automaton):
             for end, found in self.automaton.iter(text):
-                ends.setdefault(end, []).append(found)
+                ends[end].append(found)
         best, pieces, unknown = [0.0], [0], [False]
-        for e, ch in enumerate(text):
-            top, count, is_unknown, single = float("-inf"), 0, False, False
-            for length, score in sorted(ends.get(e, ()), reverse=True):
-                single = single or length == 1
+        for e, found in enumerate(ends):
+            top, longest = LOWEST, 0
+            single = False
+            for length, score in found:
+                if length == 1:
+                    single = True
                 score += best[e + 1 - length]
-                if score > top:
-                    top, count, is_unknown = score, pieces[e + 1 - length] + 1, False
+                if score > top or score == top and length > longest:
+                    top, longest = score, length
             if not single and best[e] + self.unknown > top:
-                cost = len(ch.encode("utf-8", "replace")) if self.bytes_of_unknown else int(not unknown[e])
-                top, count, is_unknown = best[e] + self.unknown, pieces[e] + cost, True
-            best.append(top)
-            pieces.append(count)
-            unknown.append(is_unknown)
+                cost = len(text[e].encode("utf-8", "replace")) if self.bytes_of_unknown else int(not unknown[e])
+                best.append(best[e] + self.unknown)
+                pieces.append(pieces[e] + cost)
+                unknown.append(True)
+            else:
+                best.append(top)
+                pieces.append(pieces[e + 1 - longest] + 1)
+                unknown.append(False)
         return pieces[-1]
 
     def _missed(self, word: str) -> int:
