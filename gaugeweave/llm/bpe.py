@@ -20,13 +20,17 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeweave.llm.tables import rows
 from gaugeweave.session import materialize
 
-LEAF, PART, MEMO, WINDOW = 256, 32_768, 1 << 18, 4
+LEAF, PART, MEMO, WINDOW = 256, 32_768, 1 << 16, 4
+ID_BITS = 24
+ID, NONE = (1 << ID_BITS) - 1, 1 << 62
+MARKS = ",.!?;:"
 SAFE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 # Fixed value: the pattern by which byte-level BPE of this family cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,41 +54,53 @@ class Coder:
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.first = {b: ids[t] for t, b in byte.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # Rank and new token of a pair in one number: the smallest is the pair to merge.
+        self.merges = {(ids[a], ids[b]): rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.pattern = regex.compile(PATTERN)
+        # If tokens are numbered in the order of their merges, as usual, ranks say the same as the merges.
+        pieces = {t: i for i, t in self.bytes.items() if i not in self.special.values()}
+        in_order = sorted(self.merges.values()) == sorted(self.merges.values(), key=lambda m: m & ID)
+        self.short = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=pieces, special_tokens={}) if in_order else None
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.opening: dict[str, tuple[int, ...]] = {}
+        self.older_opening: dict[str, tuple[int, ...]] = {}
 
     def leaf(self, piece: bytes) -> list[int]:
         """BPE of one uncut piece: the pair of the lowest rank, leftmost first, until none is left."""
         ids = [self.first[b] for b in piece]
         get = self.merges.get
-        if len(ids) <= 24:
-            while len(ids) > 1:
-                best = min(((m[0], i, m[1]) for i, p in enumerate(zip(ids, ids[1:])) if (m := get(p))), default=None)
-                if best is None:
-                    break
-                ids[best[1] : best[1] + 2] = [best[2]]
+        if len(ids) <= 32:
+            ranks = [get(p, NONE) for p in zip(ids, ids[1:])]
+            while ranks and (best := min(ranks)) < NONE:
+                i = ranks.index(best)
+                ids[i : i + 2] = [best & ID]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((ids[i - 1], ids[i]), NONE)
+                if i < len(ranks):
+                    ranks[i] = get((ids[i], ids[i + 1]), NONE)
             return ids
         after = [*range(1, len(ids)), -1]
         before = [*range(-1, len(ids) - 1)]
-        heap = [(m[0], i, p, m[1]) for i, p in enumerate(zip(ids, ids[1:])) if (m := get(p))]
+        heap = [(m, i, p) for i, p in enumerate(zip(ids, ids[1:])) if (m := get(p)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, pair, new = heapq.heappop(heap)
+            m, i, pair = heapq.heappop(heap)
             j = after[i]
             if ids[i] != pair[0] or j < 0 or ids[j] != pair[1]:
                 continue
+            new = m & ID
             ids[i], ids[j] = new, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if m := get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, (new, ids[k]), m[1]))
+                if (m := get((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (m, i, (new, ids[k])))
             h = before[i]
-            if h >= 0 and (m := get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, (ids[h], new), m[1]))
+            if h >= 0 and (m := get((ids[h], new))) is not None:
+                heapq.heappush(heap, (m, h, (ids[h], new)))
         return [t for t in ids if t >= 0]
 
     def tree(self, piece: bytes) -> list[int]:
@@ -109,39 +125,53 @@ class Coder:
             size *= 2
 
     def uncut(self, text: str) -> tuple[int, ...]:
-        """Tokens of a stretch without a certain cut: by the pattern, then piece by piece."""
+        """Tokens of a stretch without a certain cut: by the pattern, then piece by piece.
+
+        Short stretches are leaves of the tree as they are and go to a library's merge loop.
+        """
+        if self.short is not None and len(text) <= LEAF:
+            return tuple(self.short.encode_ordinary(text))
         return tuple(chain.from_iterable(self.tree(p.encode("utf-8", "replace")) for p in self.pattern.findall(text)))
 
     def _missed(self, piece: str, opening: bool) -> tuple[int, ...] | None:
-        """None if the blanks beside the piece are no certain cuts."""
+        """Tokens of a piece between two blanks, or None if the blanks are no certain cuts.
+
+        Lines and closing marks are certain cuts too: a line feed between characters that are not white space, and the
+        end of a run of letters or digits. So a word is merged once, whatever marks and line ends follow it.
+        """
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        found = self.uncut(piece if opening else " " + piece)
+        if "\n" in piece:
+            known = [self._known(line, opening or i > 0) for i, line in enumerate(piece.split("\n"))]
+            if None not in known:
+                feed = self.first[10]
+                return tuple(chain.from_iterable((feed, *k) if i else k for i, k in enumerate(known)))
+        elif (stem := piece.rstrip(MARKS)) != piece and stem and stem[-1].isalnum():
+            return self._known(stem, opening) + self._known(piece[len(stem) :], True)
+        memo, older = (self.opening, self.older_opening) if opening else (self.memo, self.older)
+        found = older.get(piece) or self.uncut(piece if opening else " " + piece)
         if len(piece) < 64:
-            memo = self.opening if opening else self.memo
-            if len(memo) >= MEMO:
+            if len(memo) >= MEMO:  # the older half of what is known goes, what is met again moves to the newer
+                older.clear()
+                older.update(memo)
                 memo.clear()
             memo[piece] = found
         return found
 
+    def _known(self, piece: str, opening: bool) -> tuple[int, ...] | None:
+        return (self.opening if opening else self.memo).get(piece) or self._missed(piece, opening)
+
     def ordinary(self, text: str) -> list[int]:
         pieces = text.split(" ")
-        get, missed, out = self.memo.get, self._missed, []
-        found = self.opening.get(pieces[0]) or missed(pieces[0], True)
-        if found is not None:
-            out.append(found)
-            for piece in pieces[1:]:
-                found = get(piece) or missed(piece, False)
-                if found is None:
-                    break
-                out.append(found)
-            else:
-                return list(chain.from_iterable(out))
-        pieces = SAFE.split(text)
-        return list(chain.from_iterable(self._around(p if i == 0 else " " + p) for i, p in enumerate(pieces)))
-
-    def _around(self, piece: str) -> tuple[int, ...]:
-        return (self.memo.get(piece[1:]) if piece[:1] == " " else None) or self.uncut(piece)
+        get, missed = self.memo.get, self._missed
+        out = [self._known(pieces[0], True)]
+        out += [get(piece) or missed(piece, False) for piece in pieces[1:]]
+        if None not in out:
+            return list(chain.from_iterable(out))
+        stretches = SAFE.split(text)
+        return list(chain.from_iterable(
+            self._known(p, i == 0) or self.uncut(p if i == 0 else " " + p) for i, p in enumerate(stretches)
+        ))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
