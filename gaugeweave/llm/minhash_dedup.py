@@ -6,10 +6,12 @@ independent tables would need 546. A pair of documents of similarity s shares a
 collections agree (each with probability s^3): it is missed with probability 7e-4 at s = 0.8, 4e-5 at 0.85 and 6e-7
 at 0.9; unrelated documents meet with probability 91 s^6.
 
-Documents with the same set form a class first, so copies never meet in a key. In each key's bucket every class
-is compared with one hub; links are confirmed on the full sets; only buckets that still hold several components
-compare further hubs (7, then 56, ...), and only across components. So the work in a bucket of one family of copies
-is linear, and no pair that could join two components is left out.
+In the later rounds a pair must also agree in 23 of the 42 hashes, in eight bits of each: at s = 0.8 one pair in 20,000
+does not. Documents with the same set form a class first, so copies never meet in a key. Then every class is compared with the
+smallest member of its buckets; links are confirmed on the full sets. Only buckets that still hold several components
+go on: their first 32 members are compared with all others, then the next 992, ..., only across components, each pair
+at one of the keys it shares. So the work in a family of copies is linear, and no pair that could join two components
+is left out.
 """
 
 from __future__ import annotations
@@ -25,26 +27,38 @@ from gaugeweave.llm.shingles import WordHashes, mixed, shingle_set, words_of
 from gaugeweave.llm.tables import bitmap, bitmap_position, columns, in_bitmap, rows
 from gaugeweave.session import materialize
 
-COLLECTIONS, EACH, BINS = 14, 3, 128
+COLLECTIONS, EACH, SLOTS, BINS = 14, 3, 7, 128
+AGREE = 23
 _RANDOM = np.random.default_rng(20240131)
 _FACTORS = _RANDOM.integers(1, 2**63, COLLECTIONS * EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 2**63, COLLECTIONS * EACH, dtype=np.uint64)
 _STEP = 1 << 14
 
 
-def small_collections(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit value for each collection: its three minimum hashes together."""
+def minimum_hashes(shingles: np.ndarray) -> np.ndarray:
+    """42 minimum hashes; those of collection c are c, c + 14 and c + 28."""
     least = np.full(COLLECTIONS * EACH, np.uint64(2**64 - 1))
     for start in range(0, len(shingles), _STEP):
         part = np.multiply.outer(_FACTORS, shingles[start : start + _STEP])
         part += _OFFSETS[:, None]
         np.minimum(least, part.min(axis=1), out=least)
+    return least
+
+
+def small_collections(least: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each collection: its three minimum hashes together."""
     out = np.arange(COLLECTIONS, dtype=np.uint64)
     for i in range(EACH):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[i::EACH])
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[i * COLLECTIONS : (i + 1) * COLLECTIONS])
     return out
 
 
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Eight bits of each minimum hash, seven in a number, so that whole sketches are compared by bit operations."""
+    bits = (mixed(least) >> np.uint64(56)).reshape(-1, SLOTS)
+    return np.bitwise_or.reduce(bits << (np.arange(SLOTS, dtype=np.uint64) * np.uint64(8)), axis=1)
+
+
 def histogram(shingles: np.ndarray) -> bytes:
     """How many shingles fall in each of 128 bins; bounds any intersection from above."""
     return np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes()
@@ -61,12 +75,15 @@ def fingerprints(docs: DataFrame, words: int, least: int) -> DataFrame:
                 s = shingle_set(memo.of(words_of(text or b"")), words)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 high, low = np.frombuffer(digest, ">i8").tolist()
-                big = len(s) >= least
-                out.append((doc, len(s), high, low, small_collections(s).view(np.int64) if big else None,
-                            histogram(s) if big else None))
+                if len(s) < least:
+                    out.append((doc, len(s), high, low, None, None, None))
+                    continue
+                hashes = minimum_hashes(s)
+                parts, short = small_collections(hashes).view(np.int64), sketch(hashes).view(np.int64)
+                out.append((doc, len(s), high, low, parts, short, histogram(s)))
             yield out
 
-    schema = "doc_id long, n long, high long, low long, parts array<long>, bins binary"
+    schema = "doc_id long, n long, high long, low long, parts array<long>, sketch array<long>, bins binary"
     return rows(docs.selectExpr("doc_id", "CAST(text AS BINARY) AS text"), work, schema)
 
 
@@ -89,19 +106,39 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
-    """``(doc_id, parts)`` to ``(key, doc_id)``: a key for each pair of collections."""
+    """``(doc_id, parts)`` to ``(key, doc_id)``: a key for each pair of collections, the later one in its last four bits."""
     p = F.col("parts")
     pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
-    keys = F.array(*[F.xxhash64(F.lit(i * COLLECTIONS + j), p[i], p[j]) for i, j in pairs])
+    keys = F.array(*[
+        F.xxhash64(F.lit(i * COLLECTIONS + j), p[i], p[j]).bitwiseAND(F.lit(~15)).bitwiseOR(F.lit(j)) for i, j in pairs
+    ])
     return reps.select("doc_id", F.explode(keys).alias("key"))
 
 
+def _equal_slots(left: str, right: str, i: int) -> str:
+    """SQL: a bit in each of seven bytes, set where number ``i`` of two sketches has equal bytes."""
+    x = f"({left}[{i}] ^ {right}[{i}])"
+    return f"(~((({x} & {0x7F7F7F7F7F7F7F}L) + {0x7F7F7F7F7F7F7F}L) | {x}) & {0x80808080808080}L)"
+
+
+def _agreement(left: str, right: str) -> str:
+    """SQL: how many of the 42 minimum hashes two sketches share."""
+    return " + ".join(f"bit_count({_equal_slots(left, right, i)})" for i in range(COLLECTIONS * EACH // SLOTS))
+
+
+def _collections_up_to(left: str, right: str, last: str) -> str:
+    """SQL: how many collections up to number ``last`` are equal in two sketches."""
+    low = " & ".join(_equal_slots(left, right, 2 * i) for i in range(EACH))
+    high = " & ".join(_equal_slots(left, right, 2 * i + 1) for i in range(EACH))
+    mask = lambda n: f"(shiftleft(1L, 8 * least(greatest({n}, 0), {SLOTS})) - 1)"
+    return f"bit_count({low} & {mask(f'{last} + 1')}) + bit_count({high} & {mask(f'{last} + 1 - {SLOTS}')})"
+
+
 def confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union, on full sets.
 
     Sizes and bins exclude most unlike pairs exactly; only documents of the remaining pairs have their sets made.
-    A pair travels with the smaller id's place: sets are joined to pairs once by each end, so a hub with very many
-    links is a skewed join and can be split.
+    Sets are joined to pairs by either end, so a hub with very many links is a skewed join, which Spark splits.
     """
     left = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("bins_a"))
     right = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bins_b"))
@@ -152,6 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     """
     docs = columns(docs, doc_id=id_column, text=text_column).selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
     least = -(-percent // (100 - percent))  # smaller sets are only similar to themselves
+    agree = AGREE * percent // 80
     prints = materialize(fingerprints(docs, words, least), "fingerprints")
 
     known = prints.where("n > 0 AND doc_id IS NOT NULL")
@@ -165,34 +203,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     )
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     sizes = materialize(
-        known.where(f"n >= {least}").select("doc_id", "n", "parts", "bins").join(reps, "doc_id", "left_semi"), "classes"
+        known.where(f"n >= {least}").select("doc_id", "n", "parts", "sketch", "bins").join(reps, "doc_id", "left_semi"), "classes"
     )
 
     keys = table_keys(sizes)
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     shared = materialize(keys.join(buckets.select("key", "hub"), "key"), "buckets")
-    first = shared.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # First every document meets the smallest hub of all its buckets: one pair each, which joins families of copies.
+    first = shared.groupBy("doc_id").agg(F.min("hub").alias("a")).where("a < doc_id").selectExpr("a", "doc_id AS b")
     links = materialize(confirmed(first, sizes, docs, words, percent), "hub-links")
     # Texts that share an id are joined through it.
     same_id = members.where("doc_id <> rep").selectExpr("doc_id AS a", "rep AS b").join(reps.selectExpr("doc_id AS a"), "a", "left_semi")
     labels = materialize(components(links.union(same_id)), "components")
 
-    done, until = 1, 8
+    done, until = 0, 32
     while True:
-        open_rows = _several_components(shared, labels)
-        ranked = materialize(
-            open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1), "open-buckets"
-        )
-        hubs = ranked.where(F.col("rank").between(done, until - 1)).selectExpr("key", "doc_id AS a", "component AS ca", "rank AS ra")
+        ranked = materialize(_open_buckets(shared, labels, sizes), "open-buckets")
+        hubs = ranked.where(F.col("rank").between(done, until - 1))
+        hubs = hubs.selectExpr("key", "doc_id AS a", "component AS ca", "rank AS ra", "n AS na", "sketch AS sa")
         if hubs.isEmpty():
             break
-        others = ranked.selectExpr("key", "doc_id AS b", "component AS cb", "rank AS rb")
-        pairs = hubs.join(others, "key").where("ca <> cb AND rb > ra").select("a", "b").distinct()
+        others = ranked.selectExpr("key", "doc_id AS b", "component AS cb", "rank AS rb", "n AS nb", "sketch AS sb")
+        # A pair that shares several keys is taken at the one of its first two equal collections.
+        once = f"{_collections_up_to('sa', 'sb', 'CAST(key & 15 AS INT)')} = 2"
+        alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {_agreement('sa', 'sb')} >= {agree}"
+        pairs = hubs.join(others, "key").where(f"ca <> cb AND rb > ra AND {alike} AND {once}").select("a", "b").distinct()
         found = materialize(confirmed(pairs, sizes, docs, words, percent), "further-links")
         if not found.isEmpty():
             links = links.union(found)
             labels = materialize(components(links.union(same_id)), "components")
-        shared, done, until = ranked.select("key", "doc_id"), until, until * 8
+        shared, done, until = ranked.select("key", "doc_id"), until, until * 32
 
     named = labels.select(F.col("node").alias("rep"), "component")
     out = members.join(named, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
@@ -200,12 +240,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
                           "coalesce(doc_id = component_id, true) AS kept")
 
 
-def _several_components(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component."""
+def _open_buckets(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, numbered by id in each."""
     named = shared.select("key", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return named.join(mixed_keys.select("key"), "key")
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows_of = named.join(several.select("key"), "key")
+    ranked = rows_of.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1)
+    return ranked.join(sizes.select("doc_id", "n", "sketch"), "doc_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -80,11 +80,29 @@ def test_miss_probability_of_the_tensored_keys():
     for _ in range(300):
         pool = rng.integers(0, 2**64, 450, dtype=np.uint64)
         a, b = np.unique(pool[:425]), np.unique(pool[25:])  # similarity 400 / 450
-        same = (minhash_dedup.small_collections(a) == minhash_dedup.small_collections(b)).sum()
-        missed += same < 2
+        x, y = minhash_dedup.minimum_hashes(a), minhash_dedup.minimum_hashes(b)
+        same = (minhash_dedup.small_collections(x) == minhash_dedup.small_collections(y)).sum()
+        missed += same < 2 or (x == y).sum() < minhash_dedup.AGREE
     assert missed == 0
 
 
+def test_sketches_compared_by_bit_operations(spark):
+    rng, rows = np.random.default_rng(6), []
+    for i in range(60):
+        x = rng.integers(0, 2**64, 42, dtype=np.uint64)
+        y = np.where(rng.random(42) < i / 60, x, rng.integers(0, 2**64, 42, dtype=np.uint64))
+        a, b = minhash_dedup.sketch(x), minhash_dedup.sketch(y)
+        bytes_of = lambda v: np.array([(int(w) >> (8 * k)) & 255 for w in v for k in range(7)])
+        equal = bytes_of(a) == bytes_of(b)
+        per = equal.reshape(3, 14).all(axis=0)
+        last = i % 14
+        rows.append((a.view(np.int64).tolist(), b.view(np.int64).tolist(), last, int(equal.sum()), int(per[: last + 1].sum())))
+        assert (equal >= (x == y)).all()
+    df = spark.createDataFrame(rows, "sa array<long>, sb array<long>, last int, total int, upto int")
+    got = df.selectExpr(f"{minhash_dedup._agreement('sa', 'sb')} AS t", f"{minhash_dedup._collections_up_to('sa', 'sb', 'last')} AS u", "total", "upto").collect()
+    assert all(r["t"] == r["total"] and r["u"] == r["upto"] for r in got)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash_dedup.near_duplicates(empty).count() == 0
