@@ -7,7 +7,7 @@ collections agree (each with probability s^3): it is missed with probability 7e-
 at 0.9; unrelated documents meet with probability 91 s^6.
 
 In the later rounds a pair must also agree in 23 of the 42 hashes, in eight bits of each: at s = 0.8 one pair in 20,000
-does not. Documents with the same set form a class first, so copies never meet in a key. Then every class is compared with the
+does not. At which of its keys a pair is taken is read from the collections that the keys are made of. Documents with the same set form a class first, so copies never meet in a key. Then every class is compared with the
 smallest member of its buckets; links are confirmed on the full sets. Only buckets that still hold several components
 go on: their first 32 members are compared with all others, then the next 992, ..., only across components, each pair
 at one of the keys it shares. So the work in a family of copies is linear, and no pair that could join two components
@@ -46,11 +46,11 @@ def minimum_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def small_collections(least: np.ndarray) -> np.ndarray:
-    """One 64-bit value for each collection: its three minimum hashes together."""
+    """One 32-bit value for each collection: its three minimum hashes together."""
     out = np.arange(COLLECTIONS, dtype=np.uint64)
     for i in range(EACH):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[i * COLLECTIONS : (i + 1) * COLLECTIONS])
-    return out
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
@@ -79,11 +79,11 @@ def fingerprints(docs: DataFrame, words: int, least: int) -> DataFrame:
                     out.append((doc, len(s), high, low, None, None, None))
                     continue
                 hashes = minimum_hashes(s)
-                parts, short = small_collections(hashes).view(np.int64), sketch(hashes).view(np.int64)
+                parts, short = small_collections(hashes).view(np.int32), sketch(hashes).view(np.int64)
                 out.append((doc, len(s), high, low, parts, short, histogram(s)))
             yield out
 
-    schema = "doc_id long, n long, high long, low long, parts array<long>, sketch array<long>, bins binary"
+    schema = "doc_id long, n long, high long, low long, parts array<int>, sketch array<long>, bins binary"
     return rows(docs.selectExpr("doc_id", "CAST(text AS BINARY) AS text"), work, schema)
 
 
@@ -134,6 +134,17 @@ def _collections_up_to(left: str, right: str, last: str) -> str:
     return f"bit_count({low} & {mask(f'{last} + 1')}) + bit_count({high} & {mask(f'{last} + 1 - {SLOTS}')})"
 
 
+def _taken_at(key: str, left: str, right: str) -> str:
+    """SQL: whether ``key`` is the one of a pair's first two equal collections, so that one of its shared keys is.
+
+    ``left`` and ``right`` are suffixes of the columns ``s`` (sketch) and ``p`` (collections). Equal collections have
+    equal sketches, so two equal in the sketches are the key's own; if more look equal, the collections decide.
+    """
+    last = f"CAST({key} & 15 AS INT)"
+    equal = " + ".join(f"CAST({last} >= {i} AND p{left}[{i}] = p{right}[{i}] AS INT)" for i in range(COLLECTIONS))
+    return f"({_collections_up_to(f's{left}', f's{right}', last)} = 2 OR {equal} = 2)"
+
+
 def confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union, on full sets.
 
@@ -220,14 +231,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     while True:
         ranked = materialize(_open_buckets(shared, labels, sizes), "open-buckets")
         hubs = ranked.where(F.col("rank").between(done, until - 1))
-        hubs = hubs.selectExpr("key", "doc_id AS a", "component AS ca", "rank AS ra", "n AS na", "sketch AS sa")
+        hubs = hubs.selectExpr("key", "doc_id AS a", "component AS ca", "rank AS ra", "n AS na", "sketch AS sa", "parts AS pa")
         if hubs.isEmpty():
             break
-        others = ranked.selectExpr("key", "doc_id AS b", "component AS cb", "rank AS rb", "n AS nb", "sketch AS sb")
-        # A pair that shares several keys is taken at the one of its first two equal collections.
-        once = f"{_collections_up_to('sa', 'sb', 'CAST(key & 15 AS INT)')} = 2"
+        others = ranked.selectExpr("key", "doc_id AS b", "component AS cb", "rank AS rb", "n AS nb", "sketch AS sb", "parts AS pb")
         alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {_agreement('sa', 'sb')} >= {agree}"
-        pairs = hubs.join(others, "key").where(f"ca <> cb AND rb > ra AND {alike} AND {once}").select("a", "b").distinct()
+        pairs = hubs.join(others, "key").where(f"ca <> cb AND rb > ra AND {alike} AND {_taken_at('key', 'a', 'b')}").select("a", "b").distinct()
         found = materialize(confirmed(pairs, sizes, docs, words, percent), "further-links")
         if not found.isEmpty():
             links = links.union(found)
@@ -247,7 +256,7 @@ def _open_buckets(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> Dat
     several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows_of = named.join(several.select("key"), "key")
     ranked = rows_of.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1)
-    return ranked.join(sizes.select("doc_id", "n", "sketch"), "doc_id")
+    return ranked.join(sizes.select("doc_id", "n", "sketch", "parts"), "doc_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

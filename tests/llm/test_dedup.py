@@ -103,6 +103,28 @@ def test_sketches_compared_by_bit_operations(spark):
     assert all(r["t"] == r["total"] and r["u"] == r["upto"] for r in got)
 
 
+def test_every_pair_is_taken_at_one_of_its_keys(spark):
+    rng, rows, lost = np.random.default_rng(8), [], 0
+    for i in range(3000):
+        x = rng.integers(0, 2**64, 42, dtype=np.uint64)
+        y = np.where(rng.random(42) < 0.8, x, rng.integers(0, 2**64, 42, dtype=np.uint64))
+        a, b = (minhash_dedup.small_collections(v).view(np.int32).tolist() for v in (x, y))
+        same = [k for k in range(14) if a[k] == b[k]]
+        lost += len(same) < 2 or (x == y).sum() < minhash_dedup.AGREE
+        sa, sb = (minhash_dedup.sketch(v).view(np.int64).tolist() for v in (x, y))
+        rows += [(i, j, sa, sb, a, b) for _, j in combinations(same, 2)]
+    assert lost < 10
+    df = spark.createDataFrame(rows, "i int, key long, sa array<long>, sb array<long>, pa array<int>, pb array<int>")
+    taken = df.groupBy("i").agg({"*": "count"}).join(
+        df.where(minhash_dedup._taken_at("key", "a", "b")).groupBy("i").count(), "i", "left").collect()
+    assert len(taken) >= 2990 and all(r["count"] == 1 for r in taken)
+
+
+def test_chain_is_joined_when_all_sketches_look_equal(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "sketch", lambda least: np.zeros(6, np.uint64))
+    test_chain_of_edits_is_one_component(spark)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash_dedup.near_duplicates(empty).count() == 0
