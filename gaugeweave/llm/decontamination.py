@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Test items are cut into segments of at most 96 words (64 words apart by 32 if longer). Every run of three words of a
-segment is a seed. One pass over the documents counts how many hold each seed; seeds that none holds find nothing and
-go. A segment keeps its seeds that at most one document in a thousand holds (or 20 documents, in a small corpus), and in
-any case its 16 rarest, so a passage copied into a third of the corpus is still found. A second pass takes the passages (blocks of 64 words with 96 words on either side) that hold a kept seed;
-seeds join passages to segments, and each pair is aligned: match 2, other word -1, gap -1. The score is the best local
-alignment as a share of a perfect one; 0.5 and more is contamination.
+segment is a seed, however many documents hold it: an excerpt that is everywhere has only such seeds. One pass takes
+the passages (blocks of 64 words with 96 words on either side) that hold a seed; seeds join passages to segments. Pairs
+with too few words in common for the threshold are left out, which loses none, and the others are aligned: match 2,
+other word -1, gap -1. The score is the best local alignment as a share of a perfect one; 0.5 and more is contamination.
 
 Tasks receive bitmaps of a fixed size that only save moving passages; which seed belongs to which item is an equi-join.
 """
@@ -18,16 +17,14 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from gaugeweave.llm.shingles import WordHashes, windows
 from gaugeweave.llm.tables import columns, in_bitmap, marks, rows
 from gaugeweave.session import materialize
 
 SEED, SEGMENT, LONG, STRIDE, BLOCK = 3, 96, 64, 32, 64
-RARE_SHARE, RARE_DOCS, AT_LEAST, THRESHOLD = 1e-3, 20, 16, 0.5
+THRESHOLD = 0.5
 MATCH, OTHER, GAP = 2, -1, -1
-FLUSH = 200_000
 _APART = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _SIGNS = re.compile("[\u0080-¿ -⁯　-〿]")
 
@@ -83,32 +80,6 @@ def _hits(grams: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.flatnonzero(in_bitmap(wanted, grams >> np.uint64(40)))
 
 
-def document_counts(docs: DataFrame, wanted) -> DataFrame:
-    """``(seed, docs)`` for the grams that the bitmap lets pass."""
-
-    def work(batches):
-        memo, counts = WordHashes(), Counter()
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                words = words_of(text)
-                if len(words) >= SEED:
-                    grams = windows(memo.of(words), SEED)
-                    counts.update(set(grams[_hits(grams, wanted.value)].view(np.int64).tolist()))
-            if len(counts) > FLUSH:
-                yield list(counts.items())
-                counts = Counter()
-        yield list(counts.items())
-
-    return rows(docs.select("text"), work, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
-
-
-def rare_seeds(seeds: DataFrame, docs: DataFrame) -> DataFrame:
-    counts = document_counts(docs, _marks(seeds))
-    limit = max(RARE_SHARE * docs.count(), RARE_DOCS)
-    rank = F.row_number().over(Window.partitionBy("item_id", "segment").orderBy("docs", "seed"))
-    return seeds.join(counts, "seed").withColumn("rank", rank).where((F.col("docs") <= limit) | (F.col("rank") <= AT_LEAST)).select("seed", "item_id", "segment")
-
-
 def passages(docs: DataFrame, wanted) -> DataFrame:
     """``(doc_id, block, seeds, words)`` of the blocks in which a seed begins."""
 
@@ -150,6 +121,15 @@ def alignment_scores(items: list[list[int]], texts: list[list[int]]) -> np.ndarr
     return best
 
 
+def words_in_common(items: list[list[int]], texts: list[list[int]]) -> np.ndarray:
+    """How many words each pair shares, repeated ones as often as both have them; no alignment matches more."""
+    out = []
+    for item, text in zip(items, texts):
+        held = Counter(text)
+        out.append(sum(min(n, held[w]) for w, n in Counter(item).items()))
+    return np.array(out, np.int64)
+
+
 def contamination(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id",
                   text_column: str = "text") -> DataFrame:
     """One row ``doc_id, item_id, score`` for each document and test item whose alignment reaches ``threshold``.
@@ -160,7 +140,7 @@ def contamination(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOL
     docs = columns(docs, doc_id=id_column, text=text_column).selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
     bench = columns(bench, item_id="item_id", text="text").selectExpr("CAST(item_id AS LONG) AS item_id", "text")
     parts = materialize(segments(bench), "segments")
-    seeds = materialize(rare_seeds(seeds_of(parts), docs), "seeds")
+    seeds = materialize(seeds_of(parts), "seeds")
     found = materialize(passages(docs, _marks(seeds)), "passages")
     pairs = found.select("doc_id", "block", F.explode("seeds").alias("seed")).join(seeds, "seed")
     pairs = pairs.select("doc_id", "block", "item_id", "segment").distinct()
@@ -174,8 +154,12 @@ def contamination(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOL
                 numbers: dict[str, int] = {}
                 number = lambda text: [numbers.setdefault(w, len(numbers)) for w in text.split(" ")]
                 items = [number(t) for t in part["words"].to_pylist()]
-                scores = alignment_scores(items, [number(t) for t in part["passage"].to_pylist()])
-                share = scores / (MATCH * np.array([len(x) for x in items]))
+                texts = [number(t) for t in part["passage"].to_pylist()]
+                perfect = MATCH * np.array([len(x) for x in items])
+                share = MATCH * words_in_common(items, texts) / perfect  # an upper bound of the score
+                near = np.flatnonzero(share >= threshold)
+                if len(near):
+                    share[near] = alignment_scores([items[i] for i in near], [texts[i] for i in near]) / perfect[near]
                 ids = zip(part["doc_id"].to_pylist(), part["item_id"].to_pylist(), share.tolist())
                 yield [x for x in ids if x[2] >= threshold]
 

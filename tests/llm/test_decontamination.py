@@ -61,6 +61,14 @@ def test_a_passage_in_most_documents_is_found(spark):
     assert got == {i for i in range(200) if i % 3}
 
 
+def test_a_frequent_excerpt_is_found_beside_a_whole_copy(spark):
+    item = prose(66, 50)
+    excerpt = " ".join(item.split(" ")[:32])
+    texts = [(0, prose(0, 60) + " " + item)] + [(i, prose(i, 60) + (" " + excerpt if i <= 25 else "")) for i in range(1, 40)]
+    got = {r["doc_id"] for r in d.contamination(documents(spark, texts), bench(spark, [(5, item)])).collect()}
+    assert got == set(range(26))
+
+
 def test_long_items_are_found_by_their_segments(spark):
     item = prose(88, 400)
     part = " ".join(item.split(" ")[128:192])
