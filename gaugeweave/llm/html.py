@@ -39,14 +39,14 @@ ENDS_P = BLOCKS - frozenset("br button option select summary caption html head b
 class Block(NamedTuple):
     path: str
     noise: bool
-    article: bool
+    article: str  # path of the outermost article or main element around it, empty if there is none
     text: str
 
 
 def _noisy(tag: str, rest: str, in_article: bool) -> bool:
     if tag in NOISE_TAGS or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "article", "main") or "=" not in rest:
+    if tag in ("html", "body", "main") or "=" not in rest:
         return False
     words = {w for found in NAMES.findall(rest) for w in re.split(r"[^a-z]+", "".join(found).lower())}
     return not words.isdisjoint(NOISE_NAMES)
@@ -61,7 +61,7 @@ def blocks(source: str | None) -> Iterator[Block]:
     """The non-empty blocks in page order. Open elements end with the page; a block's white space is single blanks."""
     if not source:
         return
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, article
+    stack: list[tuple[str, str, bool, str]] = []  # tag, path, noise, article
     held: list[str] = []
     at = 0
 
@@ -70,7 +70,7 @@ def blocks(source: str | None) -> Iterator[Block]:
             text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                _, path, noise, article = stack[-1] if stack else ("", "", False, False)
+                _, path, noise, article = stack[-1] if stack else ("", "", False, "")
                 yield Block(path, noise, article, text)
 
     for m in TOKEN.finditer(source):
@@ -103,11 +103,11 @@ def blocks(source: str | None) -> Iterator[Block]:
                     break
         if m["rest"].endswith("/") and tag not in BLOCKS:
             continue
-        _, path, noise, article = stack[-1] if stack else ("", "", False, False)
-        inside = article or tag in ("article", "main")
+        _, path, noise, article = stack[-1] if stack else ("", "", False, "")
         # Inline tags do not tell branches apart.
         path = f"{path}/{_style(tag, m['rest'])}" if tag in BLOCKS else path
-        stack.append((tag, path, noise or _noisy(tag, m["rest"], inside), inside))
+        inside = article or (path if tag in ("article", "main") else "")
+        stack.append((tag, path, noise or _noisy(tag, m["rest"], bool(inside)), inside))
     if at < len(source):
         tail = source[at:]
         held.append(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", tail) else tail)

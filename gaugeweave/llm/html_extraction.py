@@ -9,20 +9,25 @@ if no two do. Branches below 0.2 that at least four pages and a twentieth of the
 Entropy alone cannot find menus, adverts and footers whose words differ on every page, nor keep an article that many
 pages repeat. So elements have a prior: navigation, footers, forms and the like (by tag, or by class, id and role
 names) have importance 0 and articles 1; the measured importance decides on everything else. If a page has an article
-or main element, only what is in it can be main text.
+or main element that is not itself in such a place, only what is in it can be main text, and the tree judges the
+branches below it. There it counts each different article once, so that copies of a whole article do not make its
+parts look like boilerplate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeweave.llm.html import blocks
+from gaugeweave.llm.html import Block, blocks
 from gaugeweave.llm.tables import columns, rows
 from gaugeweave.session import materialize
 
 IMPORTANT, LEAST_PAGES, LEAST_SHARE = 0.2, 4, 0.05
+ARTICLE = r"/(article|main)(\.[^/]*)?$"
 FLUSH = 50_000
 
 
@@ -31,19 +36,40 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def candidates(source: str | None) -> list[Block]:
+    """The blocks that can be main text by their elements alone."""
+    kept = [b for b in blocks(source) if not b.noise]
+    return [b for b in kept if b.article] or kept
+
+
+def branches(block: Block) -> Iterator[str]:
+    """The branches that hold a block, up to the article around it."""
+    path = block.path
+    while len(path) > len(block.article):
+        yield path
+        path = path.rpartition("/")[0]
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
     """``(host, path, pages, importance)`` of every branch, from ``pages(host, html)``.
 
-    A page adds one feature of each kind to each of its branches; equal ones are added up in the task first.
+    A page adds one feature of each kind to each of its branches; equal ones are added up in the task first. Below
+    an article a feature carries the article's digest and counts once for each.
     """
 
     def work(batches):
         counts: dict[tuple, int] = {}
         for batch in batches:
             for name, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
+                kept = list(blocks(source))
+                main = [b.text for b in kept if b.article and not b.noise]
+                article = xxhash.xxh3_64_intdigest("\n".join(main)) - 2**63 if main else 0
+                inside: set[str] = set()
                 contents: dict[str, list[str]] = {}
                 shapes: dict[str, list[str]] = {}
-                for b in blocks(source):
+                for b in kept:
+                    if main and b.article:
+                        inside.update(branches(b))
                     path = b.path
                     while path:
                         contents.setdefault(path, []).append(b.text)
@@ -54,14 +80,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
                         path = upper
                 for kind, table in ((0, contents), (1, shapes)):
                     for path, items in table.items():
-                        key = name, path, kind, xxhash.xxh3_64_intdigest("\n".join(items)) - 2**63
+                        key = name, path, kind, xxhash.xxh3_64_intdigest("\n".join(items)) - 2**63, article if path in inside else None
                         counts[key] = counts.get(key, 0) + 1
             if len(counts) > FLUSH:
                 yield [(*k, n) for k, n in counts.items()]
                 counts = {}
         yield [(*k, n) for k, n in counts.items()]
 
-    features = rows(pages, work, "host string, path string, kind int, feature long, n long")
+    features = rows(pages, work, "host string, path string, kind int, feature long, article long, n long")
+    features = features.groupBy("host", "path", "kind", "feature", "article").agg(F.sum("n").alias("n"))
+    features = features.withColumn("n", F.expr("CASE WHEN article IS NULL THEN n ELSE 1 END"))
     features = features.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
     kinds = features.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.expr("n * ln(n)")).alias("inner"))
     entropy = F.expr("CASE WHEN pages > 1 THEN (ln(pages) - inner / pages) / ln(pages) ELSE 1D END")
@@ -74,24 +102,14 @@ def unimportant(pages: DataFrame) -> DataFrame:
     """``(host, low)``: each host's branches to remove. A branch is on a twentieth of the pages at least, so a list
     holds at most twenty times the branches of a page."""
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
-    low = style_tree(pages).where(f"importance < {IMPORTANT} AND pages >= {LEAST_PAGES}")
+    low = style_tree(pages).where(f"importance < {IMPORTANT} AND pages >= {LEAST_PAGES}").where(~F.col("path").rlike(ARTICLE))
     low = low.join(totals, "host").where(f"pages >= {LEAST_SHARE} * total")
     return low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
 
 
 def main_text(source: str | None, low: list[str] | None) -> str:
-    kept, low = list(blocks(source)), set(low or ())
-    if any(b.article for b in kept):
-        return "\n".join(b.text for b in kept if b.article and not b.noise)
-    return "\n".join(b.text for b in kept if not b.noise and not _below(b.path, low))
-
-
-def _below(path: str, low: set[str]) -> bool:
-    while low and path:
-        if path in low:
-            return True
-        path = path.rpartition("/")[0]
-    return False
+    removed = set(low or ())
+    return "\n".join(b.text for b in candidates(source) if removed.isdisjoint(branches(b)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

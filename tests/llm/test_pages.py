@@ -44,6 +44,21 @@ def test_importance_is_entropy(spark):
     assert got["/div.a"] == 1 and got["/div.b"] == 0 and got["/div.c"] == 0.5
 
 
+def test_tree_judges_branches_inside_the_article(spark):
+    page = lambda i: f"<body><article class=post><h1>Head {i}</h1><div class=box>join our list</div><p>own {i}</p></article>"
+    got = texts(html_extraction.extract(pages(spark, [(i, "http://a.example/", page(i)) for i in range(8)])))
+    assert got == {i: f"Head {i}\nown {i}" for i in range(8)}
+
+
+def test_comments_in_article_elements_are_not_the_article(spark):
+    page = lambda i: (
+        f"<body><div class=post><p>own {i}</p></div><section class=comments><article><p>nice {i}</p></article></section>"
+        f"<article class=comment><p>bad {i}</p></article>"
+    )
+    got = texts(html_extraction.extract(pages(spark, [(i, "http://a.example/", page(i)) for i in range(3)])))
+    assert got == {i: f"own {i}" for i in range(3)}
+
+
 def test_copies_of_an_article_stay(spark):
     got = texts(html_extraction.extract(pages(spark, [(i, "http://a.example/", article(1)) for i in range(30)])))
     assert set(got.values()) == {"Head & 1\nOne bold 1\nTwo <1"}
