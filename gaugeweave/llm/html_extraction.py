@@ -4,7 +4,7 @@ The element trees of a host's pages are merged: elements with the same chain of
 For each branch it is counted which contents (all text below it) and which presentations (sequence of the branches
 below) its pages show.
 Importance is the larger of the two entropies, to the base of the number of pages: 0 if all pages look alike there, 1
-if no two do. Branches below 0.2 that at least four pages and a twentieth of the host's pages have are removed.
+if no two do. Branches below 0.2 that at least four pages have are removed, however small a part of the host they are.
 
 Entropy alone cannot find menus, adverts and footers whose words differ on every page, nor keep an article that many
 pages repeat. So elements have a prior: navigation, footers, forms and the like (by tag, or by class, id and role
@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeweave.llm.html import Block, blocks
-from gaugeweave.llm.tables import columns, rows
+from gaugeweave.llm.tables import BITMAP_WORDS, columns, marks, rows
 from gaugeweave.session import materialize
 
-IMPORTANT, LEAST_PAGES, LEAST_SHARE = 0.2, 4, 0.05
+IMPORTANT, LEAST_PAGES = 0.2, 4
 ARTICLE = r"/(article|main)(\.[^/]*)?$"
 FLUSH = 50_000
 
@@ -99,12 +99,33 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
-    """``(host, low)``: each host's branches to remove. A branch is on a twentieth of the pages at least, so a list
-    holds at most twenty times the branches of a page."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    """``(host, path)`` of the branches to remove."""
     low = style_tree(pages).where(f"importance < {IMPORTANT} AND pages >= {LEAST_PAGES}").where(~F.col("path").rlike(ARTICLE))
-    low = low.join(totals, "host").where(f"pages >= {LEAST_SHARE} * total")
-    return low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    return low.select("host", "path")
+
+
+def removals(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """``(host, digest, low)``: of the branches of each different page of a host those in ``low(host, path)``.
+
+    The join is by host and path, so a list holds branches of its page only. Tasks receive a bitmap of a fixed size that
+    saves moving branches that are not in ``low``.
+    """
+    places = low.select(F.pmod(F.xxhash64(F.concat_ws("\n", "host", "path")), F.lit(BITMAP_WORDS * 64)).alias("at"))
+    wanted = pages.sparkSession.sparkContext.broadcast(marks(places))
+
+    def work(batches):
+        marked = wanted.value
+        for batch in batches:
+            out = []
+            for name, digest, source in zip(*(batch[c].to_pylist() for c in ("host", "digest", "html"))):
+                for path in {p for b in candidates(source) for p in branches(b)}:
+                    at = xxhash.xxh64_intdigest(f"{name}\n{path}".encode(), 42) % (BITMAP_WORDS * 64)
+                    if int(marked[at >> 6]) >> (at & 63) & 1:
+                        out.append((name, digest, path))
+            yield out
+
+    found = rows(pages.select("host", "digest", "html"), work, "host string, digest binary, path string").distinct()
+    return found.join(low, ["host", "path"]).groupBy("host", "digest").agg(F.sort_array(F.collect_list("path")).alias("low"))
 
 
 def main_text(source: str | None, low: list[str] | None) -> str:
@@ -120,7 +141,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     pages = columns(pages, page_id="page_id", url="url", html="html").withColumn("host", host(F.col("url")))
     low = materialize(unimportant(pages.select("host", "html")), "unimportant")
-    joined = pages.join(low, "host", "left").select("page_id", "url", "html", "low")
+    pages = pages.withColumn("digest", F.unhex(F.md5(F.coalesce("html", F.lit("")))))
+    removed = materialize(removals(pages, low), "removals")
+    joined = pages.join(removed, ["host", "digest"], "left").select("page_id", "url", "html", "low")
 
     def work(batches):
         for batch in batches:

@@ -59,6 +59,13 @@ def test_comments_in_article_elements_are_not_the_article(spark):
     assert got == {i: f"own {i}" for i in range(3)}
 
 
+def test_boilerplate_of_many_templates_goes(spark):
+    """Each of 30 templates is on fewer than a twentieth of the host's pages."""
+    page = lambda i: f"<body><div class=t{i % 30}><div class=x>the same in template {i % 30}</div><p>own {i}</p></div>"
+    got = texts(html_extraction.extract(pages(spark, [(i, "http://a.example/", page(i)) for i in range(150)])))
+    assert got == {i: f"own {i}" for i in range(150)}
+
+
 def test_copies_of_an_article_stay(spark):
     got = texts(html_extraction.extract(pages(spark, [(i, "http://a.example/", article(1)) for i in range(30)])))
     assert set(got.values()) == {"Head & 1\nOne bold 1\nTwo <1"}
