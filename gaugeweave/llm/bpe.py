@@ -187,26 +187,31 @@ class Coder:
     def parts(self, text: str):
         """``(joined to the part before, text)``: parts that can be encoded apart.
 
-        Parts that are not joined are whole by the pattern; joined ones belong to one uncut piece.
+        Parts that are not joined are whole by the pattern; joined ones belong to one uncut piece. How the pattern cuts
+        white space depends on what follows, so a part does not end with it unless it is a single piece.
         """
         for p in self.split_special.split(text):
             if p in self.special:
                 yield False, p
                 continue
-            held = ""
+            held, blank = "", []  # blank: pieces of white space after what is held
             for i, stretch in enumerate(SAFE.split(p)):
                 stretch = stretch if i == 0 else " " + stretch
                 for piece in [stretch] if len(stretch) <= PART else self.pattern.findall(stretch):
-                    if len(held) + len(piece) > PART and held:
+                    if held and len(held) + sum(map(len, blank)) + len(piece) > PART:
                         yield False, held
                         held = ""
                     if len(piece) > PART:
+                        yield from ((False, b) for b in blank)
+                        blank = []
                         for at in range(0, len(piece), PART):
                             yield at > 0, piece[at : at + PART]
+                    elif piece.isspace():
+                        blank.append(piece)
                     else:
-                        held += piece
-            if held:
-                yield False, held
+                        held, blank = held + "".join(blank) + piece, []
+            if held or blank:
+                yield False, held + "".join(blank)
 
 
 _CODERS: dict[int, Coder] = {}

@@ -61,6 +61,24 @@ def test_documents_of_many_parts(spark, tokenizer):
         assert r["n_tokens"] == len(r["token_ids"])
 
 
+def test_parts_do_not_end_in_white_space(coder, tokenizer):
+    rng, texts = random.Random(6), ["好\n\n" + "z" * 40_000, "\n\n" + "z" * 40_000 + "\n \n字" + "q" * 40_000 + "\n\n"]
+    texts.append("a\n\n字" + "\n" * 40_000 + "x\n\n")
+    for k in range(5):
+        texts.append("x" * k + "".join("".join(rng.choices("好字日本語", k=9)) + "。" + "\n\n" * (i % 5 == k) for i in range(8_000)))
+    texts += ["x" * k + "好\n\n字\n  日" * 8_000 for k in range(8)]
+    for text in texts:
+        parts = list(coder.parts(text))
+        assert "".join(part for _, part in parts) == text
+        ids, open_ = [], []
+        for n, (joined, part) in enumerate(parts):
+            whole = not joined and not (n + 1 < len(parts) and parts[n + 1][0])
+            if not joined:
+                ids, open_ = ids + bpe._tree_join(coder, open_), []
+            open_.append(coder.encode(part) if whole else coder.tree(part.encode()))
+        assert ids + bpe._tree_join(coder, open_) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_awkward_rows(spark, tokenizer):
     docs = awkward(spark)
     got = bpe.decode(bpe.encode(docs, FILE), FILE)
