@@ -15,8 +15,9 @@ their rows; fold 4 fits a logistic curve on five figures of a document: mean log
 share of the root of the length, and the log length. Rows of fold 0 are never learned from.
 
 The counts grow with the labelled documents. A task receives only words whose share of a class's counts is at least
-``share``: at most 2 / share words by construction, a bound proven whatever the input; rarer words have the ratio
-of the shared backoff.
+``share``: at most 2 / share words by construction, a bound proven whatever the input. The ratios of all rarer words
+stay in a table and are joined to the distinct words of the texts that hold them; each different text is looked up
+once. Words that neither class counts more than D times have exactly the ratio of the shared backoff and need no row.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeweave.llm.tables import bitmap, bitmap_position, columns, fold, held_out, in_bitmap, rows
+from gaugeweave.llm.tables import BITMAP_WORDS, bitmap, bitmap_position, columns, fold, held_out, in_bitmap, rows
 from gaugeweave.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -85,18 +86,30 @@ def _rows_of(ordinary, toxic):
     return [(w, ordinary.get(w, 0), toxic.get(w, 0)) for w in ordinary.keys() | toxic.keys()]
 
 
-def log_ratios(counts: DataFrame, discount: float = DISCOUNT, share: float = SHARE) -> tuple[dict[str, float], float]:
-    """Log p_toxic(w) / p_ordinary(w) of the words above ``share``, and the ratio of all others."""
+def _totals(counts: DataFrame, discount: float) -> tuple[float, float, float, float] | None:
+    """The counts of either class and what the discount leaves to the shared ones; None without both classes."""
     total = counts.agg(
         F.sum("ordinary"), F.sum("toxic"),
         F.sum(F.expr(f"greatest(ordinary - {discount}, 0D)")), F.sum(F.expr(f"greatest(toxic - {discount}, 0D)")),
     ).first()
     if not total[0] or not total[1]:
-        return {}, 0.0
+        return None
     n_o, n_t, left_o, left_t = map(float, total)
-    lam_o, lam_t = 1 - left_o / n_o, 1 - left_t / n_t
+    return n_o, n_t, 1 - left_o / n_o, 1 - left_t / n_t
+
+
+def _is_frequent(n_o: float, n_t: float, discount: float, share: float):
+    return (F.col("ordinary") >= max(share * n_o, discount)) | (F.col("toxic") >= max(share * n_t, discount))
+
+
+def log_ratios(counts: DataFrame, discount: float = DISCOUNT, share: float = SHARE) -> tuple[dict[str, float], float]:
+    """Log p_toxic(w) / p_ordinary(w) of the words above ``share``, and the ratio of the shared backoff."""
+    total = _totals(counts, discount)
+    if not total:
+        return {}, 0.0
+    n_o, n_t, lam_o, lam_t = total
     rest = math.log(lam_t / lam_o)
-    often = counts.where((F.col("ordinary") >= max(share * n_o, discount)) | (F.col("toxic") >= max(share * n_t, discount)))
+    often = counts.where(_is_frequent(n_o, n_t, discount, share))
     words = often.toArrow()  # at most 2 / share rows
     o, t = words["ordinary"].to_numpy().astype(float), words["toxic"].to_numpy().astype(float)
     shared = (o + t) / (n_o + n_t)
@@ -104,15 +117,96 @@ def log_ratios(counts: DataFrame, discount: float = DISCOUNT, share: float = SHA
     return dict(zip(words["word"].to_pylist(), ratio.tolist())), rest
 
 
-def figures(words: set[str], ratios: dict[str, float], rest: float) -> tuple[float, ...]:
-    """The five figures of a document; all zero for a text without words."""
-    n = len(words)
+def rare_ratios(counts: DataFrame, discount: float = DISCOUNT, share: float = SHARE) -> DataFrame:
+    """``(word, ratio)`` of all words that ``log_ratios`` leaves out and whose ratio is not that of the backoff."""
+    total = _totals(counts, discount)
+    if not total:
+        return counts.selectExpr("word", "0D AS ratio").limit(0)
+    n_o, n_t, lam_o, lam_t = total
+    rare = counts.where(~_is_frequent(n_o, n_t, discount, share)).where(f"greatest(ordinary, toxic) > {discount}")
+    shared = f"(ordinary + toxic) / {n_o + n_t!r}D"
+    p = lambda c, n, lam: f"(greatest({c} - {discount}, 0D) / {n!r}D + {lam!r}D * {shared})"
+    return rare.selectExpr("word", f"ln({p('toxic', n_t, lam_t)} / {p('ordinary', n_o, lam_o)}) AS ratio")
+
+
+class Model:
+    """Ratios of the frequent words with those of the rest, for tasks; the table of rare words, and which may be in it."""
+
+    def __init__(self, counts: DataFrame, share: float | None = None):
+        share = SHARE if share is None else share
+        spark = counts.sparkSession
+        ratios, rest = log_ratios(counts, share=share)
+        self.rare = materialize(rare_ratios(counts, share=share), "rare-ratios")
+        self.any_rare = not self.rare.isEmpty()
+        marked = bitmap(self.rare.select("word")) if self.any_rare else None
+        self.shared = spark.sparkContext.broadcast((ratios, rest, marked))
+
+    def figures(self, texts: DataFrame, words_of) -> DataFrame:
+        """Columns of ``texts`` but ``text`` and the five figures of each row; ``words_of(text)`` gives distinct words.
+
+        A task knows the ratios of all words but the rare ones; those it finds are looked up for each different text.
+        """
+        others = [c for c in texts.columns if c != "text"]
+        shared = self.shared
+
+        def work(batches):
+            ratios, rest, marked = shared.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part, out = batch.slice(start, 512), []
+                    for text, *values in zip(*(part[c].to_pylist() for c in ("text", *others))):
+                        words = words_of(text)
+                        rare = _may_be_rare(words, ratios, marked)
+                        digest = xxhash.xxh3_128_digest("\n".join(sorted(rare)).encode("utf-8", "replace")) if rare else None
+                        known = [ratios.get(w, rest) for w in words.difference(rare)]
+                        top = sorted(known, reverse=True)[:3]
+                        out.append((*values, len(words), math.fsum(known), sum(x > 2 for x in known), top, digest, rare))
+                    yield out
+
+        kept = texts.select(*others).schema
+        schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "n long, total double, above long, "
+                            "top array<double>, digest binary, rare array<string>"])
+        partial = rows(texts.select("text", *others), work, schema)
+        if not self.any_rare:
+            return self._finished(partial.withColumn("found", F.expr("CAST(NULL AS array<double>)")), others)
+        partial = materialize(partial, "partial-figures")
+        looked = partial.where("digest IS NOT NULL").select("digest", F.explode("rare").alias("word")).distinct()
+        found = looked.join(self.rare, "word").groupBy("digest").agg(F.sort_array(F.collect_list("ratio")).alias("found"))
+        return self._finished(partial.join(found, "digest", "left"), others)
+
+    def _finished(self, partial: DataFrame, others: list[str]) -> DataFrame:
+        """Rare words that the table does not have are left with the ratio of the backoff."""
+        shared = self.shared
+
+        def work(batches):
+            rest = shared.value[1]
+            for batch in batches:
+                out = []
+                for n, total, above, top, rare, found, *values in zip(
+                    *(batch[c].to_pylist() for c in ("n", "total", "above", "top", "rare", "found", *others))
+                ):
+                    more = (found or []) + [rest] * (len(rare or ()) - len(found or ()))
+                    out.append((*values, *_five(n, total + math.fsum(more), above + sum(x > 2 for x in more), top + more)))
+                yield out
+
+        kept = partial.select(*others).schema
+        schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "a double, b double, c double, d double, e double"])
+        return rows(partial.select("n", "total", "above", "top", "rare", "found", *others), work, schema)
+
+
+def _may_be_rare(words: set[str], ratios: dict[str, float], marked) -> list[str]:
+    if marked is None:
+        return []
+    unknown = [w for w in words if w not in ratios]
+    at = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) % (BITMAP_WORDS * 64) for w in unknown], np.uint64)
+    return [w for w, hit in zip(unknown, in_bitmap(marked, at).tolist()) if hit]
+
+
+def _five(n: int, total: float, above: int, top: list[float]) -> tuple[float, ...]:
     if not n:
         return 0.0, 0.0, 0.0, 0.0, 0.0
-    found = np.fromiter((ratios.get(w, rest) for w in words), float, n)
-    top = np.sort(np.partition(found, n - 3)[-3:]) if n > 3 else np.sort(found)
-    three = float(top.sum()) / 3
-    return float(found.mean()), float(top[-1]), three, float((found > 2).sum()) / math.sqrt(n), math.log(n)
+    top = sorted(top, reverse=True)[:3]
+    return total / n, top[0], sum(top) / 3, above / math.sqrt(n), math.log(n)
 
 
 class Curve:
@@ -140,23 +234,16 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.weights, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
-    """The ratios and the curve. The curve has six weights and is fitted on at most ``fit_rows`` rows of fold 4."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, share: float | None = None):
+    """The model and the curve. The curve has six weights and is fitted on at most ``fit_rows`` rows of fold 4."""
     learning = materialize(labelled_words(docs, labels), "labelled-words")
     counts = materialize(word_counts(learning.where("fold IN (1, 2, 3)")), "word-counts")
-    ratios, rest = log_ratios(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((ratios, rest))
-
-    def work(batches):
-        ratios, rest = shared.value
-        for batch in batches:
-            yield [(at, float(y), *figures(set(w.split()), ratios, rest)) for at, y, w in zip(*(batch[c].to_pylist() for c in ("at", "toxic", "words")))]
-
-    last = learning.where("fold = 4").selectExpr("xxhash64(doc_id) AS at", "toxic", "words")
-    sample = rows(last, work, "at long, y double, a double, b double, c double, d double, e double")
+    model = Model(counts, share)
+    last = learning.where("fold = 4").selectExpr("xxhash64(doc_id) AS at", "CAST(toxic AS double) AS y", "words AS text")
+    sample = model.figures(last, lambda words: set(words.split()))
     data = sample.orderBy(*sample.columns).limit(fit_rows).toArrow()
     x = np.column_stack([data[c].to_numpy() for c in "abcde"]) if data.num_rows else np.zeros((0, 5))
-    return ratios, rest, Curve(x, data["y"].to_numpy())
+    return model, Curve(x, data["y"].to_numpy())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -168,31 +255,34 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """
     docs = columns(docs, doc_id=id_column, text=text_column).selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
     labels = columns(labels, doc_id="doc_id", toxic="toxic")
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    scored = _scores(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), *fit(docs, labels))
+    return scored.selectExpr("doc_id", "held_out", "score", "CAST(score >= 0.5 AS INT) AS predicted")
+
+
+def _scores(texts: DataFrame, model: Model, curve: Curve) -> DataFrame:
+    """Columns of ``texts`` but ``text``, and ``score``."""
+    found = model.figures(texts, distinct_words)
+    others = found.columns[:-5]
+    kept = found.select(*others).schema
 
     def work(batches):
-        ratios, rest, curve = model.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                x = np.array([figures(distinct_words(t), ratios, rest) for t in part["text"].to_pylist()])
-                scores = curve(x).tolist()
-                yield [(d, h, s, int(s >= 0.5)) for d, h, s in zip(part["doc_id"].to_pylist(), part["held_out"].to_pylist(), scores)]
+            if batch.num_rows:
+                x = np.column_stack([batch[c].to_numpy() for c in "abcde"])
+                yield list(zip(*(batch[c].to_pylist() for c in others), curve(x).tolist()))
 
-    source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows(source, work, "doc_id long, held_out boolean, score double, predicted int")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "score double"])
+    return rows(found, work, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the models do not reject, decided row by row, so that a null id does not matter."""
+    """The documents that the models do not reject, decided by their texts, so that a null id does not matter."""
     learned = columns(docs, doc_id="doc_id", text="text").selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
-    model = docs.sparkSession.sparkContext.broadcast(fit(learned, columns(labels, doc_id="doc_id", toxic="toxic")))
+    texts = docs.select(_digest(docs["text"]).alias("key"), docs["text"].alias("text"))
+    scored = _scores(texts, *fit(learned, columns(labels, doc_id="doc_id", toxic="toxic")))
+    bad = materialize(scored.where("score >= 0.5").select(F.col("key").alias("__bad")).distinct(), "toxic-texts")
+    return docs.join(bad, _digest(docs["text"]) == bad["__bad"], "left_anti")
 
-    @F.pandas_udf("boolean")
-    def rejects(texts: pd.Series) -> pd.Series:
-        ratios, rest, curve = model.value
-        if not len(texts):
-            return pd.Series([], dtype=bool)
-        return pd.Series(curve(np.array([figures(distinct_words(t), ratios, rest) for t in texts])) >= 0.5)
 
-    return docs.where(~rejects(docs["text"]))
+def _digest(text):
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -46,6 +46,20 @@ def test_toxic_words_are_learned_without_held_out_labels(spark):
         assert r["predicted"] == int(r["doc_id"] % 7 == 0)
 
 
+def test_rare_words_count_as_they_do_on_a_small_table(spark, monkeypatch):
+    texts = [(i, prose(i, 60) + (f" slur{'abcdefgh'[i % 8]}" if i % 7 == 0 else "")) for i in range(1500)] + [(None, prose(1, 60) + " slurb")]
+    labels = spark.createDataFrame([(i, 1, int(i % 7 == 0), 0.0, 1) for i in range(1500)], LABELS)
+    docs = documents(spark, texts)
+    score = lambda: sorted((r["doc_id"] or -1, r["score"], r["predicted"]) for r in toxicity.toxicity(docs, labels).collect())
+    want = score()
+    monkeypatch.setattr(toxicity, "SHARE", 0.01)  # the planted words and some others are rare now
+    got = score()
+    assert [(d, p) for d, _, p in got] == [(d, p) for d, _, p in want] and sum(p for *_, p in got) >= 200
+    assert np.allclose([x for _, x, _ in got], [x for _, x, _ in want], atol=1e-6)
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert kept == {d for d, _, p in got if not p and d >= 0}
+
+
 def test_awkward_rows_and_missing_labels(spark):
     docs, none = awkward(spark), spark.createDataFrame([], LABELS)
     odd = spark.createDataFrame([(1, 1, 1, 0.0, 1), (None, 1, 1, 0.0, 1), (3, None, None, 0.0, 1), (99, 1, 0, 0.0, 1), (1, 1, 0, 0.0, 1)], LABELS)
