@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeweave.llm import bpe, chat, decontamination, exact_dedup, html_extraction, language_id, line_dedup
-from gaugeweave.llm import minhash_dedup, token_count, toxicity
+from gaugeweave.llm import bpe, chat, decontamination, exact_dedup, fill_in_middle, fingerprints, html_extraction, language_id
+from gaugeweave.llm import line_dedup, minhash_dedup, token_count, toxicity
 from gaugeweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.splices(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rotated = fill_in_middle.restore(fill_in_middle.fill_in_middle(docs).drop("text"))
+    return rotated.selectExpr("doc_id", "n", "form", "prefix_chars", "middle_chars", "sha2(output, 256) AS output_sha256",
+                              "sha2(restored, 256) AS restored_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +86,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_minhash_dedup, op2_decontamination, op3_exact_dedup, op4_bpe, op5_token_count, op6_toxicity, op7_line_dedup,
-              op8_html_extraction, op9_language_id, op10_chat_formatting, pipeline)
+              op8_html_extraction, op9_language_id, op10_chat_formatting,
+              op11_document_fingerprints, op12_fill_in_middle, pipeline)
 }
 
 OP1_SQL = r"""
@@ -119,4 +132,29 @@ prefixes AS (SELECT DISTINCT list_slice(turns, 1, i) AS turns FROM (SELECT turns
 SELECT conv_id, n AS n_turns, n_logged, text FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.turns = w.turns)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_chat_formatting": OP10_SQL}
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), k AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k
+), p AS (
+  SELECT *, array_to_string(list_slice(u, 1, a), '') AS pre, array_to_string(list_slice(u, a + 1, b), '') AS mid,
+    array_to_string(list_slice(u, b + 1, n), '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_chat_formatting": OP10_SQL, "op12_fill_in_middle": OP12_SQL,
+}

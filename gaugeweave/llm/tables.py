@@ -39,6 +39,28 @@ def rows(df: DataFrame, work: Callable[..., Iterable[tuple]], schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
+def with_columns(df: DataFrame, work: Callable[[pa.RecordBatch], list[pa.Array]], schema: str, size: int = 256) -> DataFrame:
+    """All rows and columns with those of ``schema``, which ``work`` computes for at most ``size`` rows at a time.
+
+    Existing columns of these names are replaced.
+    """
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(schema)
+    kept = df.drop(*added.names)
+    whole = StructType(kept.schema.fields + added.fields)
+    target = to_arrow(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                fields = [part.schema.field(i) for i in range(part.num_columns)] + list(target)
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], schema=pa.schema(fields))
+
+    return kept.mapInArrow(run, whole)
+
+
 def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
