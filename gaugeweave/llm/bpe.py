@@ -36,7 +36,7 @@ SAFE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file, to the byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
@@ -47,7 +47,7 @@ class Coder:
     """Encoder and decoder made from the text of a vocabulary file."""
 
     def __init__(self, vocabulary: str):
-        data, byte = json.loads(vocabulary), _byte_letters()
+        data, byte = json.loads(vocabulary), byte_letters()
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         ids = data["model"]["vocab"]
         self.bytes: dict[int, bytes] = {i: bytes(map(byte.__getitem__, t)) for t, i in ids.items() if t not in self.special}

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeweave.llm import bpe, chat, decontamination, exact_dedup, fill_in_middle, fingerprints, html_extraction, language_id
-from gaugeweave.llm import line_dedup, minhash_dedup, token_count, toxicity
+from gaugeweave.llm import alignment, bpe, chat, decontamination, exact_dedup, fill_in_middle, fingerprints, html_extraction
+from gaugeweave.llm import language_id, line_dedup, minhash_dedup, token_count, toxicity
 from gaugeweave.llm.tables import table
+from gaugeweave.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +78,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                               "sha2(restored, 256) AS restored_sha256")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    written = materialize(aligned.withColumn("groups_sha256", digest).drop("text", "groups"), "aligned")
+    return alignment.counted(written)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +96,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_minhash_dedup, op2_decontamination, op3_exact_dedup, op4_bpe, op5_token_count, op6_toxicity, op7_line_dedup,
               op8_html_extraction, op9_language_id, op10_chat_formatting,
-              op11_document_fingerprints, op12_fill_in_middle, pipeline)
+              op11_document_fingerprints, op12_fill_in_middle, op13_alignment, pipeline)
 }
 
 OP1_SQL = r"""
