@@ -24,18 +24,21 @@ from gaugeweave.operators.alerts import (
     pending_listing,
     pending_view,
     process_summary,
+    read_conditions,
     resolve,
+    rule_inputs,
     unresolved,
     upsert_pending,
 )
 from gaugeweave.operators.delta import delta, latest
 from gaugeweave.operators.ingest import purge, purge_orphans
-from gaugeweave.operators.report import inputs_of
+from gaugeweave.operators.report import METRICS, inputs_of
 from gaugeweave.operators.rollup import latest_rows
 from gaugeweave.plans.charts import report_of
 from gaugeweave.session import materialize
 
 FAMILY = Family()
+SAMPLE_COLUMNS = ("host", "id", "ts", "ts_diff_seconds")
 BLOCK = 128  # small, so that episodes cross block edges on the given tables
 NAMES = ["threads_connected", "seconds_behind_master", "com_select_psec", "uptime_percent"]
 CONDITIONS = [
@@ -115,6 +118,31 @@ def h1_latest(spark, sf):
     return evaluate(latest_rows(alert_report(spark, sf)), CONDITIONS, host_facts(spark, sf))
 
 
+RULE_TEXTS = (
+    "CASE s_suppkey % 6 WHEN 0 THEN concat('threads_connected > ', CAST(s_suppkey AS STRING)) "
+    "WHEN 1 THEN 'com_select_psec + Uptime_Percent > least(1, seconds_behind_master)' WHEN 2 THEN 'no_such > 1 OR uptime > 1' "
+    "WHEN 3 THEN 'uptime >> (' WHEN 4 THEN '' ELSE 'threads_running > 1 OR threads_running < -1' END"
+)
+RULE_INPUTS = {0: "threads_connected", 1: "com_select_psec,seconds_behind_master,uptime_percent", 2: "no_such,uptime", 3: "", 4: "",
+               5: "threads_running"}
+
+
+@FAMILY.add(
+    "h1_rule_inputs",
+    "SELECT CAST(s_suppkey AS INTEGER) AS alert_condition_id, CASE s_suppkey % 6 "
+    + " ".join(f"WHEN {i} THEN '{c}'" for i, c in RULE_INPUTS.items())
+    + " END AS inputs, s_suppkey % 6 IN (2, 3) AS failed FROM supplier",
+)
+def h1_inputs(spark, sf):
+    """Columns read out of the parsed texts of a rule table; rules with unknown columns or bad syntax are told apart."""
+    texts = table(spark, sf, "supplier").selectExpr(
+        "CAST(s_suppkey AS INT) AS alert_condition_id", f"{RULE_TEXTS} AS condition_eval", "'' AS monitored_host_condition_eval",
+        "s_name AS description", "'error' AS error_level", "0 AS alert_delay_minutes", "false AS repetitive_alert", "true AS enabled")
+    found = rule_inputs(spark, read_conditions(texts), [*METRICS, *SAMPLE_COLUMNS])
+    rows = [(r.alert_condition_id, ",".join(r.columns), r.error is not None) for r in found]
+    return spark.createDataFrame(rows, "alert_condition_id int, inputs string, failed boolean")
+
+
 @FAMILY.add(
     "h2_host_predicate",
     f"WITH {FIRED} SELECT host, alert_condition_id, count(*) FILTER (WHERE fired) AS fires FROM fired "

@@ -17,7 +17,7 @@ from gaugeweave.sources.snapshots import (
     wanted,
     with_replication,
 )
-from gaugeweave.sources.tables import append_rows, read_table, scan_samples, union_hosts
+from gaugeweave.sources.tables import append_rows, read_hosts, read_table, scan_samples, union_hosts
 from gaugeweave.session import scratch_dir
 
 FAMILY = Family()
@@ -112,6 +112,32 @@ def a2(spark, sf):
     return snapshot_to_samples(raw_rows(spark, sf), CAT, PIVOTED, expected=[])
 
 
+SEEN = ["click", "error", "purchase", "signup", "view"]
+STRANGE = (
+    ("status", "concat(' Seen_', event_type)", "CAST(event_id AS STRING)"),
+    ("status", "'Very_Large'", "CASE WHEN event_id % 3 = 0 THEN '18446744073709551615' ELSE CAST(event_id AS STRING) END"),
+    ("status", "'Open_Tables'", "CAST(-event_id AS STRING)"),
+)
+STRANGE_SQL = " UNION ALL ".join(
+    f"SELECT {HOST} AS host, event_id AS snapshot_id, ts, '{k}' AS kind, {n} AS name, {v} AS value FROM events" for k, n, v in STRANGE)
+
+
+@FAMILY.add(
+    "a2_observed_columns",
+    f"WITH {CLEAN_SQL.replace('UNION ALL', 'UNION ALL ' + STRANGE_SQL + ' UNION ALL', 1)} SELECT host, snapshot_id AS id, ts, {PIVOT_COLUMNS}, "
+    "CAST(max(CASE WHEN n = 'open_tables' THEN number END) AS BIGINT) AS open_tables, "
+    + ", ".join(f"CAST(max(CASE WHEN n = 'seen_{e}' THEN number END) AS BIGINT) AS seen_{e}" for e in SEEN)
+    + "".join(f", CAST(max(CASE WHEN n = '{c}' THEN number END) AS VARCHAR) AS {c}" for c in ("very_large", "max_join_size"))
+    + " FROM numbers GROUP BY host, snapshot_id, ts",
+)
+def a2_observed(spark, sf):
+    """All names that occur, those the catalogue does not know too."""
+    entries = ", ".join(f"struct('{k}' AS kind, {n} AS name, {v} AS value)" for k, n, v in STRANGE)
+    strange = table(spark, sf, "events").selectExpr(f"{HOST} AS host", "event_id AS snapshot_id", "ts", f"inline(array({entries}))")
+    samples = snapshot_to_samples(raw_rows(spark, sf).unionByName(strange), CAT, expected=[])
+    return samples.withColumns({c: F.col(c).cast("string") for c, t in samples.dtypes if t == "decimal(20,0)"})
+
+
 @FAMILY.add("a3_name_filter", f"WITH {CLEAN_SQL} SELECT host, snapshot_id, kind, n AS name FROM kept")
 def a3(spark, sf):
     return wanted(raw_rows(spark, sf), CAT).select("host", "snapshot_id", "kind", "name")
@@ -279,3 +305,14 @@ def a15(spark, sf):
     tables = {h: samples.where(F.col("host") == h).drop("host") for h in ("h0", "h3", "h4", "h5", "h6", "h7")}
     tables["h0"] = tables["h0"].drop("uptime")
     return union_hosts(tables)
+
+
+@FAMILY.add(
+    "a15_one_scan",
+    f"WITH {samples_sql(['com_select', 'uptime'])} SELECT host, id, ts, com_select, uptime, CAST(NULL AS BIGINT) AS never_measured FROM samples",
+)
+def a15_scan(spark, sf):
+    """A folder for each host, read in one scan."""
+    root = scratch_dir(spark, "hosts")
+    ev_samples(spark, sf, ["com_select", "uptime"]).write.partitionBy("host").parquet(root)
+    return read_hosts(spark, root, "id long, ts timestamp_ntz, com_select long, uptime long, never_measured long")

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from gaugeweave.catalog import BRIEF_SECTIONS, CHARTS, HOUR, SAMPLE, Chart
-from gaugeweave.checks.fixtures import CAT, as_of, ev_samples
+from gaugeweave.checks.fixtures import CAT, as_of, ev_samples, table
 from gaugeweave.checks.oracle import report_sql
 from gaugeweave.checks.registry import Family
 from gaugeweave.checks.rollup_queries import REGISTRY_SQL, averages_sql, minmax_columns, supplier_registry
 from gaugeweave.checks.series_queries import filled_ctes, filled_of, labels_sql, recent_buckets
+from gaugeweave.functions.text import cut
 from gaugeweave.operators.payload import (
     LEVELS,
     Canvas,
@@ -71,8 +72,22 @@ LEVEL = (
     f"coalesce(substr('{LEVELS}', 1 + CAST(floor(61 * (v - coalesce(low, 0)) / "
     "nullif(coalesce(high, 0) - coalesce(low, 0), 0) + 0.5) AS INTEGER), 1), '_')"
 )
-DEC = "CAST(CAST(v AS DECIMAL(24,6)) AS VARCHAR)"
-CUT = f"coalesce(split_part({DEC}, '.', 1) || '.' || substr(split_part({DEC}, '.', 2), 1, digits), '_')"
+
+
+def cut_sql(v, digits):
+    """Decimal text of a double, cut: whole and decimals are parts of its digits, wherever its exponent puts the point."""
+    text = f"CAST(abs({v}) AS VARCHAR)"
+    mantissa = f"split_part({text}, 'e', 1)"
+    figures = f"replace({mantissa}, '.', '')"
+    place = f"(length(split_part({mantissa}, '.', 1)) + coalesce(TRY_CAST(split_part({text}, 'e', 2) AS INTEGER), 0))"
+    # Zeros before and after, then counted from the point: no case distinction.
+    padded = f"(repeat('0', 400) || {figures} || repeat('0', 400))"
+    whole = f"coalesce(nullif(ltrim(substr({padded}, 1, 400 + {place}), '0'), ''), '0')"
+    decimals = f"substr({padded}, 401 + {place}, {digits})"
+    return f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END || {whole} || '.' || {decimals})"
+
+
+CUT = f"coalesce({cut_sql('v', 'digits')}, '_')"
 
 
 def simple_cte():
@@ -115,6 +130,23 @@ def g3(spark, sf):
     return encode_simple(made.series, axis_bounds(made.ranges, made.charts), made.charts)
 
 
+SCALES = ("1e-20", "1e-9", "1e-7", "0.001", "1.0", "1e7", "1e10")
+SCALED = "CASE l_linenumber " + " ".join(f"WHEN {i + 1} THEN {{}} * CAST('{s}' AS DOUBLE)" for i, s in enumerate(SCALES)) + " END"
+
+
+@FAMILY.add(
+    "g4_text_any_digits",
+    "WITH points AS (SELECT l_orderkey, l_linenumber, "
+    f"{SCALED.replace('{}', '(CAST(l_extendedprice AS DOUBLE) / (1 + l_partkey) - 3)')} AS v, CAST(l_suppkey % 27 AS INTEGER) AS digits "
+    f"FROM lineitem) SELECT l_orderkey, l_linenumber, digits, {cut_sql('v', 'digits')} AS shown FROM points",
+)
+def g4_any(spark, sf):
+    value = SCALED.replace("{}", "(CAST(l_extendedprice AS DOUBLE) / (1 + l_partkey) - 3)")
+    points = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"{value} AS v", "CAST(l_suppkey % 27 AS INT) AS digits")
+    return points.select("l_orderkey", "l_linenumber", "digits", cut(F.col("v"), F.col("digits")).alias("shown"))
+
+
 @FAMILY.add("g4_text_encoding", f"WITH {chart_ctes('sample')}, {text_cte()} SELECT * FROM texts")
 def g4(spark, sf):
     made = inputs(spark, sf, SAMPLE)

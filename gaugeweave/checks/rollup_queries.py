@@ -23,7 +23,7 @@ from gaugeweave.operators.rollup import (
     replace_buckets,
     rollup,
 )
-from gaugeweave.session import scratch_dir
+from gaugeweave.session import materialize, scratch_dir
 from gaugeweave.sources.tables import read_table, rebuild_buckets, upsert_buckets
 
 FAMILY = Family()
@@ -216,6 +216,18 @@ def c14(spark, sf):
     return registry_fingerprint(supplier_registry(spark, sf), hosts)
 
 
+STEP = "auto_increment_increment"
+STEPPED = delta_sql(METRICS, PARAMS, f"greatest(1, coalesce(c.{STEP}, 1))", [STEP])
+
+
+@FAMILY.add("c7_backfill_step_column", f"WITH {STEPPED} {rollup_select('hour', METRICS, PARAMS, where='WHERE hour(ts) % 3 = 1')}")
+def c7_step(spark, sf):
+    """Hours missing from a rollup, of samples whose numbering step differs from row to row."""
+    changes = materialize(delta(ev_samples(spark, sf, [*METRICS, *PARAMS, STEP]), CAT, METRICS, PARAMS, step=STEP), "changes")
+    stored = rollup(changes.where("hour(ts) % 3 <> 1"), HOUR, METRICS, PARAMS)
+    return backfill(changes, stored, HOUR, METRICS, PARAMS)
+
+
 KEPT = ["com_select", "threads_connected", "max_connections"]
 
 

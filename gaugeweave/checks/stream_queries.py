@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gaugeweave.catalog import HOUR
 from gaugeweave.checks.alert_queries import BLOCK, CONDITIONS, ISLANDS, NAMES, host_facts
 from gaugeweave.checks.fixtures import CAT, COLUMNS, HOST, ev_samples, table
-from gaugeweave.checks.oracle import delta_sql, rollup_select, samples_sql
+from gaugeweave.checks.oracle import delta_sql, rollup_select, sample_sql, samples_sql
 from gaugeweave.checks.registry import Family
 from gaugeweave.functions.timefn import NTZ
 from gaugeweave.operators.alerts import evaluate_wide
@@ -15,7 +15,9 @@ from gaugeweave.session import scratch_dir
 from gaugeweave.sources.tables import read_table
 from gaugeweave.streaming.alerts import EpisodeStep
 from gaugeweave.streaming.deltas import DeltaStep, TableDeltaStep
+from gaugeweave.streaming.keyed import keyed_deltas, keyed_state, silent_hosts
 from gaugeweave.streaming.ingest import SilenceStep, unique_seconds
+from gaugeweave.streaming.repair import RepairStep
 from gaugeweave.streaming.rollups import RefreshStep, closed_windows
 from gaugeweave.streaming.run import each_batch, output_table, read_files, state_table, to_table
 
@@ -43,6 +45,14 @@ def staged(spark, rows):
     return read_files(spark, path, rows.schema, files_per_batch=1)
 
 
+def dealt(spark, rows, batches=BATCHES):
+    """All rows in files by hash, each file one micro-batch: neighbours fall into different ones, in no order of number or time."""
+    path = scratch_dir(spark, "arrivals")
+    for i in range(batches):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).coalesce(1).write.mode("append").parquet(path)
+    return read_files(spark, path, rows.schema, files_per_batch=1)
+
+
 @FAMILY.add(
     "j1_stream_ingest",
     f"WITH {samples_sql([])} SELECT host, ts FROM samples",
@@ -66,11 +76,7 @@ def j2(spark, sf):
 def j2_any_order(spark, sf):
     out = output_table(spark, "deltas")
     step = TableDeltaStep(CAT, METRICS, PARAMS, scratch_dir(spark, "samples"), state_table(spark, "noted"), shards=1)
-    rows, path = ev_samples(spark, sf, [*METRICS, *PARAMS]), scratch_dir(spark, "arrivals")
-    for i in range(BATCHES):
-        # Neighbours fall into different batches, in no order of number or time.
-        rows.where(F.pmod(F.xxhash64("id"), F.lit(BATCHES)) == i).coalesce(1).write.mode("append").parquet(path)
-    stream = read_files(spark, path, rows.schema, files_per_batch=1)
+    stream = dealt(spark, ev_samples(spark, sf, [*METRICS, *PARAMS]))
     each_batch(stream, lambda batch, n: out.write(step(batch, n), n) and None, scratch_dir(spark, "state"))
     return out.all(spark)
 
@@ -107,6 +113,43 @@ def j4(spark, sf):
     return read_table(spark, rolled)
 
 
+STEP = "auto_increment_increment"
+STEP_BACK = f"greatest(1, coalesce(c.{STEP}, 1))"
+
+
+@FAMILY.add(
+    "j4_refresh_step_column",
+    f"WITH {delta_sql(METRICS, PARAMS, STEP_BACK, [STEP])} {rollup_select('hour', METRICS, PARAMS)}",
+)
+def j4_step(spark, sf):
+    """Numbering steps that differ from row to row, rows dealt by hash."""
+    samples, rolled = scratch_dir(spark, "samples"), scratch_dir(spark, "rolled")
+    step = RefreshStep(CAT, METRICS, PARAMS, samples, {HOUR: rolled}, shards=1, step=STEP)
+    each_batch(dealt(spark, ev_samples(spark, sf, [*METRICS, *PARAMS, STEP])), step, scratch_dir(spark, "state"))
+    return read_table(spark, rolled)
+
+
+@FAMILY.add(
+    "j2_stream_delta_step_column",
+    f"WITH {delta_sql(METRICS, PARAMS, STEP_BACK, [STEP])} SELECT * FROM delta",
+)
+def j2_step(spark, sf):
+    out = output_table(spark, "deltas")
+    step = TableDeltaStep(CAT, METRICS, PARAMS, scratch_dir(spark, "samples"), state_table(spark, "noted"), shards=1, step=STEP)
+    stream = dealt(spark, ev_samples(spark, sf, [*METRICS, *PARAMS, STEP]))
+    each_batch(stream, lambda batch, n: out.write(step(batch, n), n) and None, scratch_dir(spark, "state"))
+    return out.all(spark)
+
+
+@FAMILY.add("j2_keyed_state_delta", f"WITH {sample_sql(METRICS, PARAMS)} SELECT * FROM sv")
+def j2_keyed(spark, sf):
+    path = scratch_dir(spark, "keyed")
+    stream = staged(spark, ev_samples(spark, sf, [*METRICS, *PARAMS]))
+    with keyed_state(spark, idle_batches=False):
+        to_table(rates(keyed_deltas(stream, CAT, METRICS, PARAMS, block=256), METRICS), path, scratch_dir(spark, "state"))
+    return spark.read.parquet(path)
+
+
 @FAMILY.add("j5_stream_episodes", f"WITH {ISLANDS} SELECT * FROM runs")
 def j5(spark, sf):
     needs = inputs_of(NAMES, CAT)
@@ -126,6 +169,35 @@ def j5(spark, sf):
     return ended.all(spark).unionByName(episodes.still_open(spark, max(last)).drop("ts_notified"))
 
 
+TOLD_DELAYS = "VALUES " + ", ".join(f"({c.alert_condition_id}, {c.alert_delay_minutes})" for c in CONDITIONS)
+
+
+@FAMILY.add(
+    "j5_stream_episodes_out_of_order",
+    f"WITH {ISLANDS}, delays(alert_condition_id, delay) AS ({TOLD_DELAYS}), newest AS (SELECT host, max(id) AS last_id FROM "
+    "fired GROUP BY host), judged AS (SELECT runs.*, end_id < last_id AS closed, (date_sub('second', ts_start, ts_end) + 3) // 60 "
+    ">= delay AS in_error FROM runs JOIN delays USING (alert_condition_id) JOIN newest USING (host)) "
+    "SELECT host, alert_condition_id, start_id, end_id, ts_start, ts_end, fires, closed, "
+    "CAST(CASE WHEN NOT in_error THEN 0 WHEN closed THEN 2 ELSE 1 END AS BIGINT) AS notices FROM judged",
+)
+def j5_any_order(spark, sf):
+    """Rows dealt by hash, so that neighbours come in different batches; episodes beside what was told and still stands."""
+    needs = inputs_of(NAMES, CAT)
+    columns = [*needs.metrics, *needs.params]
+    changes = TableDeltaStep(CAT, needs.metrics, needs.params, scratch_dir(spark, "samples"), state_table(spark, "noted"), shards=1)
+    repair = RepairStep(scratch_dir(spark, "evaluated"), scratch_dir(spark, "runs"), CONDITIONS, output_table(spark, "notices"), BLOCK, shards=1)
+    facts = host_facts(spark, sf)
+
+    def step(batch, number):
+        rows = report(rates(changes(batch, number), needs.rates), NAMES, CAT)
+        repair(evaluate_wide(rows, CONDITIONS, facts), number)
+
+    each_batch(dealt(spark, ev_samples(spark, sf, columns)), step, scratch_dir(spark, "state"))
+    standing = repair.standing_notices(spark).groupBy("host", "alert_condition_id", "start_id").agg(F.sum("times").alias("notices"))
+    joined = repair.episodes(spark).join(standing, ["host", "alert_condition_id", "start_id"], "full")
+    return joined.withColumn("notices", F.coalesce("notices", F.lit(0)))
+
+
 @FAMILY.add(
     "j6_silent_hosts",
     f"WITH {samples_sql([])}, newest AS (SELECT host, max(ts) AS ts_last FROM ev GROUP BY host) SELECT host, ts_last "
@@ -136,3 +208,16 @@ def j6(spark, sf):
     step = SilenceStep(state_table(spark, "seen"), silent)
     each_batch(event_stream(spark, sf), step, scratch_dir(spark, "state"))
     return silent.all(spark)
+
+
+@FAMILY.add(
+    "j6_silent_hosts_by_timer",
+    f"WITH {samples_sql([])}, newest AS (SELECT host, max(date_trunc('second', ts)) AS ts_last FROM ev GROUP BY host) SELECT host, "
+    "ts_last FROM newest WHERE ts_last + INTERVAL 1 HOUR <= (SELECT max(date_trunc('second', ts)) - INTERVAL 10 MINUTE FROM ev)",
+)
+def j6_timer(spark, sf):
+    path = scratch_dir(spark, "silent")
+    seconds = event_stream(spark, sf).withColumn("ts", F.date_trunc("SECOND", "ts"))
+    with keyed_state(spark):
+        to_table(silent_hosts(seconds), path, scratch_dir(spark, "state"))
+    return spark.read.parquet(path)

@@ -24,14 +24,35 @@ def trimmed(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_plain(value, 6), "0+$", ""), "\\.$", "")
 
 
+def shortest(value: Column) -> Column:
+    """A double in scientific form with the fewest digits, from fifteen on, that are read as the same double again.
+
+    Casting to text may give digits beyond these, which are not those another engine shows. Where two texts of sixteen
+    digits are read as the same double (integers over 2^53), it is the one that the longer text rounds to.
+    """
+    forms = [F.format_string(f"%.{n}e", value) for n in (14, 15, 16)]
+    text = forms[-1]
+    for form in forms[-2::-1]:
+        text = F.when(form.try_cast("double") == value, form).otherwise(text)
+    return text
+
+
+def positional(value: Column) -> tuple[Column, Column, Column]:
+    """Sign, whole digits and decimals of a double, the exponent moved out; all digits that tell it from its neighbours."""
+    text = shortest(F.abs(value.cast("double")))
+    mantissa = F.substring_index(text, "e", 1)
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    point = 1 + F.when(F.contains(text, F.lit("e")), F.substring_index(text, "e", -1).try_cast("int"))  # NULL unless finite
+    whole = F.when(point <= 0, F.lit("0")).otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
+    decimals = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(
+        F.substring(digits, point + 1, F.length(digits)))
+    return F.when(value < 0, "-").otherwise(""), whole, decimals
+
+
 def cut(value: Column, digits: Column) -> Column:
-    """Decimal text cut, not rounded, after ``digits`` decimals; up to six are cut from a text with six."""
-    text = F.when(digits <= 6, _plain(value, 6)).otherwise(_plain(value, 18))
-    return F.concat(
-        F.substring_index(text, ".", 1),
-        F.lit("."),
-        F.substring(F.substring_index(text, ".", -1), F.lit(1), digits),
-    )
+    """Decimal text cut, never rounded, after ``digits`` decimals; missing decimals are zeros. NULL unless finite."""
+    sign, whole, decimals = positional(value)
+    return F.concat(sign, whole, F.lit("."), F.rpad(F.substring(decimals, F.lit(1), digits), digits, F.lit("0")))
 
 
 def plus_spaces(value: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from gaugeweave.functions.timefn import NTZ, elapsed, stamp
 from gaugeweave.operators.delta import BLOCK, block_of
 from gaugeweave.operators.ingest import join_host_facts
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Condition:
@@ -75,19 +79,75 @@ def _truth(rows: DataFrame, text: str) -> Column:
     result = F.expr(text)
     if not isinstance(rows.select(result.alias("x")).schema["x"].dataType, T.BooleanType):
         result = result.cast("double") != 0
-    return F.coalesce(result, F.lit(False))
+    truth = F.coalesce(result, F.lit(False))
+    rows.select("host", truth)  # resolved here, beside another column: no aggregate, no generator
+    return truth
+
+
+def rule_columns(spark, text: str) -> list[str]:
+    """Names of the columns that a rule text uses, read from its parsed expression, sorted."""
+    found, nodes = set(), [spark._jsparkSession.sessionState().sqlParser().parseExpression(text)] if text.strip() else []
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "UnresolvedAttribute":
+            found.add(node.name().lower())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return sorted(found)
+
+
+@dataclass(frozen=True)
+class RuleInput:
+    """What a rule text reads, or why it cannot be computed."""
+
+    alert_condition_id: int
+    columns: tuple[str, ...] = ()
+    error: str | None = None
+
+
+def rule_inputs(spark, conditions: Sequence[Condition], known: Sequence[str]) -> list[RuleInput]:
+    """For each enabled rule the ``known`` columns it uses; a rule with others or without valid syntax has an error."""
+    out = []
+    for c in conditions:
+        if not c.enabled:
+            continue
+        try:
+            columns = rule_columns(spark, c.condition_eval)
+        except Exception as error:  # noqa: BLE001 - whatever the parser raises is the rule's own fault
+            first = next((x for x in str(error).splitlines() if "[" in x), str(error).splitlines()[0])
+            out.append(RuleInput(c.alert_condition_id, error=first.strip()))
+            continue
+        strange = [x for x in columns if x not in known]
+        error = f"unknown column {', '.join(strange)}" if strange else None
+        out.append(RuleInput(c.alert_condition_id, tuple(columns), error))
+    return out
+
+
+def watched_metrics(spark, conditions: Sequence[Condition], known: Sequence[str]) -> list[str]:
+    """The report metrics that the computable rules use, in the order of ``known``."""
+    used = {x for r in rule_inputs(spark, conditions, known) if r.error is None for x in r.columns}
+    return [m for m in known if m in used]
 
 
 def flag(condition_id: int) -> str:
     return f"fired_{condition_id}"
 
 
+def _judged(rows: DataFrame, condition: Condition, text: str) -> Column:
+    """Truth of one rule; a rule that cannot be resolved is reported and never fires, the others go on."""
+    try:
+        return _truth(rows, text)
+    except PySparkException as error:
+        log.warning("rule %d cannot be computed: %s", condition.alert_condition_id, str(error).strip().splitlines()[0])
+        return F.lit(False)
+
+
 def evaluate_wide(report: DataFrame, conditions: Sequence[Condition],
                   host_facts: DataFrame | None = None) -> DataFrame:
     """(host, id, ts, fired_<condition> …): all enabled rules in one projection of the report."""
     rules = [c for c in conditions if c.enabled]
     with forgiving(report.sparkSession):
-        fired = {c.alert_condition_id: _truth(report, c.condition_eval) for c in rules}
+        fired = {c.alert_condition_id: _judged(report, c, c.condition_eval) for c in rules}
         rows = report.select("host", "id", "ts", *[e.alias(flag(i)) for i, e in fired.items()])
     second = [c for c in rules if c.monitored_host_condition_eval.strip()]
     if not second:
@@ -97,7 +157,7 @@ def evaluate_wide(report: DataFrame, conditions: Sequence[Condition],
     with forgiving(report.sparkSession):
         hosts = host_facts.select(
             "host",
-            *[_truth(host_facts, c.monitored_host_condition_eval).alias(f"_h{c.alert_condition_id}") for c in second],
+            *[_judged(host_facts, c, c.monitored_host_condition_eval).alias(f"_h{c.alert_condition_id}") for c in second],
         )
     both = join_host_facts(rows, hosts, F.col("id"), how="left")
     checks = {
@@ -126,12 +186,11 @@ def alert_events(evaluated: DataFrame, existing: DataFrame | None = None) -> Dat
     return events if existing is None else events.join(existing.select(*keys), keys, "left_anti")
 
 
-def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(host, alert_condition_id, start_id, end_id, ts_start, ts_end, fires): unbroken runs of firing samples.
+def block_runs(wide: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Unbroken runs of firing samples inside each (host, block of sample numbers), one window for all rules.
 
-    Runs are found per (host, block of sample numbers), one window for all rules. Only runs that
-    touch a block edge, and one mark for a block that begins quietly, are then chained across blocks:
-    three rows at most per block and rule, so no step sees the whole history of a host.
+    Adds ``_block`` and whether a run opens or closes its block. A block whose first sample is quiet has a mark of its
+    own (``_fired`` is false), so every block shows for every rule where runs of its neighbours end.
     """
     ids = condition_ids(wide)
     inside = "PARTITION BY host, _block ORDER BY id"
@@ -149,7 +208,7 @@ def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
         f"struct({i} AS alert_condition_id, {flag(i)} AS _fired, _quiet_{i} AS _quiet)" for i in ids
     )
     fanned = rows.selectExpr("host", "_block", "id", "ts", "_first", "_last", f"inline(array({entries}))")
-    runs = fanned.where("_fired OR _first").groupBy("host", "alert_condition_id", "_block", "_fired", "_quiet").agg(
+    return fanned.where("_fired OR _first").groupBy("host", "alert_condition_id", "_block", "_fired", "_quiet").agg(
         F.min("id").alias("start_id"),
         F.max("id").alias("end_id"),
         F.min_by("ts", "id").alias("ts_start"),
@@ -157,22 +216,42 @@ def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
         F.count_if("_fired").alias("fires"),
         F.bool_or(F.col("_fired") & F.col("_first")).alias("_opens"),
         F.bool_or(F.col("_fired") & F.col("_last")).alias("_closes"),
-    )
+    ).drop("_quiet")
+
+
+def at_edge() -> Column:
+    """Whether a run (or mark) of ``block_runs`` touches an edge of its block."""
+    return F.col("_opens") | F.col("_closes") | ~F.col("_fired")
+
+
+def chained(runs: DataFrame) -> DataFrame:
+    """Episodes of ``block_runs``, with ``closed``: whether a later sample of the host was quiet.
+
+    Only runs at block edges are chained across blocks: three rows at most per block and rule, so no step sees the
+    whole history of a host.
+    """
     # Inner runs get a group of their own; edge runs and marks of a rule share one and are chained there.
     lane = "CASE WHEN _opens OR _closes OR NOT _fired THEN -1L ELSE start_id END AS _lane"
     chain = "PARTITION BY host, alert_condition_id, _lane ORDER BY start_id"
-    runs = runs.selectExpr("*", lane).selectExpr(
-        "*", f"CASE WHEN _opens AND coalesce(lag(_closes) OVER ({chain}), false) THEN 0 ELSE 1 END AS _new"
+    linked = runs.selectExpr("*", lane).selectExpr(
+        "*", f"CASE WHEN _opens AND coalesce(lag(_closes) OVER ({chain}), false) THEN 0 ELSE 1 END AS _new",
+        f"NOT _closes OR lead(start_id) OVER ({chain}) IS NOT NULL AS _ended",
     ).selectExpr("*", f"sum(_new) OVER ({chain} ROWS UNBOUNDED PRECEDING) AS _run")
-    return runs.where("_fired").groupBy("host", "alert_condition_id", "_lane", "_run").agg(
+    return linked.where("_fired").groupBy("host", "alert_condition_id", "_lane", "_run").agg(
         F.min("start_id").alias("start_id"),
         F.max("end_id").alias("end_id"),
         F.min_by("ts_start", "start_id").alias("ts_start"),
         F.max_by("ts_end", "end_id").alias("ts_end"),
         F.sum("fires").alias("fires"),
+        F.max_by("_ended", "end_id").alias("closed"),
     ).drop("_lane", "_run")
 
 
+def episodes(wide: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(host, alert_condition_id, start_id, end_id, ts_start, ts_end, fires): unbroken runs of firing samples."""
+    return chained(block_runs(wide, block)).drop("closed")
+
+
 def pending(runs: DataFrame) -> DataFrame:
     """Episodes in the shape of the pending table, not yet notified or resolved."""
     return runs.select(

@@ -36,6 +36,13 @@ def uniform_step(samples: DataFrame, step_col: str) -> int | None:
     return int(low) if low is not None and low == high else None
 
 
+def number_before(step: int | str = 1) -> Column:
+    """Number of the sample a row is compared with: ``step`` lower, or as its own step column says (1 at least)."""
+    if isinstance(step, str):
+        return F.col("id") - F.greatest(F.lit(1), F.coalesce(F.col(step), F.lit(1)))
+    return F.col("id") - step
+
+
 def _in_blocks(rows: DataFrame, step: int, block: int) -> DataFrame:
     own = F.col("_block")
     tail = F.pmod(F.col("id"), F.lit(block)) >= block - step
@@ -53,14 +60,13 @@ def adjacent(samples: DataFrame, columns: Sequence[str], step: int | str = 1, bl
     """
     columns = list(columns)
     if isinstance(step, str):
-        back = F.greatest(F.lit(1), F.coalesce(F.col(step), F.lit(1)))
         before = samples.select(
             F.col("host"),
             F.col("id").alias("_before"),
             F.col("ts").alias("prev_ts"),
             *[F.col(c).alias(f"prev_{c}") for c in columns],
         )
-        return samples.withColumn("_before", F.col("id") - back).join(before, ["host", "_before"]).drop("_before")
+        return samples.withColumn("_before", number_before(step)).join(before, ["host", "_before"]).drop("_before")
     block = max(block, step)
     by = ["host", "_home"] if step == 1 else ["host", "_home", "_lane"]
     rows = _in_blocks(samples, step, block)
@@ -98,10 +104,11 @@ def delta(
     params = cat.params_in(samples.columns) if params is None else list(params)
     extra = [step] if isinstance(step, str) and step not in params else []
     narrow = samples.select("host", "id", "ts", *metrics, *params, *extra)
-    return _changes(adjacent(narrow, metrics, step, block), cat, metrics, params)
+    return changes_of(adjacent(narrow, metrics, step, block), cat, metrics, params)
 
 
-def _changes(pairs: DataFrame, cat: MetricCatalog, metrics: Sequence[str], params: Sequence[str]) -> DataFrame:
+def changes_of(pairs: DataFrame, cat: MetricCatalog, metrics: Sequence[str], params: Sequence[str]) -> DataFrame:
+    """Rows beside the values before (``prev_ts``, ``prev_<metric>``) as changes."""
     return pairs.selectExpr(
         "host",
         "id",
@@ -114,34 +121,57 @@ def _changes(pairs: DataFrame, cat: MetricCatalog, metrics: Sequence[str], param
 
 
 def delta_between(current: DataFrame, earlier: DataFrame, cat: MetricCatalog, metrics: Sequence[str],
-                  params: Sequence[str] = ()) -> DataFrame:
-    """Deltas of a few rows whose predecessors are looked up in another set of samples."""
+                  params: Sequence[str] = (), step: int | str = 1) -> DataFrame:
+    """Deltas of a few rows whose predecessors are looked up in another set of samples.
+
+    The number of the predecessor is worked out on the side of ``current``, so each row may have a step of its own.
+    """
     before = earlier.select(
-        "host", (F.col("id") + 1).alias("id"), F.col("ts").alias("prev_ts"),
+        "host", F.col("id").alias("_before"), F.col("ts").alias("prev_ts"),
         *[F.col(m).alias(f"prev_{m}") for m in metrics],
     )
-    return _changes(current.select("host", "id", "ts", *metrics, *params).join(before, ["host", "id"]),
-                    cat, metrics, params)
+    rows = current.select(*sample_columns(metrics, params, step)).withColumn("_before", number_before(step))
+    return changes_of(rows.join(before, ["host", "_before"]), cat, metrics, params)
+
+
+def sample_columns(metrics: Sequence[str], params: Sequence[str], step: int | str = 1) -> list[str]:
+    """Columns of samples that an incremental step stores; a step column is kept, whether it is a parameter or not."""
+    extra = [step] if isinstance(step, str) and step not in [*metrics, *params] else []
+    return ["host", "id", "ts", *metrics, *params, *extra]
+
+
+def followers(table: DataFrame, changed: DataFrame, step: int | str = 1) -> DataFrame:
+    """Rows of a table that are compared with a changed row (host, id): with a step column not always the next number."""
+    keys = changed.select("host", F.col("id").alias("_before")).distinct()
+    return table.withColumn("_before", number_before(step)).join(keys, ["host", "_before"], "left_semi").drop("_before")
 
 
 def delta_since(samples: DataFrame, cat: MetricCatalog, since: Column, metrics: Sequence[str],
-                params: Sequence[str] = (), lookback_days: int = 1) -> DataFrame:
+                params: Sequence[str] = (), lookback_days: int = 1, step: int | str = 1) -> DataFrame:
     """``delta`` of the samples from ``since`` on, without reading the whole history.
 
-    Numbers of a host rise with time, so only its first sample in the scanned range can have its
-    predecessor before that range. Such samples, from hosts silent for ``lookback_days``, are counted,
-    and only if there are any the older part is searched for just their predecessors.
+    A table that is opened with its ``day`` folders is read from the day of the edge on. The few samples without a
+    predecessor in that range, from hosts silent for ``lookback_days``, are counted, and only if there are any the older
+    part is searched for just their predecessors.
     """
     edge = (since - F.make_dt_interval(F.lit(lookback_days))).cast(NTZ)
-    columns = ["host", "id", "ts", *metrics, *params]
-    near = samples.where(F.col("ts") >= edge).select(*columns)
-    changes = delta(near, cat, metrics, params).where(F.col("ts") >= since)
-    first = near.groupBy("host").agg(F.min_by(F.struct(*columns), F.col("id")).alias("_row")).select("_row.*")
-    alone = materialize(first.where(F.col("ts") >= since), "unpaired")
+    columns = sample_columns(metrics, params, step)
+    by_day = "day" in samples.columns
+    near = samples.where(F.col("ts") >= edge)
+    near = (near.where(F.col("day") >= F.to_date(edge)) if by_day else near).select(*columns)
+    changes = delta(near, cat, metrics, params, step).where(F.col("ts") >= since)
+    if isinstance(step, str):  # any row may reach back beyond the edge
+        recent = near.where(F.col("ts") >= since)
+        alone = recent.join(changes.select("host", "id"), ["host", "id"], "left_anti")
+    else:  # numbers of a host rise with time, so only its first row may
+        first = near.groupBy("host").agg(F.min_by(F.struct(*columns), F.col("id")).alias("_row")).select("_row.*")
+        alone = first.where(F.col("ts") >= since)
+    alone = materialize(alone, "unpaired")
     if alone.isEmpty():
         return changes
     older = samples.where(F.col("ts") < edge)
-    return changes.unionByName(delta_between(alone, older, cat, metrics, params))
+    older = older.where(F.col("day") <= F.to_date(edge)) if by_day else older
+    return changes.unionByName(delta_between(alone, older, cat, metrics, params, step))
 
 
 def rates(deltas: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -58,30 +58,57 @@ def normalize_value(name: Column, value: Column, kind: str = "decimal(20,0)") ->
     return F.coalesce(spoken.cast(kind), whole, F.round(word.try_cast("decimal(38,6)"), 0).try_cast(kind))
 
 
-def pivot(rows: DataFrame, names: Sequence[str], cat: MetricCatalog) -> DataFrame:
-    """One wide row per snapshot. The name list is given, so no pass is spent on finding it and the
-    pivot is one partial aggregation."""
+def pivot(rows: DataFrame, names: Sequence[str], cat: MetricCatalog, types: Mapping[str, str] | None = None) -> DataFrame:
+    """One wide row per snapshot. The name list is given (see ``observed``), so the pivot is one partial aggregation.
+
+    ``types`` overrides the declared types of names.
+    """
+    kind = {n: (types or {}).get(n) or cat.type_of(n) for n in names}
     name, value = F.col("name"), F.col("value")
-    # Whole numbers of 64 bits are read as such; only the few wide parameters pay for decimals.
+    # Whole numbers of 64 bits are read as such; only the few wide metrics pay for decimals.
     number = {"long": normalize_value(name, value, "long").alias("_long")}
-    if any(cat.type_of(n) != "long" for n in names):
+    if any(k != "long" for k in kind.values()):
         number["decimal(20,0)"] = normalize_value(name, value).alias("_decimal")
     source = {"long": "_long", "decimal(20,0)": "_decimal"}
     valued = rows.where(name.isin(*names)).select(*SNAPSHOT_KEYS, "name", *number.values())
-    picked = [F.max(F.when(F.col("name") == n, F.col(source[cat.type_of(n)]))).alias(n) for n in names]
+    picked = [F.max(F.when(F.col("name") == n, F.col(source[kind[n]]))).alias(n) for n in names]
     return valued.groupBy(*SNAPSHOT_KEYS).agg(*picked)
 
 
+OBSERVED_LIMIT = 4096
+
+
+def observed(rows: DataFrame, cat: MetricCatalog, limit: int = OBSERVED_LIMIT) -> dict[str, str]:
+    """The names that occur in normalised rows, with the type of their column, in order of the name.
+
+    The first of two passes: names are aggregated before they move, and the driver gets one row for each. More than
+    ``limit`` of them are an error, not cut off. A listed gauge is signed. Any other metric is unsigned: it is a long
+    until a value beyond 2^63 - 1 is seen, then it has twenty digits.
+    """
+    large = normalize_value(F.col("name"), F.col("value")) > F.lit((1 << 63) - 1).cast("decimal(20,0)")
+    seen = rows.groupBy("name").agg(F.coalesce(F.bool_or(large), F.lit(False)).alias("wide")).orderBy("name").limit(limit + 1).collect()
+    if len(seen) > limit:
+        raise ValueError(f"more than {limit} names of variables")
+    wide = "decimal(20,0)"
+    return {r["name"]: wide if r["wide"] and not cat.is_gauge(r["name"]) else cat.type_of(r["name"]) for r in seen}
+
+
 def fill_expected(samples: DataFrame, expected: Sequence[str], cat: MetricCatalog) -> DataFrame:
     """Add the expected metrics that were not measured, as NULL."""
     missing = [c for c in expected if c not in samples.columns]
     return samples.withColumns({c: F.lit(None).cast(cat.type_of(c)) for c in missing}) if missing else samples
 
 
-def snapshot_to_samples(raw: DataFrame, cat: MetricCatalog, names: Sequence[str],
+def snapshot_to_samples(raw: DataFrame, cat: MetricCatalog, names: Sequence[str] | None = None,
                         expected: Sequence[str] | None = None) -> DataFrame:
-    """Raw status and variable rows to samples numbered by their snapshot."""
-    wide = pivot(wanted(raw, cat), names, cat)
+    """Raw status and variable rows to samples numbered by their snapshot.
+
+    Without ``names`` every status variable and declared parameter that the rows hold becomes a column, whether the
+    catalogue knows it or not; the rows are then read twice.
+    """
+    rows = wanted(raw, cat)
+    types = observed(rows, cat) if names is None else {}
+    wide = pivot(rows, list(types) if names is None else names, cat, types)
     filled = fill_expected(wide, cat.expected_columns() if expected is None else expected, cat)
     return filled.withColumnRenamed("snapshot_id", "id")
 

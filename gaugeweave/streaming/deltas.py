@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeweave.catalog import MetricCatalog
-from gaugeweave.operators.delta import BLOCK, delta, delta_between
+from gaugeweave.operators.delta import BLOCK, delta, delta_between, followers, sample_columns
 from gaugeweave.operators.ingest import append_samples
 from gaugeweave.operators.rollup import latest_rows
 from gaugeweave.session import materialize
@@ -58,11 +58,12 @@ class TableDeltaStep:
     noted: BatchTable
     lookback_days: int = 1
     shards: int = 16
+    step: int | str = 1
 
     def __call__(self, batch: DataFrame, number: int) -> DataFrame:
         spark = batch.sparkSession
-        rows = materialize(batch.select("host", "id", "ts", *self.metrics, *self.params), "arrived")
-        stored = open_table(spark, self.samples_path)
+        rows = materialize(batch.select(*sample_columns(self.metrics, self.params, self.step)), "arrived")
+        stored = self._days_of(rows, open_table(spark, self.samples_path))
         fresh = self._noted(rows, stored, number)
         append_rows(fresh if stored is None else fresh.join(stored.select("host", "id"), ["host", "id"], "left_anti"),
                     self.samples_path, self.shards)
@@ -77,9 +78,14 @@ class TableDeltaStep:
             older = table.where(F.col("day") < F.date_sub(F.lit(first), self.lookback_days))
             changes = changes.unionByName(self._changes(alone, older))
         keys = fresh.select("host", "id")
-        followers = table.where(F.col("day") >= F.lit(first)).join(
-            keys.select("host", (F.col("id") + 1).alias("id")), ["host", "id"], "left_semi")
-        return changes.unionByName(self._changes(followers.join(keys, ["host", "id"], "left_anti"), fresh))
+        after = followers(table.where(F.col("day") >= F.lit(first)), keys, self.step)
+        return changes.unionByName(self._changes(after.join(keys, ["host", "id"], "left_anti"), fresh))
+
+    def _days_of(self, rows: DataFrame, stored: DataFrame | None) -> DataFrame | None:
+        """The stored rows of the batch's days: a second of the batch can only be stored there, and so can its number,
+        which a host gives once."""
+        first, last = rows.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+        return stored if stored is None or first is None else stored.where(F.col("day").between(F.lit(first), F.lit(last)))
 
     def _noted(self, rows: DataFrame, stored: DataFrame | None, number: int) -> DataFrame:
         """The new samples of this batch, as they were when it was first tried."""
@@ -91,4 +97,4 @@ class TableDeltaStep:
         return self.noted.write(materialize(append_samples(tagged, stored), "fresh"), number).drop("_batch")
 
     def _changes(self, current: DataFrame, earlier: DataFrame) -> DataFrame:
-        return delta_between(current, earlier, self.cat, self.metrics, self.params)
+        return delta_between(current, earlier, self.cat, self.metrics, self.params, self.step)

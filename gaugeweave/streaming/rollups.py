@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeweave.catalog import Grain, MetricCatalog
 from gaugeweave.functions.timefn import NTZ
-from gaugeweave.operators.delta import delta_between
+from gaugeweave.operators.delta import delta_between, followers, sample_columns
 from gaugeweave.operators.ingest import append_samples
 from gaugeweave.operators.rollup import buckets_of, in_buckets, rollup
 from gaugeweave.session import materialize
@@ -38,7 +38,8 @@ class RefreshStep:
 
     A late sample is also the predecessor of a stored one, so the bucket of its successor is rewritten
     as well. Only touched days are scanned; predecessors are looked up ``lookback_days`` further back,
-    and the few that lie even earlier in the rest of the table.
+    and the few that lie even earlier in the rest of the table. With a ``step`` column a row's predecessor is as many
+    numbers lower as the row itself says.
     """
 
     cat: MetricCatalog
@@ -48,10 +49,11 @@ class RefreshStep:
     rollup_paths: Mapping[Grain, str]
     lookback_days: int = 1
     shards: int = 16
+    step: int | str = 1
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = materialize(batch.select("host", "id", "ts", *self.metrics, *self.params), "arrived")
+        rows = materialize(batch.select(*sample_columns(self.metrics, self.params, self.step)), "arrived")
         low, high = rows.agg(F.min("ts"), F.max("ts")).first()
         if low is None:
             return
@@ -63,10 +65,8 @@ class RefreshStep:
         append_rows(fresh, self.samples_path, self.shards)
         table = self._table(spark)
         # Of the whole batch, not of its new rows: the first attempt may have stopped after the append.
-        after = rows.select("host", (F.col("id") + 1).alias("id"))
-        followers = table.where(F.col("day") >= F.to_date(F.lit(low))).select("host", "id", "ts").join(
-            after, ["host", "id"])
-        changed = materialize(rows.select("host", "ts").unionByName(followers.select("host", "ts")), "changed")
+        after = followers(table.where(F.col("day") >= F.to_date(F.lit(low))), rows, self.step)
+        changed = materialize(rows.select("host", "ts").unionByName(after.select("host", "ts")), "changed")
         for grain, path in self.rollup_paths.items():
             self._refresh(table, changed, grain, path)
 
@@ -83,7 +83,7 @@ class RefreshStep:
         upsert_buckets(rollup(deltas, grain, self.metrics, self.params), path, self.shards)
 
     def _deltas(self, current: DataFrame, earlier: DataFrame) -> DataFrame:
-        return delta_between(current, earlier, self.cat, self.metrics, self.params)
+        return delta_between(current, earlier, self.cat, self.metrics, self.params, self.step)
 
     def _table(self, spark: SparkSession) -> DataFrame | None:
         return open_table(spark, self.samples_path)

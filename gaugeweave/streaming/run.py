@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gaugeweave.session import scratch_dir
+from gaugeweave.sources.tables import COMPLETE, is_marked, write_text
 
 WATERMARK = "10 minutes"
 
@@ -64,6 +65,15 @@ class BatchTable:
         rows.write.mode("overwrite").parquet(target)
         return rows.sparkSession.read.schema(rows.schema).parquet(target)
 
+    def write_once(self, rows: DataFrame, number: int) -> None:
+        """Write a batch that must stay as it was first written, and mark it complete."""
+        self.write(rows, number)
+        write_text(rows.sparkSession, f"{self.folder(number)}/{COMPLETE}")
+
+    def has(self, spark: SparkSession, number: int) -> bool:
+        """Whether ``write_once`` has completed this batch."""
+        return is_marked(spark, f"{self.folder(number)}/{COMPLETE}")
+
     def of(self, spark: SparkSession, number: int, schema: StructType | str) -> DataFrame:
         """Rows of a batch; empty before the first one."""
         if number < 0:
