@@ -74,3 +74,24 @@ def test_custom_queries_of_the_wrong_shape_are_skipped(spark):
     texts = ["SELECT 7", "SELECT CAST(NULL AS INT)", "SELECT 1, 2", "SELECT explode(array(1, 2))", "SELECT 'x'", "SELECT oops"]
     got = run_custom(spark, [CustomQuery(i, t) for i, t in enumerate(texts)])
     assert sorted((r.custom_query_id, r.value) for r in got.collect()) == [(0, 7), (1, None)]
+
+
+def test_observed_names_become_columns_with_their_types(spark):
+    from gaugeweave.catalog import MetricCatalog
+    from gaugeweave.sources.snapshots import observed, snapshot_to_samples, wanted
+
+    big = str((1 << 64) - 1)
+    raw = spark.createDataFrame(
+        [("a", 1, "status", " New_One ", "5"), ("a", 1, "status", "Ssl_x", "5"), ("a", 2, "status", "Huge", big), ("a", 2, "status", "Open_Tables", "-3"),
+         ("a", 2, "variables", "unknown_variable", "1"), ("a", 2, "variables", "Max_Connections", "9")],
+        "host string, snapshot_id long, kind string, name string, value string").selectExpr(
+        "host", "snapshot_id", "CAST(timestamp_seconds(snapshot_id) AS TIMESTAMP_NTZ) AS ts", "kind", "name", "value")
+    cat = MetricCatalog()
+    assert observed(wanted(raw, cat), cat) == {"huge": "decimal(20,0)", "max_connections": "long", "new_one": "long", "open_tables": "long"}
+    samples = snapshot_to_samples(raw, cat, expected=["queries"])
+    assert sorted(samples.columns) == ["host", "huge", "id", "max_connections", "new_one", "open_tables", "queries", "ts"]
+    first, second = samples.orderBy("id").collect()
+    assert (first["new_one"], first["huge"], second["huge"], second["open_tables"], second["queries"]) == (5, None, int(big), -3, None)
+    with pytest.raises(ValueError, match="more than 2"):
+        observed(wanted(raw, cat), cat, limit=2)
+    assert observed(wanted(raw.limit(0), cat), cat) == {}
