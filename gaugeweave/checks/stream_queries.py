@@ -1,5 +1,7 @@
 """Streams over the given tables, drained and read back."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gaugeweave.catalog import HOUR
@@ -12,6 +14,7 @@ from gaugeweave.operators.alerts import evaluate_wide
 from gaugeweave.operators.delta import rates
 from gaugeweave.operators.report import inputs_of, report
 from gaugeweave.session import scratch_dir
+from gaugeweave.plans.collection import CollectionRun
 from gaugeweave.sources.tables import read_table
 from gaugeweave.streaming.alerts import EpisodeStep
 from gaugeweave.streaming.deltas import DeltaStep, TableDeltaStep
@@ -22,6 +25,7 @@ from gaugeweave.streaming.rollups import RefreshStep, closed_windows
 from gaugeweave.streaming.run import each_batch, output_table, read_files, state_table, to_table
 
 FAMILY = Family()
+RUN_COLUMNS = sorted({*inputs_of(NAMES, CAT).metrics, *inputs_of(NAMES, CAT).params, "com_select", "uptime"})
 METRICS = ["com_select", "uptime", "threads_connected"]
 PARAMS = ["max_connections"]
 BATCHES = 3
@@ -221,3 +225,32 @@ def j6_timer(spark, sf):
     with keyed_state(spark):
         to_table(silent_hosts(seconds), path, scratch_dir(spark, "state"))
     return spark.read.parquet(path)
+
+
+@FAMILY.add(
+    "j7_collection_run",
+    f"WITH {ISLANDS}, rolled AS ({rollup_select('hour', ['com_select', 'uptime'], source='delta')}), "
+    f"delays(alert_condition_id, delay) AS ({TOLD_DELAYS}), newest AS (SELECT host, max(id) AS last_id FROM fired GROUP BY host), "
+    "told AS (SELECT host, CASE WHEN (date_sub('second', ts_start, ts_end) + 3) // 60 < delay THEN 0 WHEN end_id < last_id THEN 2 "
+    "ELSE 1 END AS n FROM runs JOIN delays USING (alert_condition_id) JOIN newest USING (host)) "
+    "SELECT host, 'samples' AS what, count(*) AS n FROM samples GROUP BY host "
+    "UNION ALL SELECT host, 'hours', count(*) FROM rolled GROUP BY host "
+    "UNION ALL SELECT host, 'hour changes', CAST(sum(com_select_diff + uptime_diff) AS BIGINT) FROM rolled GROUP BY host "
+    "UNION ALL SELECT host, 'alerts', count(*) FROM fired WHERE fired GROUP BY host "
+    "UNION ALL SELECT host, 'episodes', count(*) FROM runs GROUP BY host "
+    "UNION ALL SELECT host, 'notices', CAST(sum(n) AS BIGINT) FROM told GROUP BY host HAVING sum(n) > 0",
+)
+def j7(spark, sf):
+    """The whole run over rows dealt by hash; what it leaves, counted."""
+    job = CollectionRun(scratch_dir(spark, "run"), CAT, ["com_select", "uptime"], [], CONDITIONS, host_facts(spark, sf), block=BLOCK, shards=1)
+    job.run(dealt(spark, ev_samples(spark, sf, RUN_COLUMNS), 2))
+    hours = job.table(spark, "hour")
+
+    def counted(rows, what, n=F.count(F.lit(1))):
+        return rows.groupBy("host").agg(n.alias("n")).select("host", F.lit(what).alias("what"), "n")
+
+    parts = [counted(job.table(spark, "samples"), "samples"), counted(hours, "hours"),
+             counted(hours, "hour changes", F.sum(F.col("com_select_diff") + F.col("uptime_diff"))),
+             counted(job.table(spark, "alerts"), "alerts"), counted(job.repair.episodes(spark), "episodes"),
+             counted(job.repair.standing_notices(spark), "notices", F.sum("times"))]
+    return reduce(lambda a, b: a.unionByName(b), parts)

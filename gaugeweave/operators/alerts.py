@@ -174,7 +174,11 @@ def condition_ids(wide: DataFrame) -> list[int]:
 
 def evaluate(report: DataFrame, conditions: Sequence[Condition], host_facts: DataFrame | None = None) -> DataFrame:
     """(host, id, ts, alert_condition_id, fired) for every row and enabled rule."""
-    wide = evaluate_wide(report, conditions, host_facts)
+    return fired_long(evaluate_wide(report, conditions, host_facts))
+
+
+def fired_long(wide: DataFrame) -> DataFrame:
+    """The wide form as rows (host, id, ts, alert_condition_id, fired)."""
     pairs = [F.struct(F.lit(i).alias("alert_condition_id"), F.col(flag(i)).alias("fired")) for i in condition_ids(wide)]
     return wide.select("host", "id", "ts", F.inline(F.array(*pairs)))
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import logging
+import threading
 import time
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -45,13 +48,38 @@ def run_one(spark: SparkSession, query: CustomQuery) -> tuple[int | None, int] |
     return value, int(1000 * (time.monotonic() - began))
 
 
+def run_pool(spark: SparkSession, queries: Sequence[CustomQuery], workers: int = 4,
+             seconds: float = 60.0) -> dict[int, tuple[int | None, int]]:
+    """Value and milliseconds by id of the enabled queries that worked, run at the same time by a bounded pool.
+
+    Each query has its own limit of ``seconds``, counted from its start: its jobs are cancelled by their tag. One that is
+    too slow or fails is left out and does not hold up the others.
+    """
+    context = spark.sparkContext
+
+    def work(query: CustomQuery) -> tuple[int | None, int] | None:
+        tag = f"custom-{query.custom_query_id}-{uuid.uuid4().hex}"
+        late = threading.Timer(seconds, context.cancelJobsWithTag, [tag])
+        context.addJobTag(tag)
+        late.start()
+        try:
+            return run_one(spark, query)
+        except Exception as error:  # noqa: BLE001 - a cancelled job raises whatever the gateway gives
+            log.warning("custom query %d skipped: %s", query.custom_query_id, str(error).splitlines()[0])
+            return None
+        finally:
+            late.cancel()
+            context.removeJobTag(tag)
+
+    chosen = [q for q in queries if q.enabled]
+    with ThreadPoolExecutor(workers) as pool:
+        outcomes = zip(chosen, pool.map(work, chosen))
+        return {q.custom_query_id: o for q, o in outcomes if o is not None}
+
+
 def run_custom(spark: SparkSession, queries: Sequence[CustomQuery]) -> DataFrame:
     """(custom_query_id, value, time_ms) of the enabled queries that worked."""
-    rows = []
-    for q in queries:
-        outcome = run_one(spark, q) if q.enabled else None
-        if outcome is not None:
-            rows.append((q.custom_query_id, *outcome))
+    rows = [(i, *outcome) for i, outcome in run_pool(spark, queries).items()]
     return spark.createDataFrame(rows, "custom_query_id int, value long, time_ms long")
 
 
