@@ -1,4 +1,4 @@
-"""One collection run over samples in any order: custom values, store, purge, roll up, log and repair alerts."""
+"""One collection run over samples in any order: custom values, store, roll up, log and repair alerts, purge."""
 
 from __future__ import annotations
 
@@ -66,7 +66,6 @@ class CollectionRun:
         store = TableDeltaStep(self.cat, metrics, params, self.path("samples"), BatchTable(self.path("noted"), slots=2),
                                shards=self.shards, step=self.step)
         changes = materialize(store(rows, number), "changes")
-        self._purge(spark, newest)
         RefreshStep(self.cat, metrics, params, self.path("samples"), {HOUR: self.path("hour"), DAY: self.path("day")},
                     shards=self.shards, step=self.step)(rows, number)
         if self.conditions:
@@ -74,6 +73,7 @@ class CollectionRun:
             evaluated = materialize(evaluate_wide(found, self.conditions, self.host_facts), "evaluated")
             self._log(evaluated)
             self.repair(evaluated, number)
+        self._purge(spark, newest)  # last: the steps above would store a batch's old rows again
 
     def _with_custom(self, batch: DataFrame) -> DataFrame:
         if not self.custom:

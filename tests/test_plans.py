@@ -1,15 +1,17 @@
 from pyspark.sql import functions as F
 
-from gaugeweave.catalog import CHARTS, DAY, HOUR, SAMPLE
+from gaugeweave.catalog import CHARTS, DAY, HOUR, SAMPLE, MetricCatalog
 from gaugeweave.checks.fixtures import CAT, as_of, ev_samples
 from gaugeweave.functions.timefn import NTZ
 from gaugeweave.operators.alerts import Condition, episodes, evaluate_wide, pending_view, notifications, pending, resolve
-from gaugeweave.operators.alerts import conditions_frame
+from gaugeweave.operators.alerts import alert_events, conditions_frame, fired_long
+from gaugeweave.operators.custom import CustomQuery
 from gaugeweave.operators.delta import delta, delta_since
 from gaugeweave.operators.report import inputs_of
 from gaugeweave.operators.rollup import rollup
 from gaugeweave.plans.charts import chart_payloads, names_of, report_of, report_of_rollup
 from gaugeweave.plans.checkpoint import Checkpoint
+from gaugeweave.plans.collection import CollectionRun
 from gaugeweave.session import scratch_dir
 from gaugeweave.sources.tables import append_rows, read_table
 from conftest import rows_of
@@ -94,3 +96,49 @@ def test_collection_run(spark):
     due = rows_of(notifications(view), "host", "alert_condition_id", "sv_report_sample_id_start", "resolved")
     sent = rows_of(job.notices(spark), "host", "alert_condition_id", "sv_report_sample_id_start", "resolved")
     assert set(due) <= set(sent)
+
+
+def test_collection_run_in_any_order(spark):
+    """Batches dealt at random, with a slow and a failing custom query."""
+    samples = ev_samples(spark, SF, ["threads_connected", "uptime"]).where("host IN ('h0', 'h4')").cache()
+    custom = [CustomQuery(1, "SELECT 41 + 1"), CustomQuery(2, "SELECT nosuch"), CustomQuery(3, "SELECT count(*) FROM range(100000000000) WHERE sha2(string(id), 512) > 'x'")]
+    cat = MetricCatalog(custom_ids=(1, 2, 3))
+    rules = [*RULES, Condition(3, "no_such_metric > 1"), Condition(4, "x >> (")]
+    job = CollectionRun(scratch_dir(spark, "run"), cat, ["uptime"], [], rules, custom=custom, custom_seconds=2.0, block=64, shards=1)
+    parts = [samples.where(f"pmod(hash(id), 2) = {i}") for i in (0, 1)]
+    job(parts[0], 0)
+    job(parts[1], 1)
+    stored = job.table(spark, "samples")
+    assert stored.count() == samples.count()
+    filled = stored.where("custom_1 IS NOT NULL")
+    assert {r["custom_1"] for r in filled.collect()} == {42} and 2 <= filled.count() <= 4
+    assert stored.where("custom_2 IS NOT NULL OR custom_3 IS NOT NULL OR custom_3_time IS NOT NULL").isEmpty()
+    wide = evaluate_wide(report_of(samples, SAMPLE, ["threads_connected", "uptime_percent"], CAT), RULES)
+    columns = ("host", "alert_condition_id", "start_id", "end_id", "fires")
+    assert rows_of(job.repair.episodes(spark), *columns) == rows_of(episodes(wide), *columns)
+    keys = ("host", "alert_condition_id", "sv_report_sample_id")
+    assert rows_of(job.table(spark, "alerts"), *keys) == rows_of(alert_events(fired_long(wide)), *keys)
+    runs = episodes(wide)
+    last = deltas_last(samples)
+    seen = spark.createDataFrame(list(last.items()), "host string, id_evaluated long")
+    view = pending_view(resolve(pending(runs), seen), conditions_frame(spark, RULES), report_of(samples, SAMPLE, ["uptime_percent"], CAT))
+    due = view.where("in_error").select("host", "alert_condition_id", F.col("sv_report_sample_id_start").alias("start_id"), "resolved")
+    told = due.where("resolved").union(due.withColumn("resolved", F.lit(False)))
+    standing = job.repair.standing_notices(spark)
+    assert rows_of(standing, "host", "alert_condition_id", "start_id", "resolved") == rows_of(told, "host", "alert_condition_id", "start_id", "resolved")
+    assert {r["times"] for r in standing.collect()} == {1}
+
+
+def deltas_last(samples):
+    return {r.host: r.m for r in delta(samples, CAT, ["uptime"], []).groupBy("host").agg(F.max("id").alias("m")).collect()}
+
+
+def test_collection_run_purges_old_days(spark, make):
+    job = CollectionRun(scratch_dir(spark, "run"), MetricCatalog(), ["uptime"], [], [Condition(1, "uptime_percent >= 0")], keep_days=2, shards=1)
+    day = 86_400
+    job(make([("a", i, i * day // 2, i * 100) for i in range(8)], "uptime"), 0)
+    assert [r["d"] for r in job.table(spark, "samples").selectExpr("CAST(to_date(ts) AS STRING) AS d").distinct().orderBy("d").collect()] == [
+        "2024-01-02", "2024-01-03", "2024-01-04"]
+    job(make([("a", 8, 4 * day, 900)], "uptime"), 1)
+    assert job.table(spark, "samples").where("ts < DATE '2024-01-03'").isEmpty()
+    assert job.table(spark, "alerts").where("ts < DATE '2024-01-03'").isEmpty() and not job.table(spark, "alerts").isEmpty()
