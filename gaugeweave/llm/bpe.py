@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with tree concatenation.
 
-A text is cut where the tokenizer cuts in any case: at a blank between two characters that are not white space. What
-lies between is encoded once and kept for the next time. Long stretches that the tokenizer does not cut are halved
-down to leaves; the halves are encoded on their own, and around each join a window is encoded again. The window grows
-until its first token is the one the left side has there and its last token the one of the right side. Then all
-neighbouring tokens are pairs that BPE itself leaves apart, which makes the result the encoding of the whole.
+A text is cut where the tokenizer cuts in any case: at a blank between two characters that are not white space. Leaves
+of the tree are stretches of up to 4,096 characters that end at such a cut; a library's merge loop encodes them. An
+uncut piece of more than 256 characters is halved down to leaves; the halves are encoded on their own, and around each
+join a window is encoded again. The window grows until its first token is the one the left side has there and its last
+token the one of the right side. Then all neighbouring tokens are pairs that BPE itself leaves apart, which makes the
+result the encoding of the whole.
 
 Documents over 32,768 characters are cut into parts that different tasks encode; the parts of a document meet when
 they are numbers already.
@@ -15,22 +16,22 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from functools import cached_property
 from itertools import chain
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeweave.llm.tables import rows
+from gaugeweave.llm.tables import rows, with_columns
 from gaugeweave.session import materialize
 
-LEAF, PART, MEMO, WINDOW = 256, 32_768, 1 << 16, 4
+LEAF, STRETCH, PART, WINDOW = 256, 4_096, 32_768, 4
 ID_BITS = 24
 ID, NONE = (1 << ID_BITS) - 1, 1 << 62
-MARKS = ",.!?;:"
+RUN = re.compile(rf"\S{{{LEAF}}}|\s{{{LEAF}}}")  # without such a run no piece is longer than a leaf
 SAFE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 # Fixed value: the pattern by which byte-level BPE of this family cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,19 +54,25 @@ class Coder:
         self.bytes: dict[int, bytes] = {i: bytes(map(byte.__getitem__, t)) for t, i in ids.items() if t not in self.special}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.first = {b: ids[t] for t, b in byte.items()}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
-        # Rank and new token of a pair in one number: the smallest is the pair to merge.
-        self.merges = {(ids[a], ids[b]): rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.pattern = regex.compile(PATTERN)
         # If tokens are numbered in the order of their merges, as usual, ranks say the same as the merges.
         pieces = {t: i for i, t in self.bytes.items() if i not in self.special.values()}
-        in_order = sorted(self.merges.values()) == sorted(self.merges.values(), key=lambda m: m & ID)
+        new = [ids["".join(p)] for p in self._pairs(data)]
+        in_order = all(a <= b for a, b in zip(new, new[1:]))
         self.short = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=pieces, special_tokens={}) if in_order else None
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.opening: dict[str, tuple[int, ...]] = {}
-        self.older_opening: dict[str, tuple[int, ...]] = {}
+        self._text = vocabulary
+
+    @staticmethod
+    def _pairs(data: dict) -> list[list[str]]:
+        return [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
+
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], int]:
+        """Rank and new token of a pair in one number: the smallest is the pair to merge. Made when a long piece comes."""
+        data = json.loads(self._text)
+        ids = data["model"]["vocab"]
+        return {(ids[a], ids[b]): rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(self._pairs(data))}
 
     def leaf(self, piece: bytes) -> list[int]:
         """BPE of one uncut piece: the pair of the lowest rank, leftmost first, until none is left."""
@@ -124,54 +131,36 @@ class Coder:
                 return left[: len(left) - len(a)] + again + right[len(b) :]
             size *= 2
 
-    def uncut(self, text: str) -> tuple[int, ...]:
-        """Tokens of a stretch without a certain cut: by the pattern, then piece by piece.
-
-        Short stretches are leaves of the tree as they are and go to a library's merge loop.
-        """
-        if self.short is not None and len(text) <= LEAF:
-            return tuple(self.short.encode_ordinary(text))
-        return tuple(chain.from_iterable(self.tree(p.encode("utf-8", "replace")) for p in self.pattern.findall(text)))
-
-    def _missed(self, piece: str, opening: bool) -> tuple[int, ...] | None:
-        """Tokens of a piece between two blanks, or None if the blanks are no certain cuts.
-
-        Lines and closing marks are certain cuts too: a line feed between characters that are not white space, and the
-        end of a run of letters or digits. So a word is merged once, whatever marks and line ends follow it.
-        """
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
-        if "\n" in piece:
-            known = [self._known(line, opening or i > 0) for i, line in enumerate(piece.split("\n"))]
-            if None not in known:
-                feed = self.first[10]
-                return tuple(chain.from_iterable((feed, *k) if i else k for i, k in enumerate(known)))
-        elif (stem := piece.rstrip(MARKS)) != piece and stem and stem[-1].isalnum():
-            return self._known(stem, opening) + self._known(piece[len(stem) :], True)
-        memo, older = (self.opening, self.older_opening) if opening else (self.memo, self.older)
-        found = older.get(piece) or self.uncut(piece if opening else " " + piece)
-        if len(piece) < 64:
-            if len(memo) >= MEMO:  # the older half of what is known goes, what is met again moves to the newer
-                older.clear()
-                older.update(memo)
-                memo.clear()
-            memo[piece] = found
-        return found
-
-    def _known(self, piece: str, opening: bool) -> tuple[int, ...] | None:
-        return (self.opening if opening else self.memo).get(piece) or self._missed(piece, opening)
+    def uncut(self, text: str) -> list[int]:
+        """Tokens of a stretch between certain cuts: at once, or piece by piece if one is longer than a leaf."""
+        if self.short is not None and not RUN.search(text):
+            return self.short.encode_ordinary(text)
+        pieces = self.pattern.findall(text)
+        if self.short is not None and max(map(len, pieces)) <= LEAF:
+            return self.short.encode_ordinary(text)
+        return list(chain.from_iterable(self.tree(p.encode("utf-8", "replace")) for p in pieces))
+
+    @staticmethod
+    def cut(text: str, at: int) -> int:
+        """The last certain cut within a stretch from ``at``, else the first one behind it, else the end."""
+        end = at + STRETCH
+        if end >= len(text):
+            return len(text)
+        i = text.rfind(" ", at + 1, end)
+        while i > 0:
+            if SAFE.match(text, i):
+                return i
+            i = text.rfind(" ", at + 1, i)
+        found = SAFE.search(text, end)
+        return found.start() if found else len(text)
 
     def ordinary(self, text: str) -> list[int]:
-        pieces = text.split(" ")
-        get, missed = self.memo.get, self._missed
-        out = [self._known(pieces[0], True)]
-        out += [get(piece) or missed(piece, False) for piece in pieces[1:]]
-        if None not in out:
-            return list(chain.from_iterable(out))
-        stretches = SAFE.split(text)
-        return list(chain.from_iterable(
-            self._known(p, i == 0) or self.uncut(p if i == 0 else " " + p) for i, p in enumerate(stretches)
-        ))
+        out, at = [], 0
+        while at < len(text):
+            end = self.cut(text, at)
+            out += self.uncut(text[at:end] if at or end < len(text) else text)
+            at = end
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -225,26 +214,45 @@ def _coder(shared) -> Coder:
     return _CODERS[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
+def _lists(values: list[list[int]]) -> pa.Array:
+    ends = [0]
+    for v in values:
+        ends.append(ends[-1] + len(v))
+    flat = pa.array(chain.from_iterable(values), pa.int32(), size=ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=pa.list_(pa.field("element", pa.int32())))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", decoded: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``token_ids array<int>`` and ``n_tokens long``.
 
-    ``vocabulary`` is the path of a byte-level BPE file, read on the driver (its size is that of the vocabulary).
-    Null and empty texts give an empty list. Existing columns of these two names are replaced.
+    With ``decoded`` the tokens are decoded again where they are made, into ``decoded string``: one Python worker for
+    both. ``vocabulary`` is the path of a byte-level BPE file, read on the driver (its size is that of the vocabulary).
+    Null and empty texts give an empty list, repeated rows stay as they are, an empty table stays empty. Existing columns
+    of the new names are replaced; all others, whatever their names, are kept.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
-    docs = docs.drop("token_ids", "n_tokens")
+    added = "token_ids array<int>, n_tokens long" + (", decoded string" if decoded else "")
+    docs = docs.drop("token_ids", "n_tokens", *(["decoded"] if decoded else []))
 
-    @F.pandas_udf("array<int>")
-    def short(texts: pd.Series) -> pd.Series:
+    def short(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = _coder(shared)
-        return pd.Series([np.array(coder.encode(t), np.int32) for t in texts], dtype=object)
+        ids = [coder.encode(t) for t in batch[text_column].to_pylist()]
+        out = [_lists(ids), pa.array([len(i) for i in ids], pa.int64())]
+        return [*out, pa.array([coder.decode(i) for i in ids], pa.string())] if decoded else out
 
-    text = docs[text_column]
-    is_long = F.coalesce(F.char_length(text) > PART, F.lit(False))
-    near = docs.where(~is_long).withColumn("token_ids", short(text))
-    far = materialize(docs.where(is_long).withColumn("__row", F.monotonically_increasing_id()), "long-texts")
+    is_long = F.coalesce(F.char_length(docs[f"`{text_column}`"]) > PART, F.lit(False))
+    near = with_columns(docs.where(~is_long), short, added)
+    row_id = _unused(docs, "__row")
+    far = materialize(docs.where(is_long).withColumn(row_id, F.monotonically_increasing_id()), "long-texts")
 
     def cut(batches):
         coder = _coder(shared)
@@ -262,11 +270,15 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataF
     def meet(batches):
         """Parts of a document are neighbours and in order; only one document is held."""
         coder, row, done, open_ = _coder(shared), None, [], []
+
+        def whole(ids):
+            return (row, ids, len(ids), coder.decode(ids)) if decoded else (row, ids, len(ids))
+
         for batch in batches:
             out = []
             for r, joined, ids in zip(*(batch[c].to_pylist() for c in ("__row", "joined", "ids"))):
                 if r != row and row is not None:
-                    out.append((row, done + _tree_join(coder, open_)))
+                    out.append(whole(done + _tree_join(coder, open_)))
                     done, open_ = [], []
                 row = r
                 if not joined:
@@ -274,17 +286,16 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataF
                 open_.append(ids)
             yield out
         if row is not None:
-            yield [(row, done + _tree_join(coder, open_))]
+            yield [whole(done + _tree_join(coder, open_))]
 
-    parts = rows(far.select("__row", F.col(f"`{text_column}`").alias("text")), cut, "__row long, part int, joined boolean, text string")
+    parts = rows(far.select(F.col(row_id).alias("__row"), F.col(f"`{text_column}`").alias("text")), cut, "__row long, part int, joined boolean, text string")
     # A piece that goes on in the next part is no whole piece either.
     parts = materialize(parts, "text-parts")
     following = parts.where("joined").selectExpr("__row", "part - 1 AS part", "true AS goes_on")
     parts = parts.join(following, ["__row", "part"], "left").selectExpr("__row", "part", "joined", "text", "NOT joined AND goes_on IS NULL AS whole")
     coded = rows(parts.repartition("__row", "part"), encode_parts, "__row long, part int, joined boolean, ids array<int>")
-    met = rows(coded.repartition("__row").sortWithinPartitions("__row", "part"), meet, "__row long, token_ids array<int>")
-    far = far.join(met, "__row").drop("__row")
-    return near.unionByName(far).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    met = rows(coded.repartition("__row").sortWithinPartitions("__row", "part"), meet, f"{row_id} long, {added}")
+    return near.unionByName(far.join(met, row_id).drop(row_id))
 
 
 def _tree_join(coder: Coder, parts: list[list[int]]) -> list[int]:
@@ -294,13 +305,15 @@ def _tree_join(coder: Coder, parts: list[list[int]]) -> list[int]:
 
 
 def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
-    """All columns with ``decoded string``, the text of ``token_ids``."""
+    """All columns with ``decoded string``, the text of ``token_ids``; an existing column of that name is replaced.
+
+    Null ids give an empty text, unknown ids an error.
+    """
     with open(vocabulary, encoding="utf-8") as file:
         shared = coded.sparkSession.sparkContext.broadcast(file.read())
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
+    def text(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = _coder(shared)
-        return pd.Series([coder.decode(x.tolist() if x is not None else []) for x in ids], dtype=object)
+        return [pa.array([coder.decode(ids or []) for ids in batch["token_ids"].to_pylist()], pa.string())]
 
-    return coded.withColumn("decoded", text("token_ids"))
+    return with_columns(coded, text, "decoded string")

@@ -37,7 +37,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = public_file("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, file).drop("text"), file)
+    coded = bpe.encode(docs, file, decoded=True)
     return coded.selectExpr("doc_id", "n_tokens", "sha2(array_join(token_ids, ','), 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")
 
 

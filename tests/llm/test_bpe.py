@@ -101,3 +101,29 @@ def test_query_digests(spark, tokenizer):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_decoding_where_tokens_are_made(spark, tokenizer):
+    docs = awkward(spark).selectExpr("*", "1 AS __row", "'old' AS decoded", "2 AS n_tokens")
+    texts = [(1, "word " * 20_000), (2, "x" * 40_000 + " y")]
+    more = documents(spark, texts)
+    for table in (docs, more):
+        got = bpe.encode(table, FILE, decoded=True)
+        kept = [c for c in table.columns if c not in ("decoded", "n_tokens")]
+        assert got.columns == [*kept, "token_ids", "n_tokens", "decoded"] and got.count() == table.count()
+        for r in got.collect():
+            assert r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(r["token_ids"])
+            assert r["token_ids"] == tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+
+
+def test_stretches_end_at_certain_cuts(coder, tokenizer):
+    rng = random.Random(8)
+    for k in range(60):
+        words = ["".join(rng.choices("abc'é好.\n\t \x1f9", k=rng.choice((1, 3, 9, 300)))) for _ in range(400)]
+        text = rng.choice((" ", "  ", "\n ", "")).join(words)[: rng.randrange(3_000, 20_000)]
+        at, ends = 0, []
+        while at < len(text):
+            at = coder.cut(text, at)
+            ends.append(at)
+        assert ends[-1] == len(text) and ends == sorted(set(ends))
+        assert coder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
