@@ -36,8 +36,7 @@ def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its tokens; ``decoded_equal`` says whether decoding gives the text back."""
-    file = public_file("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs, file), file)
+    coded = bpe.encode(docs, public_file("byte_bpe_50k.json"), decoded=True)
     return coded.selectExpr(*[f"`{c}`" for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded", "decoded_equal")],
                             "token_ids", "n_tokens", "decoded = coalesce(text, '') AS decoded_equal")
 
