@@ -7,14 +7,12 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+START = re.compile(r"<(?:(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)|(?=[!?/]))")
+# What follows a tag's name. Quotes count only right after the equals sign of an attribute, and only if they are closed;
+# nothing is tried twice, so a tag is read in one pass.
+REST = re.compile(r"""(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>""")
+RAW = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style noscript template textarea title iframe svg math object".split()}
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -30,6 +28,14 @@ NOISE_NAMES = frozenset(
     "notice notices pagination pager popup promo promoted related replies respond search share sharing sidebar skip social "
     "sponsor sponsored subscribe tags toolbar widget alert".split()
 )
+#: Words that may stand beside a noise word in one class name, as in ``site-footer``; any other word makes it another name.
+PLACES = frozenset(
+    "site page global main primary secondary top bottom left right inner outer box bar block wrap wrapper container section area list item items "
+    "links link post posts articles stories message text content form panel slot unit group row col column col1 col2 id".split()
+)
+#: Names of looks rather than of content: they say nothing beside a class name that marks content.
+LOOKS = frozenset("alert header hidden search share sharing social tags widget".split())
+CONTENT_NAMES = frozenset("article content entry main post story".split())
 CLOSES = {"p": frozenset("p".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
           "tr": frozenset(["tr"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot tr div section article body td select".split())
@@ -41,15 +47,27 @@ class Block(NamedTuple):
     noise: bool
     article: str  # path of the outermost article or main element around it, empty if there is none
     text: str
+    named: bool = False  # noise by a name only, not by an element
+
 
+def _is_noise_name(name: str) -> str | None:
+    """The noise word of a class, id or role name that is made of noise words and words of places only."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    noise = [w for w in words if w in NOISE_NAMES]
+    return noise[0] if noise and all(w in NOISE_NAMES or w in PLACES for w in words) else None
 
-def _noisy(tag: str, rest: str, in_article: bool) -> bool:
+
+def _noisy(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is noise by itself, and by its names."""
     if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True
+        return True, False
     if tag in ("html", "body", "main") or "=" not in rest:
-        return False
-    words = {w for found in NAMES.findall(rest) for w in re.split(r"[^a-z]+", "".join(found).lower())}
-    return not words.isdisjoint(NOISE_NAMES)
+        return False, False
+    names = [n for found in NAMES.findall(rest) for n in "".join(found).lower().split()]
+    found = {w for w in map(_is_noise_name, names) if w}
+    if not CONTENT_NAMES.isdisjoint(names):
+        found -= LOOKS
+    return False, bool(found)
 
 
 def _style(tag: str, rest: str) -> str:
@@ -57,33 +75,58 @@ def _style(tag: str, rest: str) -> str:
     return f"{tag}.{'.'.join(''.join(found.groups('')).lower().split())}" if found else tag
 
 
+def tags(source: str) -> Iterator[tuple[str, str, str, str]]:
+    """``(text before, "/" of an end tag, name, rest)`` in one pass; the name is empty where no element begins or ends.
+
+    A tag, comment or raw element that the page does not close takes the rest of the page, as in a browser.
+    """
+    at = 0
+    while m := START.search(source, at):
+        before, tag = source[at : m.start()], (m["tag"] or "").lower()
+        if not tag:
+            comment = source.startswith("<!--", m.start())
+            close = "-->" if comment else ">"
+            end = source.find(close, m.start() + 2 if comment else m.end())
+            at = end + len(close) if end >= 0 else len(source)
+            yield before, "", "", ""
+            continue
+        rest = REST.match(source, m.end())
+        if rest is None:
+            yield before, "", "", ""
+            return
+        at = rest.end()
+        if tag in RAW and not m["end"]:
+            if not (tag in ("svg", "math") and rest["rest"].endswith("/")):
+                close = RAW[tag].search(source, at)
+                at = close.end() if close else len(source)
+            tag = ""
+        yield before, m["end"], tag, rest["rest"]
+    yield source[at:], "", "", ""
+
+
 def blocks(source: str | None) -> Iterator[Block]:
     """The non-empty blocks in page order. Open elements end with the page; a block's white space is single blanks."""
     if not source:
         return
-    stack: list[tuple[str, str, bool, str]] = []  # tag, path, noise, article
+    stack: list[tuple[str, str, bool, str, bool]] = []  # tag, path, noise, article, noise by a name only
     held: list[str] = []
-    at = 0
 
     def flush() -> Iterator[Block]:
         if held:
             text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                _, path, noise, article = stack[-1] if stack else ("", "", False, "")
-                yield Block(path, noise, article, text)
-
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            held.append(source[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+                _, path, noise, article, named = stack[-1] if stack else ("", "", False, "", False)
+                yield Block(path, noise or named, article, text, named and not noise)
+
+    for before, end, tag, rest in tags(source):
+        if before:
+            held.append(before)
         if not tag:
             continue
-        tag = tag.lower()
         if tag in BLOCKS:
             yield from flush()
-        if m["end"]:
+        if end:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if tag not in BLOCKS and any(s[0] in BLOCKS for s in stack[i:]):
@@ -101,14 +144,12 @@ def blocks(source: str | None) -> Iterator[Block]:
                     break
                 if stack[i][0] in HOLDERS:
                     break
-        if m["rest"].endswith("/") and tag not in BLOCKS:
+        if rest.endswith("/") and tag not in BLOCKS:
             continue
-        _, path, noise, article = stack[-1] if stack else ("", "", False, "")
+        _, path, noise, article, named = stack[-1] if stack else ("", "", False, "", False)
         # Inline tags do not tell branches apart.
-        path = f"{path}/{_style(tag, m['rest'])}" if tag in BLOCKS else path
+        path = f"{path}/{_style(tag, rest)}" if tag in BLOCKS else path
         inside = article or (path if tag in ("article", "main") else "")
-        stack.append((tag, path, noise or _noisy(tag, m["rest"], bool(inside)), inside))
-    if at < len(source):
-        tail = source[at:]
-        held.append(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", tail) else tail)
+        by_tag, by_name = _noisy(tag, rest, bool(inside))
+        stack.append((tag, path, noise or by_tag, inside, named or by_name))
     yield from flush()

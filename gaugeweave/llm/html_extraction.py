@@ -38,7 +38,12 @@ def host(url: Column) -> Column:
 
 def candidates(source: str | None) -> list[Block]:
     """The blocks that can be main text by their elements alone."""
-    kept = [b for b in blocks(source) if not b.noise]
+    return main_blocks(list(blocks(source)))
+
+
+def main_blocks(every: list[Block]) -> list[Block]:
+    """Names alone do not make a whole page noise: if nothing else is left, only elements count."""
+    kept = [b for b in every if not b.noise] or [b for b in every if b.named]
     return [b for b in kept if b.article] or kept
 
 
@@ -62,7 +67,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for name, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
                 kept = list(blocks(source))
-                main = [b.text for b in kept if b.article and not b.noise]
+                main = [b.text for b in main_blocks(kept) if b.article]
                 article = xxhash.xxh3_64_intdigest("\n".join(main)) - 2**63 if main else 0
                 inside: set[str] = set()
                 contents: dict[str, list[str]] = {}
@@ -129,7 +134,9 @@ def removals(pages: DataFrame, low: DataFrame) -> DataFrame:
 
 
 def main_text(source: str | None, low: list[str] | None) -> str:
-    removed = set(low or ())
+    if not low:
+        return "\n".join(b.text for b in candidates(source))
+    removed = set(low)
     return "\n".join(b.text for b in candidates(source) if removed.isdisjoint(branches(b)))
 
 

@@ -128,3 +128,34 @@ def test_query_keeps_whole_articles(spark):
         inner = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split("</?(?:p|h[1-6]|br|li|ul)>", inner))
         assert got[r["page_id"]] == "\n".join(p for p in parts if p)
+
+
+def plain(source):
+    return html_extraction.main_text(source, [])
+
+
+def test_quotes_count_only_after_an_equals_sign():
+    assert plain("<p data-x=it's>Body don't stop.</p><p>next</p>") == "Body don't stop.\nnext"
+    assert plain("<p data-x=it's>Body.</p><p>next</p>") == "Body.\nnext"
+    assert plain("<p title='a > b'>one</p><p title=\"x'>y\" b>two</p>") == "one\ntwo"
+    assert plain("<p title=\"never closed>one</p><p>two</p>") == "one\ntwo"
+    assert plain("<a href=x?a='b>it's <b>bold</b></a>") == "it's bold"
+    assert plain("<p =x'>one</p><p a = 'q>' />two<svg /><p>three") == "one\ntwo\nthree"
+
+
+def test_names_are_read_whole():
+    for kept in ('<div class="content has-sidebar">text</div>', '<article class="widget story">text</article>', '<p class="no-ads">text</p>',
+                 '<p class="hidden-gem">text</p>', '<div id="search-results">text</div>', '<div class="entry-header"><h1>text</h1></div>'):
+        assert plain(f"<body>{kept}<div class=sidebar>aside</div></body>") == "text"
+    for gone in ("class=ad", "id='cookie-notice'", "class='site-footer'", "class=\"x comment-list\"", "role=navigation", "class=related_posts"):
+        assert plain(f"<body><p>text</p><div {gone}>noise</div></body>") == "text"
+    assert plain("<body><div class=widget><p>all there is</p></div><nav>menu</nav></body>") == "all there is"
+
+
+def test_markup_that_never_closes_is_read_once():
+    import time
+
+    for source in ("<x " * 330_000, '<a "' * 250_000, "<a b='" * 170_000, '<x a=">" ' * 110_000, "<!-" * 330_000, "</script " * 110_000, "<p =\"" * 200_000):
+        start = time.perf_counter()
+        list(blocks("<p>text</p>" + source))
+        assert time.perf_counter() - start < 5, source[:8]
