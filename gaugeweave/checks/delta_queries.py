@@ -1,11 +1,15 @@
 """Deltas, rates and parameter changes."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from gaugeweave.checks.fixtures import CAT, ev_samples
 from gaugeweave.checks.oracle import delta_sql, rounded, sample_sql, samples_sql
 from gaugeweave.checks.registry import Family
 from gaugeweave.operators.delta import adjacent, delta, latest, param_changes, rates, samples_view
+from gaugeweave.operators.states import NewestIndex
+from gaugeweave.session import scratch_dir
 
 FAMILY = Family()
 BLOCK = 256  # small, so that the given tables cross many block edges
@@ -24,6 +28,21 @@ def b1(spark, sf):
     return latest(ev_samples(spark, sf, []))
 
 
+@FAMILY.add(
+    "b1_newest_index",
+    f"WITH {samples_sql([])} SELECT host, max(id) AS id_latest, max(ts) AS ts_latest FROM samples GROUP BY host "
+    "HAVING max(ts) >= DATE '2024-01-28'",
+)
+def b1_index(spark, sf):
+    """The index after batches in any order, one repeated, and after a purge of the days before the 28th."""
+    index = NewestIndex(scratch_dir(spark, "newest"), shards=4)
+    samples = ev_samples(spark, sf, [])
+    for part in (2, 0, 1, 0):
+        index.note(samples.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part))
+    index.retire(spark, date(2024, 1, 28))
+    return index.table(spark)
+
+
 @FAMILY.add(
     "b2_adjacent_pairs",
     f"WITH {samples_sql([])} SELECT c.host AS host, c.id AS id, p.id AS prev_id, c.ts AS ts, p.ts AS prev_ts "

@@ -23,6 +23,7 @@ from gaugeweave.operators.rollup import (
     replace_buckets,
     rollup,
 )
+from gaugeweave.operators.states import averages, missing_hours, note_hours, profile_of, ranges_of, refresh_states
 from gaugeweave.session import materialize, scratch_dir
 from gaugeweave.sources.tables import read_table, rebuild_buckets, upsert_buckets
 
@@ -86,12 +87,17 @@ def _partial(spark, sf):
     return rollup(deltas(spark, sf), HOUR, METRICS, PARAMS).where(WRITTEN.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
 
 
-@FAMILY.add(
-    "c6_missing_hours",
+MISSING = (
     f"WITH {DELTA}, rolled AS ({rollup_select('hour', METRICS, PARAMS)}) "
     f"SELECT DISTINCT d.host AS host, date_trunc('hour', d.ts) AS ts FROM delta d LEFT JOIN "
     f"(SELECT * FROM rolled WHERE {WRITTEN}) r ON r.host = d.host AND r.ts = date_trunc('hour', d.ts) "
-    "WHERE r.id IS NULL",
+    "WHERE r.id IS NULL"
+)
+
+
+@FAMILY.add(
+    "c6_missing_hours",
+    MISSING,
 )
 def c6(spark, sf):
     return missing_buckets(deltas(spark, sf), _partial(spark, sf), HOUR)
@@ -105,6 +111,31 @@ def c7(spark, sf):
     return backfill(deltas(spark, sf), _partial(spark, sf), HOUR, METRICS, PARAMS)
 
 
+def _missing_by_mask(spark, changes):
+    """Masks stored beside samples and rollup, each in two batches of rows in any order, one of them repeated."""
+    paths = []
+    for rows in (changes.select("host", "id", "ts"), rollup(changes, HOUR, METRICS, PARAMS).where(WRITTEN.replace("TIMESTAMP", "TIMESTAMP_NTZ"))):
+        path = scratch_dir(spark, "masks")
+        for part in (0, 1, 0):
+            note_hours(rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part), path, shards=2)
+        paths.append(path)
+    return missing_hours(*[read_table(spark, p) for p in paths])
+
+
+@FAMILY.add("c6_missing_by_mask", MISSING)
+def c6_mask(spark, sf):
+    return _missing_by_mask(spark, materialize(deltas(spark, sf), "changes"))
+
+
+@FAMILY.add(
+    "c7_backfill_by_mask",
+    f"WITH {DELTA}, rolled AS ({rollup_select('hour', METRICS, PARAMS)}) SELECT * FROM rolled WHERE NOT ({WRITTEN})",
+)
+def c7_mask(spark, sf):
+    changes = materialize(deltas(spark, sf), "changes")
+    return refresh(changes, _missing_by_mask(spark, changes), HOUR, METRICS, PARAMS)
+
+
 @FAMILY.add("c8_full_rebuild", f"WITH {DELTA} {rollup_select('day', METRICS, PARAMS)}")
 def c8(spark, sf):
     path = scratch_dir(spark, "rebuild")
@@ -124,24 +155,54 @@ def averages_sql(names):
     return "".join(f', {mean(n, d[n])} AS "{n}"' for n in names)
 
 
+def stored_states(spark, sf):
+    """Parts of ten minutes of a table that grew: the later half of its rows falls into slots that are stored already."""
+    path = scratch_dir(spark, "states")
+    rows = materialize(sample_report(spark, sf, AVERAGED), "report")
+    first = rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+    refresh_states(first, first, DIGITS, path, shards=2)
+    refresh_states(rows, rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 1), DIGITS, path, shards=2)
+    return read_table(spark, path)
+
+
+TEN_MINUTES = (
+    f"WITH {report_sql(AVERAGED)} SELECT host, {TEN} AS ts, max(id) AS id{averages_sql(AVERAGED)} "
+    f"FROM report GROUP BY host, {TEN}"
+)
+
+
 @FAMILY.add(
     "c9_ten_minute_average",
-    f"WITH {report_sql(AVERAGED)} SELECT host, {TEN} AS ts, max(id) AS id{averages_sql(AVERAGED)} "
-    f"FROM report GROUP BY host, {TEN}",
+    TEN_MINUTES,
 )
 def c9(spark, sf):
     return bucket_avg(sample_report(spark, sf, AVERAGED), DIGITS)
 
 
+@FAMILY.add("c9_from_states", TEN_MINUTES)
+def c9_states(spark, sf):
+    return averages(stored_states(spark, sf), DIGITS)
+
+
+PROFILE = (
+    f"WITH {report_sql(AVERAGED)} SELECT host, CAST(isodow(ts) - 1 AS INTEGER) AS wd, CAST(hour(ts) AS INTEGER) AS hr"
+    f"{averages_sql(AVERAGED)} FROM report GROUP BY host, isodow(ts), hour(ts)"
+)
+
+
 @FAMILY.add(
     "c10_profile_24_7",
-    f"WITH {report_sql(AVERAGED)} SELECT host, CAST(isodow(ts) - 1 AS INTEGER) AS wd, CAST(hour(ts) AS INTEGER) AS hr"
-    f"{averages_sql(AVERAGED)} FROM report GROUP BY host, isodow(ts), hour(ts)",
+    PROFILE,
 )
 def c10(spark, sf):
     return profile_24_7(sample_report(spark, sf, AVERAGED), DIGITS)
 
 
+@FAMILY.add("c10_from_states", PROFILE)
+def c10_states(spark, sf):
+    return profile_of(stored_states(spark, sf), DIGITS)
+
+
 def minmax_columns(names, digits=True):
     text = ""
     for n in names:
@@ -157,16 +218,26 @@ def minmax_columns(names, digits=True):
 SPAN = "count(*) AS count_rows, min(ts) AS ts_min, max(ts) AS ts_max, date_sub('second', min(ts), max(ts)) AS ts_diff_seconds"
 
 
-@FAMILY.add(
-    "c11_minmax",
+RANGES = (
     f"WITH {report_sql(AVERAGED)}, ten AS (SELECT host, {TEN} AS t, max(id) AS id{averages_sql(AVERAGED)} "
     f"FROM report GROUP BY host, {TEN}), named AS (SELECT *, t AS ts FROM ten) "
-    f"SELECT host, {SPAN}{minmax_columns(AVERAGED)} FROM named GROUP BY host",
+    f"SELECT host, {SPAN}{minmax_columns(AVERAGED)} FROM named GROUP BY host"
+)
+
+
+@FAMILY.add(
+    "c11_minmax",
+    RANGES,
 )
 def c11(spark, sf):
     return minmax(bucket_avg(sample_report(spark, sf, AVERAGED), DIGITS), AVERAGED)
 
 
+@FAMILY.add("c11_from_states", RANGES)
+def c11_states(spark, sf):
+    return ranges_of(stored_states(spark, sf), DIGITS)
+
+
 @FAMILY.add(
     "c12_round_digits",
     "SELECT user_id, min(value) AS low, max(value) AS high, CAST(greatest(1, coalesce(ceil(-ln(nullif("

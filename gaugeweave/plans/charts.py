@@ -109,10 +109,14 @@ def payloads(inputs: ChartInputs, as_of: Column, charts: Sequence[Chart], encodi
 
 
 def chart_payloads(samples: DataFrame, grain: Grain, as_of: Column, cat: MetricCatalog,
-                   charts: Sequence[Chart] = CHARTS, encoding: str = "s", step: int | str = 1) -> DataFrame:
-    """All chart payloads of a grain. The small recent part is written out once and shared."""
+                   charts: Sequence[Chart] = CHARTS, encoding: str = "s", step: int | str = 1,
+                   newest: DataFrame | None = None) -> DataFrame:
+    """All chart payloads of a grain. The small recent part is written out once and shared.
+
+    ``newest`` is the table of a ``NewestIndex``; without it the newest rows are looked for in the whole of ``samples``.
+    """
     names = names_of(charts)
-    newest = materialize(latest(samples), "latest")
+    newest = materialize(latest(samples) if newest is None else newest, "latest")
     rows = report_of(samples, grain, names, cat, step, scan_start(newest, grain))
     buckets = materialize(recent_buckets(rows, newest, grain, names, cat), f"recent-{grain.name}")
     return payloads(chart_inputs(buckets, grain, charts), as_of, charts, encoding)

@@ -203,6 +203,11 @@ def _finish_upsert(spark: SparkSession, path: str, folders: Sequence[str]) -> No
     files.delete(make(journal), True)
 
 
+def recover(spark: SparkSession, path: str, folders: Sequence[str] = FOLDERS) -> None:
+    """Finish an upsert that a lost job left complete; a step that reads a table to write it calls this before it reads."""
+    _finish_upsert(spark, path, folders)
+
+
 def replace_rows(fresh: DataFrame, touched: DataFrame, path: str, keys: Sequence[str], folders: Sequence[str]) -> None:
     """Replace the stored rows whose ``keys`` are in ``touched`` by the fresh ones; both carry their folder columns.
 
