@@ -5,12 +5,13 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
-START = re.compile(r"<(?:(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)|(?=[!?/]))")
-# What follows a tag's name. Quotes count only right after the equals sign of an attribute, and only if they are closed;
-# nothing is tried twice, so a tag is read in one pass.
-REST = re.compile(r"""(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>""")
+# Quotes count only right after the equals sign of an attribute, and only if they are closed. Nothing is tried twice, so
+# a tag is read in one pass.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>""")
+LETTER = re.compile("[a-zA-Z]")
 RAW = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style noscript template textarea title iframe svg math object".split()}
 NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
@@ -50,6 +51,7 @@ class Block(NamedTuple):
     named: bool = False  # noise by a name only, not by an element
 
 
+@lru_cache(1024)
 def _is_noise_name(name: str) -> str | None:
     """The noise word of a class, id or role name that is made of noise words and words of places only."""
     words = [w for w in re.split(r"[^a-z]+", name) if w]
@@ -63,15 +65,27 @@ def _noisy(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
         return True, False
     if tag in ("html", "body", "main") or "=" not in rest:
         return False, False
+    return False, _noisy_names(rest) if len(rest) <= 256 else _noisy_names.__wrapped__(rest)
+
+
+@lru_cache(4096)
+def _noisy_names(rest: str) -> bool:
     names = [n for found in NAMES.findall(rest) for n in "".join(found).lower().split()]
     found = {w for w in map(_is_noise_name, names) if w}
     if not CONTENT_NAMES.isdisjoint(names):
         found -= LOOKS
-    return False, bool(found)
+    return bool(found)
 
 
 def _style(tag: str, rest: str) -> str:
-    found = NAMES.search(rest) if "=" in rest else None
+    if "=" not in rest:
+        return tag
+    return _styled(tag, rest) if len(rest) <= 256 else _styled.__wrapped__(tag, rest)
+
+
+@lru_cache(4096)
+def _styled(tag: str, rest: str) -> str:
+    found = NAMES.search(rest)
     return f"{tag}.{'.'.join(''.join(found.groups('')).lower().split())}" if found else tag
 
 
@@ -80,27 +94,33 @@ def tags(source: str) -> Iterator[tuple[str, str, str, str]]:
 
     A tag, comment or raw element that the page does not close takes the rest of the page, as in a browser.
     """
-    at = 0
-    while m := START.search(source, at):
-        before, tag = source[at : m.start()], (m["tag"] or "").lower()
-        if not tag:
-            comment = source.startswith("<!--", m.start())
-            close = "-->" if comment else ">"
-            end = source.find(close, m.start() + 2 if comment else m.end())
-            at = end + len(close) if end >= 0 else len(source)
-            yield before, "", "", ""
+    at = here = 0  # where text begins, where the search goes on
+    find, match = source.find, TAG.match
+    while (start := find("<", here)) >= 0:
+        if m := match(source, start):
+            end, tag, rest = m.groups()
+            before, at, tag = source[at:start], m.end(), tag.lower()
+            if tag in RAW and not end:
+                if not (tag in ("svg", "math") and rest.endswith("/")):
+                    close = RAW[tag].search(source, at)
+                    at = close.end() if close else len(source)
+                tag = ""
+            yield before, end, tag, rest
+            here = at
             continue
-        rest = REST.match(source, m.end())
-        if rest is None:
+        sign = source[start + 1 : start + 2]
+        letter = LETTER.match(source, start + (2 if sign == "/" else 1))
+        if sign in ("!", "?") or sign == "/" and not letter:
+            comment = source.startswith("<!--", start)
+            close = find("-->" if comment else ">", start + 2)
+            before, at = source[at:start], len(source) if close < 0 else close + (3 if comment else 1)
             yield before, "", "", ""
+            here = at
+        elif letter:  # a tag that no ">" ends
+            yield source[at:start], "", "", ""
             return
-        at = rest.end()
-        if tag in RAW and not m["end"]:
-            if not (tag in ("svg", "math") and rest["rest"].endswith("/")):
-                close = RAW[tag].search(source, at)
-                at = close.end() if close else len(source)
-            tag = ""
-        yield before, m["end"], tag, rest["rest"]
+        else:
+            here = start + 1
     yield source[at:], "", "", ""
 
 
