@@ -6,12 +6,15 @@ independent tables would need 546. A pair of documents of similarity s shares a
 collections agree (each with probability s^3): it is missed with probability 7e-4 at s = 0.8, 4e-5 at 0.85 and 6e-7
 at 0.9; unrelated documents meet with probability 91 s^6.
 
-In the later rounds a pair must also agree in 23 of the 42 hashes, in eight bits of each: at s = 0.8 one pair in 20,000
-does not. At which of its keys a pair is taken is read from the collections that the keys are made of. Documents with the same set form a class first, so copies never meet in a key. Then every class is compared with the
-smallest member of its buckets; links are confirmed on the full sets. Only buckets that still hold several components
-go on: their first 32 members are compared with all others, then the next 992, ..., only across components, each pair
-at one of the keys it shares. So the work in a family of copies is linear, and no pair that could join two components
-is left out.
+Documents with the same set form a class first, so copies never meet in a key. Then every class is compared with the
+smallest member of its buckets, and in buckets that still hold several components the first member of each component
+with the first of the bucket; links are confirmed on the full sets. So the work in a family of copies is linear.
+
+What then still lies in a bucket of several components is paired exactly, by prefixes of the sets instead of by
+buckets. The shingles of these documents are put in one order, rarest first. Of two sets of similarity t or more, each
+has one of its first n - ceil(t n) + 1 shingles in common with the other's, so only documents of different components
+that share such a shingle and a key are compared. Texts that share a passage and nothing else begin with their own rare
+shingles and do not meet. No pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -27,8 +30,7 @@ from gaugeweave.llm.shingles import WordHashes, mixed, shingle_set, words_of
 from gaugeweave.llm.tables import bitmap, bitmap_position, columns, in_bitmap, rows
 from gaugeweave.session import materialize
 
-COLLECTIONS, EACH, SLOTS, BINS = 14, 3, 7, 128
-AGREE = 23
+COLLECTIONS, EACH, BINS = 14, 3, 128
 _RANDOM = np.random.default_rng(20240131)
 _FACTORS = _RANDOM.integers(1, 2**63, COLLECTIONS * EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 2**63, COLLECTIONS * EACH, dtype=np.uint64)
@@ -53,12 +55,6 @@ def small_collections(least: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    """Eight bits of each minimum hash, seven in a number, so that whole sketches are compared by bit operations."""
-    bits = (mixed(least) >> np.uint64(56)).reshape(-1, SLOTS)
-    return np.bitwise_or.reduce(bits << (np.arange(SLOTS, dtype=np.uint64) * np.uint64(8)), axis=1)
-
-
 def histogram(shingles: np.ndarray) -> bytes:
     """How many shingles fall in each of 128 bins; bounds any intersection from above."""
     return np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes()
@@ -76,14 +72,13 @@ def fingerprints(docs: DataFrame, words: int, least: int) -> DataFrame:
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 high, low = np.frombuffer(digest, ">i8").tolist()
                 if len(s) < least:
-                    out.append((doc, len(s), high, low, None, None, None))
+                    out.append((doc, len(s), high, low, None, None))
                     continue
                 hashes = minimum_hashes(s)
-                parts, short = small_collections(hashes).view(np.int32), sketch(hashes).view(np.int64)
-                out.append((doc, len(s), high, low, parts, short, histogram(s)))
+                out.append((doc, len(s), high, low, small_collections(hashes).view(np.int32), histogram(s)))
             yield out
 
-    schema = "doc_id long, n long, high long, low long, parts array<int>, sketch array<long>, bins binary"
+    schema = "doc_id long, n long, high long, low long, parts array<int>, bins binary"
     return rows(docs.selectExpr("doc_id", "CAST(text AS BINARY) AS text"), work, schema)
 
 
@@ -106,45 +101,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
-    """``(doc_id, parts)`` to ``(key, doc_id)``: a key for each pair of collections, the later one in its last four bits."""
+    """``(doc_id, parts)`` to ``(key, doc_id)``: a key for each pair of collections."""
     p = F.col("parts")
     pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
-    keys = F.array(*[
-        F.xxhash64(F.lit(i * COLLECTIONS + j), p[i], p[j]).bitwiseAND(F.lit(~15)).bitwiseOR(F.lit(j)) for i, j in pairs
-    ])
+    keys = F.array(*[F.xxhash64(F.lit(i * COLLECTIONS + j), p[i], p[j]) for i, j in pairs])
     return reps.select("doc_id", F.explode(keys).alias("key"))
 
 
-def _equal_slots(left: str, right: str, i: int) -> str:
-    """SQL: a bit in each of seven bytes, set where number ``i`` of two sketches has equal bytes."""
-    x = f"({left}[{i}] ^ {right}[{i}])"
-    return f"(~((({x} & {0x7F7F7F7F7F7F7F}L) + {0x7F7F7F7F7F7F7F}L) | {x}) & {0x80808080808080}L)"
-
-
-def _agreement(left: str, right: str) -> str:
-    """SQL: how many of the 42 minimum hashes two sketches share."""
-    return " + ".join(f"bit_count({_equal_slots(left, right, i)})" for i in range(COLLECTIONS * EACH // SLOTS))
-
-
-def _collections_up_to(left: str, right: str, last: str) -> str:
-    """SQL: how many collections up to number ``last`` are equal in two sketches."""
-    low = " & ".join(_equal_slots(left, right, 2 * i) for i in range(EACH))
-    high = " & ".join(_equal_slots(left, right, 2 * i + 1) for i in range(EACH))
-    mask = lambda n: f"(shiftleft(1L, 8 * least(greatest({n}, 0), {SLOTS})) - 1)"
-    return f"bit_count({low} & {mask(f'{last} + 1')}) + bit_count({high} & {mask(f'{last} + 1 - {SLOTS}')})"
-
-
-def _taken_at(key: str, left: str, right: str) -> str:
-    """SQL: whether ``key`` is the one of a pair's first two equal collections, so that one of its shared keys is.
-
-    ``left`` and ``right`` are suffixes of the columns ``s`` (sketch) and ``p`` (collections). Equal collections have
-    equal sketches, so two equal in the sketches are the key's own; if more look equal, the collections decide.
-    """
-    last = f"CAST({key} & 15 AS INT)"
-    equal = " + ".join(f"CAST({last} >= {i} AND p{left}[{i}] = p{right}[{i}] AS INT)" for i in range(COLLECTIONS))
-    return f"({_collections_up_to(f's{left}', f's{right}', last)} = 2 OR {equal} = 2)"
-
-
 def confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union, on full sets.
 
@@ -200,7 +163,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     """
     docs = columns(docs, doc_id=id_column, text=text_column).selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
     least = -(-percent // (100 - percent))  # smaller sets are only similar to themselves
-    agree = AGREE * percent // 80
     prints = materialize(fingerprints(docs, words, least), "fingerprints")
 
     known = prints.where("n > 0 AND doc_id IS NOT NULL")
@@ -214,7 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     )
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     sizes = materialize(
-        known.where(f"n >= {least}").select("doc_id", "n", "parts", "sketch", "bins").join(reps, "doc_id", "left_semi"), "classes"
+        known.where(f"n >= {least}").select("doc_id", "n", "parts", "bins").join(reps, "doc_id", "left_semi"), "classes"
     )
 
     keys = table_keys(sizes)
@@ -227,21 +189,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     same_id = members.where("doc_id <> rep").selectExpr("doc_id AS a", "rep AS b").join(reps.selectExpr("doc_id AS a"), "a", "left_semi")
     labels = materialize(components(links.union(same_id)), "components")
 
-    done, until = 0, 32
-    while True:
-        ranked = materialize(_open_buckets(shared, labels, sizes), "open-buckets")
-        hubs = ranked.where(F.col("rank").between(done, until - 1))
-        hubs = hubs.selectExpr("key", "doc_id AS a", "component AS ca", "rank AS ra", "n AS na", "sketch AS sa", "parts AS pa")
-        if hubs.isEmpty():
-            break
-        others = ranked.selectExpr("key", "doc_id AS b", "component AS cb", "rank AS rb", "n AS nb", "sketch AS sb", "parts AS pb")
-        alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {_agreement('sa', 'sb')} >= {agree}"
-        pairs = hubs.join(others, "key").where(f"ca <> cb AND rb > ra AND {alike} AND {_taken_at('key', 'a', 'b')}").select("a", "b").distinct()
-        found = materialize(confirmed(pairs, sizes, docs, words, percent), "further-links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = materialize(components(links.union(same_id)), "components")
-        shared, done, until = ranked.select("key", "doc_id"), until, until * 32
+    held = materialize(_open_buckets(shared, labels), "open-buckets")
+    firsts = held.groupBy("key", "component").agg(F.min("doc_id").alias("b"))
+    second = firsts.join(held.groupBy("key").agg(F.min("doc_id").alias("a")), "key").where("a <> b").select("a", "b").distinct()
+    links, labels = _joined(links, confirmed(second, sizes, docs, words, percent), labels, same_id)
+
+    held = materialize(_open_buckets(held.select("key", "doc_id"), labels).groupBy("doc_id").agg(F.min("component").alias("component")), "open")
+    if not held.isEmpty():
+        pairs = prefix_pairs(held, sizes, docs, words, percent)
+        links, labels = _joined(links, confirmed(pairs, sizes, docs, words, percent), labels, same_id)
 
     named = labels.select(F.col("node").alias("rep"), "component")
     out = members.join(named, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
@@ -249,14 +205,55 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
                           "coalesce(doc_id = component_id, true) AS kept")
 
 
-def _open_buckets(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component, numbered by id in each."""
+def _joined(links: DataFrame, found: DataFrame, labels: DataFrame, same_id: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with those found since, and the components of all."""
+    found = materialize(found, "further-links")
+    if found.isEmpty():
+        return links, labels
+    links = links.union(found)
+    return links, materialize(components(links.union(same_id)), "components")
+
+
+def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, doc_id, component)`` of the buckets that hold more than one component."""
     named = shared.select("key", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
     several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows_of = named.join(several.select("key"), "key")
-    ranked = rows_of.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1)
-    return ranked.join(sizes.select("doc_id", "n", "sketch", "parts"), "doc_id")
+    return named.join(several.select("key"), "key").select("key", "doc_id", "component")
+
+
+def prefix_pairs(held: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of ``held(doc_id, component)``, of different components, that share a key and a shingle of their prefixes.
+
+    Every pair of similarity ``percent`` that shares a key is among them. A window holds the shingles of one set only;
+    texts that share an id are several sets, and repeated rows lengthen a prefix, which loses nothing. A shingle that
+    stays in the prefixes of one component is dropped before the join.
+    """
+    sets = full_sets(docs, held.select("doc_id"), words)
+
+    def spread(batches):
+        for batch in batches:
+            for doc, held_set in zip(batch["doc_id"].to_pylist(), batch["shingles"].to_pylist()):
+                values, own = np.frombuffer(held_set, np.int64), xxhash.xxh3_64_intdigest(held_set) >> 1
+                for start in range(0, len(values), _STEP):
+                    yield [(doc, own, len(values), x) for x in values[start : start + _STEP].tolist()]
+
+    every = materialize(rows(sets, spread, "doc_id long, own long, n long, shingle long"), "open-shingles")
+    counted = every.join(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shingle")
+    # Shingles of one document come first in its order and meet nothing, so they need only be counted.
+    rank = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy(F.desc("held"), F.desc("shingle")))
+    # From the end of the order: all but the last ceil(t n) - 1 shingles are the prefix.
+    prefix = counted.withColumn("last", rank).where(f"last >= ceil({percent} * n / 100)").select("shingle", "doc_id")
+    named = materialize(prefix.join(held, "doc_id"), "prefixes")
+    several = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    named = named.join(several.select("shingle"), "shingle").join(sizes.select("doc_id", "n", "parts"), "doc_id")
+    named = materialize(named, "shared-prefixes")
+    left, right = ([F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "component", "n", "parts")] for side in "ab")
+    both = named.select("shingle", *left).join(named.select("shingle", *right), "shingle")
+    equal = " + ".join(f"CAST(parts_a[{i}] = parts_b[{i}] AS INT)" for i in range(COLLECTIONS))
+    alike = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {equal} >= 2"
+    both = both.where(f"doc_id_a < doc_id_b AND component_a <> component_b AND {alike}")
+    return both.selectExpr("doc_id_a AS a", "doc_id_b AS b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
