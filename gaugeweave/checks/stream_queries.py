@@ -4,15 +4,18 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from gaugeweave.catalog import HOUR
+from gaugeweave.catalog import DAY, HOUR
 from gaugeweave.checks.alert_queries import BLOCK, CONDITIONS, ISLANDS, NAMES, host_facts
 from gaugeweave.checks.fixtures import CAT, COLUMNS, HOST, ev_samples, table
 from gaugeweave.checks.oracle import delta_sql, rollup_select, sample_sql, samples_sql
 from gaugeweave.checks.registry import Family
+from gaugeweave.checks.rollup_queries import AVERAGED, DIGITS, TEN_MINUTES, sample_report
+from gaugeweave.functions.numeric import rate_text
 from gaugeweave.functions.timefn import NTZ
 from gaugeweave.operators.alerts import evaluate_wide
 from gaugeweave.operators.delta import rates
 from gaugeweave.operators.report import inputs_of, report
+from gaugeweave.operators.states import averages
 from gaugeweave.session import scratch_dir
 from gaugeweave.plans.collection import CollectionRun
 from gaugeweave.sources.tables import read_table
@@ -20,6 +23,7 @@ from gaugeweave.streaming.alerts import EpisodeStep
 from gaugeweave.streaming.deltas import DeltaStep, TableDeltaStep
 from gaugeweave.streaming.keyed import keyed_deltas, keyed_state, silent_hosts
 from gaugeweave.streaming.ingest import SilenceStep, unique_seconds
+from gaugeweave.streaming.late import WindowStep, average_parts, rollup_parts
 from gaugeweave.streaming.repair import RepairStep
 from gaugeweave.streaming.rollups import RefreshStep, closed_windows
 from gaugeweave.streaming.run import each_batch, output_table, read_files, state_table, to_table
@@ -104,6 +108,35 @@ def j3(spark, sf):
     return spark.read.parquet(path)
 
 
+def windowed(spark, rows, parts):
+    """All windows of rows that are dealt to micro-batches by hash, so that most come behind the clock."""
+    path = scratch_dir(spark, "arrivals")
+    rows.repartition(BATCHES, F.xxhash64("id")).write.parquet(path)
+    step = WindowStep(parts, state_table(spark, "clock"), state_table(spark, "opened"), output_table(spark, "closed"),
+                      output_table(spark, "late"))
+    each_batch(read_files(spark, path, rows.schema, files_per_batch=1), step, scratch_dir(spark, "state"))
+    return step.every(spark)
+
+
+def _register_late(key, grain):
+    @FAMILY.add(key, f"WITH {delta_sql(METRICS, PARAMS)} {rollup_select(grain.name, METRICS, PARAMS, rate_mode='ratio')}")
+    def query(spark, sf):
+        from gaugeweave.operators.delta import delta
+
+        rows = delta(ev_samples(spark, sf, [*METRICS, *PARAMS]), CAT, METRICS, PARAMS)
+        windows = windowed(spark, rows, rollup_parts(grain, METRICS, PARAMS))
+        return windows.withColumns({f"{m}_psec": F.expr(rate_text(f"{m}_diff", "ts_diff_seconds")) for m in METRICS})
+
+
+_register_late("j3_late_rows_hour", HOUR)
+_register_late("j3_late_rows_day", DAY)
+
+
+@FAMILY.add("j3_late_rows_ten_minutes", TEN_MINUTES)
+def j3_late_averages(spark, sf):
+    return averages(windowed(spark, sample_report(spark, sf, AVERAGED), average_parts(DIGITS)), DIGITS)
+
+
 @FAMILY.add("j4_stream_refresh", f"WITH {delta_sql(METRICS, PARAMS)} {rollup_select('hour', METRICS, PARAMS)}")
 def j4(spark, sf):
     samples, rolled = scratch_dir(spark, "samples"), scratch_dir(spark, "rolled")
