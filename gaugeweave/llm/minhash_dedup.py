@@ -13,8 +13,8 @@ with the first of the bucket; links are confirmed on the full sets. So the work
 What then still lies in a bucket of several components is paired exactly, by prefixes of the sets instead of by
 buckets. The shingles of these documents are put in one order, rarest first. Of two sets of similarity t or more, each
 has one of its first n - ceil(t n) + 1 shingles in common with the other's, so only documents of different components
-that share such a shingle and a key are compared. Texts that share a passage and nothing else begin with their own rare
-shingles and do not meet. No pair that could join two components is left out.
+that share such a shingle and a key are compared. Texts that share a passage begin with their own rare shingles, where
+they have enough of them; families that do not are still compared in many pairs (see README). No pair that could join two components is left out.
 """
 
 from __future__ import annotations
