@@ -13,8 +13,9 @@ with the first of the bucket; links are confirmed on the full sets. So the work
 What then still lies in a bucket of several components is paired exactly, by prefixes of the sets instead of by
 buckets. The shingles of these documents are put in one order, rarest first. Of two sets of similarity t or more, each
 has one of its first n - ceil(t n) + 1 shingles in common with the other's, so only documents of different components
-that share such a shingle and a key are compared. Texts that share a passage begin with their own rare shingles, where
-they have enough of them; families that do not are still compared in many pairs (see README). No pair that could join two components is left out.
+that share such a shingle and a key can be similar. The condition of that join bounds the similarity from above by 1024 parities of
+either set, so members of a family that share a passage only are told apart inside the join and make no pair. No pair that
+could join two components is left out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from gaugeweave.llm.shingles import WordHashes, mixed, shingle_set, words_of
 from gaugeweave.llm.tables import bitmap, bitmap_position, columns, in_bitmap, rows
 from gaugeweave.session import materialize
 
-COLLECTIONS, EACH, BINS = 14, 3, 128
+COLLECTIONS, EACH, MARKS = 14, 3, 16
 _RANDOM = np.random.default_rng(20240131)
 _FACTORS = _RANDOM.integers(1, 2**63, COLLECTIONS * EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 2**63, COLLECTIONS * EACH, dtype=np.uint64)
@@ -55,13 +56,26 @@ def small_collections(least: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def histogram(shingles: np.ndarray) -> bytes:
-    """How many shingles fall in each of 128 bins; bounds any intersection from above."""
-    return np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes()
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the shingles of each of 1024 bins are odd in number, as 16 words of 64 bits.
+
+    A shingle that only one of two sets holds changes one bit, so the sets differ in no fewer shingles than in bits.
+    """
+    odd = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_reach(percent: int) -> str:
+    """SQL over ``n`` and ``marks`` of either side: false only if 100 * intersection < percent * union is certain.
+
+    With d shingles in one set only, the union is (n_a + n_b + d) / 2 and the intersection (n_a + n_b - d) / 2.
+    """
+    apart = " + ".join(f"bit_count(marks_a[{i}] ^ marks_b[{i}])" for i in range(MARKS))
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b)"
 
 
 def fingerprints(docs: DataFrame, words: int, least: int) -> DataFrame:
-    """``docs(doc_id, text)`` to size, set hash and, for sets of ``least`` shingles or more, collections and bins."""
+    """``docs(doc_id, text)`` to size, set hash and, for sets of ``least`` shingles or more, collections and parities."""
 
     def work(batches):
         memo = WordHashes()
@@ -75,10 +89,10 @@ def fingerprints(docs: DataFrame, words: int, least: int) -> DataFrame:
                     out.append((doc, len(s), high, low, None, None))
                     continue
                 hashes = minimum_hashes(s)
-                out.append((doc, len(s), high, low, small_collections(hashes).view(np.int32), histogram(s)))
+                out.append((doc, len(s), high, low, small_collections(hashes).view(np.int32), parities(s)))
             yield out
 
-    schema = "doc_id long, n long, high long, low long, parts array<int>, bins binary"
+    schema = "doc_id long, n long, high long, low long, parts array<int>, marks array<long>"
     return rows(docs.selectExpr("doc_id", "CAST(text AS BINARY) AS text"), work, schema)
 
 
@@ -111,29 +125,13 @@ def table_keys(reps: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union, on full sets.
 
-    Sizes and bins exclude most unlike pairs exactly; only documents of the remaining pairs have their sets made.
+    Sizes and parities exclude most unlike pairs exactly; only documents of the remaining pairs have their sets made.
     Sets are joined to pairs by either end, so a hub with very many links is a skewed join, which Spark splits.
     """
-    left = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("bins_a"))
-    right = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bins_b"))
+    left, right = (sizes.selectExpr(f"doc_id AS {x}", f"n AS n_{x}", f"marks AS marks_{x}") for x in "ab")
     near = pairs.join(right, "b").join(left, "a")
-    near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-
-    def possible(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.int32).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
-            both = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-            na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
-            fit = 100 * both >= percent * (na + nb - both)
-            yield batch.filter(fit).select(["a", "b"]).to_pylist()
-
-    def tuples(batches):
-        for found in possible(batches):
-            yield [(x["a"], x["b"]) for x in found]
-
-    near = materialize(rows(near, tuples, "a long, b long").distinct(), "near-pairs")
+    near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {may_reach(percent)}")
+    near = materialize(near.select("a", "b").distinct(), "near-pairs")
     ids = near.selectExpr("explode(array(a, b)) AS doc_id").distinct()
     sets = materialize(full_sets(docs, ids, words), "shingle-sets")
 
@@ -176,7 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     )
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     sizes = materialize(
-        known.where(f"n >= {least}").select("doc_id", "n", "parts", "bins").join(reps, "doc_id", "left_semi"), "classes"
+        known.where(f"n >= {least}").select("doc_id", "n", "parts", "marks").join(reps, "doc_id", "left_semi"), "classes"
     )
 
     keys = table_keys(sizes)
@@ -227,7 +225,8 @@ def prefix_pairs(held: DataFrame, sizes: DataFrame, docs: DataFrame, words: int,
 
     Every pair of similarity ``percent`` that shares a key is among them. A window holds the shingles of one set only;
     texts that share an id are several sets, and repeated rows lengthen a prefix, which loses nothing. A shingle that
-    stays in the prefixes of one component is dropped before the join.
+    stays in the prefixes of one component is dropped before the join. If ``sizes`` holds parities, pairs that they exclude
+    are not made.
     """
     sets = full_sets(docs, held.select("doc_id"), words)
 
@@ -245,13 +244,16 @@ def prefix_pairs(held: DataFrame, sizes: DataFrame, docs: DataFrame, words: int,
     # From the end of the order: all but the last ceil(t n) - 1 shingles are the prefix.
     prefix = counted.withColumn("last", rank).where(f"last >= ceil({percent} * n / 100)").select("shingle", "doc_id")
     named = materialize(prefix.join(held, "doc_id"), "prefixes")
+    facts = [c for c in ("n", "parts", "marks") if c in sizes.columns]
     several = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    named = named.join(several.select("shingle"), "shingle").join(sizes.select("doc_id", "n", "parts"), "doc_id")
+    named = named.join(several.select("shingle"), "shingle").join(sizes.select("doc_id", *facts), "doc_id")
     named = materialize(named, "shared-prefixes")
-    left, right = ([F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "component", "n", "parts")] for side in "ab")
+    left, right = ([F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "component", *facts)] for side in "ab")
     both = named.select("shingle", *left).join(named.select("shingle", *right), "shingle")
     equal = " + ".join(f"CAST(parts_a[{i}] = parts_b[{i}] AS INT)" for i in range(COLLECTIONS))
     alike = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {equal} >= 2"
+    if "marks" in facts:
+        alike += f" AND {may_reach(percent)}"
     both = both.where(f"doc_id_a < doc_id_b AND component_a <> component_b AND {alike}")
     return both.selectExpr("doc_id_a AS a", "doc_id_b AS b").distinct()
 

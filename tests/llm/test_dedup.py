@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cases import SCHEMA, awkward, documents, edited, prose
 from gaugeweave.llm import exact_dedup, minhash_dedup
@@ -109,6 +110,20 @@ def test_prefix_pairs_hold_every_pair_at_the_threshold(spark):
     assert minhash_dedup.prefix_pairs(apart, sizes, docs, 1, 80).isEmpty()
 
 
+def test_unlike_members_of_a_family_make_no_pair(spark):
+    """Every member holds 60 of the same 100 words, so all prefixes meet; only pairs that may be similar become rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in sorted(rng.choice(100, 60, replace=False)))) for i in range(60)]
+    rows += [(100, rows[0][1]), (101, rows[1][1] + " more"), (102, " ".join(rows[2][1].split(" ")[:-12]))]
+    docs = documents(spark, rows).select("doc_id", "text")
+    _, sets = brute_components(rows, 1, 80)
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])}
+    alone = docs.selectExpr("doc_id", "doc_id AS component")
+    sizes = minhash_dedup.fingerprints(docs, 1, 4).withColumn("parts", F.expr("array_repeat(7, 14)"))
+    got = {(r["a"], r["b"]) for r in minhash_dedup.prefix_pairs(alone, sizes, docs, 1, 80).collect()}
+    assert {(0, 100), (1, 101), (2, 102)} <= want <= got and len(got) < 20
+
+
 def test_chain_is_joined_without_hubs(spark, monkeypatch):
     """Links that the rounds of hubs miss are found by prefixes."""
     whole, calls = minhash_dedup.confirmed, []
