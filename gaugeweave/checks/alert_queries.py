@@ -24,9 +24,8 @@ from gaugeweave.operators.alerts import (
     pending_listing,
     pending_view,
     process_summary,
-    read_conditions,
     resolve,
-    rule_inputs,
+    rule_inputs_table,
     unresolved,
     upsert_pending,
 )
@@ -138,9 +137,8 @@ def h1_inputs(spark, sf):
     texts = table(spark, sf, "supplier").selectExpr(
         "CAST(s_suppkey AS INT) AS alert_condition_id", f"{RULE_TEXTS} AS condition_eval", "'' AS monitored_host_condition_eval",
         "s_name AS description", "'error' AS error_level", "0 AS alert_delay_minutes", "false AS repetitive_alert", "true AS enabled")
-    found = rule_inputs(spark, read_conditions(texts), [*METRICS, *SAMPLE_COLUMNS])
-    rows = [(r.alert_condition_id, ",".join(r.columns), r.error is not None) for r in found]
-    return spark.createDataFrame(rows, "alert_condition_id int, inputs string, failed boolean")
+    found = rule_inputs_table(texts, [*METRICS, *SAMPLE_COLUMNS])
+    return found.selectExpr("alert_condition_id", "array_join(columns, ',') AS inputs", "error IS NOT NULL AS failed")
 
 
 @FAMILY.add(

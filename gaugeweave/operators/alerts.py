@@ -6,6 +6,7 @@ import logging
 from collections.abc import Iterable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from gaugeweave.functions.text import joined
 from gaugeweave.functions.timefn import NTZ, elapsed, stamp
 from gaugeweave.operators.delta import BLOCK, block_of
 from gaugeweave.operators.ingest import join_host_facts
+from gaugeweave.session import materialize, scratch_dir
 
 log = logging.getLogger(__name__)
 
@@ -123,6 +125,38 @@ def rule_inputs(spark, conditions: Sequence[Condition], known: Sequence[str]) ->
     return out
 
 
+# A number of at most nine digits right after a comparison or an arithmetic sign: neither the syntax nor the columns depend on it.
+_VALUE = r"(?<=[<>=+*/%-])(\s*)[0-9]{1,9}(?![0-9A-Za-z_.])"
+# Quotes, comments, intervals and exponents may make something else of such a number; these texts are parsed as they are.
+_SPECIAL = r"""(?is)['"`]|--|/[*]|interval|[0-9.]e[+-]"""
+SHAPES = 10_000
+
+
+def rule_shape(text: Column) -> Column:
+    """The text of a rule with the numbers it compares with as 1: rules of one shape read the same columns or fail alike."""
+    return F.when(text.rlike(_SPECIAL), text).otherwise(F.regexp_replace(text, _VALUE, "$11"))
+
+
+def rule_inputs_table(rules: DataFrame, known: Sequence[str]) -> DataFrame:
+    """``rule_inputs`` of a whole rule table, as ``(alert_condition_id, columns, error)``.
+
+    Only distinct shapes are parsed, one after the other as they arrive from Spark, which only the driver can do; their
+    results are written in parts and joined to the rules. An error quotes the shape.
+    """
+    spark = rules.sparkSession
+    shaped = rules.where("enabled").select("alert_condition_id", rule_shape(F.col("condition_eval")).alias("shape"))
+    path = scratch_dir(spark, "rule-shapes")
+    schema = "shape string, columns array<string>, error string"
+    spark.createDataFrame([], schema).write.parquet(path)
+    shapes = (r["shape"] for r in materialize(shaped.select("shape").distinct(), "shapes").toLocalIterator())
+    while part := list(islice(shapes, SHAPES)):
+        found = rule_inputs(spark, [Condition(i, shape) for i, shape in enumerate(part)], known)
+        rows = [(part[r.alert_condition_id], list(r.columns), r.error) for r in found]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    parsed = spark.read.schema(schema).parquet(path)
+    return shaped.join(parsed, shaped["shape"].eqNullSafe(parsed["shape"])).select("alert_condition_id", "columns", "error")
+
+
 def watched_metrics(spark, conditions: Sequence[Condition], known: Sequence[str]) -> list[str]:
     """The report metrics that the computable rules use, in the order of ``known``."""
     used = {x for r in rule_inputs(spark, conditions, known) if r.error is None for x in r.columns}

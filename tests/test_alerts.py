@@ -127,3 +127,20 @@ def test_digest_divides_open_and_resolved(spark, make):
     done = notifications(view_of(spark, make, rule, 0, 60, resolved=True))
     text = digest(open_items.unionByName(done)).first()["digest"]
     assert text.index("ERROR: One") < text.index("-------") < text.index("Resolved: One")
+
+
+def test_rules_of_one_shape_are_parsed_once(spark, monkeypatch):
+    from gaugeweave.operators import alerts
+
+    texts = [f"x > {i}" for i in range(50)] + ["x > 1234567890", "x > 12345678901", "y >> (", "y > 1e+5", "y > 1e+999", "z = '5'", "no > 3",
+             "", "x > 5L", "x = CAST(y AS DECIMAL(40)) - 7", "x = CAST(y AS DECIMAL(10)) - 7", "`x > 5` > 5", "x>=007 OR z<-12", None]
+    rules = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)] + [(99, "x > 1", False)],
+                                  "alert_condition_id int, condition_eval string, enabled boolean")
+    known = ["x", "y", "z"]
+    want = {r.alert_condition_id: (list(r.columns), r.error is None) for r in alerts.rule_inputs(
+        spark, [alerts.Condition(i, t) for i, t in enumerate(texts)], known)}
+    parsed, read = [], alerts.rule_columns
+    monkeypatch.setattr(alerts, "rule_columns", lambda spark, text: parsed.append(text) or read(spark, text))
+    monkeypatch.setattr(alerts, "SHAPES", 4)
+    got = {r["alert_condition_id"]: (r["columns"], r["error"] is None) for r in alerts.rule_inputs_table(rules, known).collect()}
+    assert got == want and len(parsed) == len(set(parsed)) <= 16
