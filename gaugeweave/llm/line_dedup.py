@@ -3,7 +3,7 @@
 A line is a block of visible text. For each host and line the pages that hold it are counted and divided by the
 host's pages; lines above ``ratio`` that are on ``least_pages`` pages or more are dropped from every page of the host.
 Counts are by host *and* line and are added up before they are moved, so a host with a third of all pages spreads
-over all tasks.
+over all tasks. Markup is read once; the lines are written under ``spark.checkpoint.dir`` for both uses.
 """
 
 from __future__ import annotations
@@ -24,24 +24,38 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
+def page_texts(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, host, text)``: the lines of each page, joined by line feeds, which no line holds; None without lines."""
+
+    def work(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part, out = batch.slice(start, 128), []
+                for *page, source in zip(*(part[c].to_pylist() for c in ("page_id", "url", "host", "html"))):
+                    out.append((*page, "\n".join(b.text for b in blocks(source)) or None))
+                yield out
+
+    return rows(pages, work, "page_id long, url string, host string, text string")
+
+
+def page_lines(texts: DataFrame) -> DataFrame:
     """``(host, line)``: each distinct line of each page once, as a hash."""
 
     def work(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part, out = batch.slice(start, 128), []
-                for name, source in zip(part["host"].to_pylist(), part["html"].to_pylist()):
-                    out += [(name, h) for h in {_digest(b.text) for b in blocks(source)}]
+                for name, text in zip(part["host"].to_pylist(), part["text"].to_pylist()):
+                    out += [(name, h) for h in set(map(_digest, text.split("\n")))]
                 yield out
 
-    return rows(pages, work, "host string, line long")
+    return rows(texts.select("host", "text").where("text IS NOT NULL"), work, "host string, line long")
 
 
-def frequent_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def frequent_lines(texts: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``(host, lines)``: hashes of the lines to drop. Fewer than lines of a page / ratio for each host."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
-    counts = page_lines(pages).groupBy("host", "line").agg(F.count("*").alias("n")).where(f"n >= {least_pages}")
+    totals = texts.groupBy("host").agg(F.count("*").alias("total"))
+    counts = page_lines(texts).groupBy("host", "line").agg(F.count("*").alias("n")).where(f"n >= {least_pages}")
     found = counts.join(totals, "host").where(f"n > {ratio} * total")
     return found.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
@@ -53,15 +67,16 @@ def drop_frequent_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int
     for the ratio and stays or goes in all its places. Repeated rows each count as a page.
     """
     pages = columns(pages, page_id="page_id", url="url", html="html").withColumn("host", host(F.col("url")))
-    known = materialize(frequent_lines(pages.select("host", "html"), ratio, least_pages), "frequent-lines")
-    joined = pages.join(known, "host", "left").select("page_id", "url", "html", "lines")
+    texts = materialize(page_texts(pages.select("page_id", "url", "host", "html")), "page-texts")
+    known = materialize(frequent_lines(texts, ratio, least_pages), "frequent-lines")
+    joined = texts.join(known, "host", "left").select("page_id", "url", "text", "lines")
 
     def work(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part, out = batch.slice(start, 128), []
-                for page, url, source, lines in zip(*(part[c].to_pylist() for c in ("page_id", "url", "html", "lines"))):
-                    own, drop = [b.text for b in blocks(source)], set(lines or ())
+                for page, url, text, lines in zip(*(part[c].to_pylist() for c in ("page_id", "url", "text", "lines"))):
+                    own, drop = text.split("\n") if text else [], set(lines or ())
                     kept = [t for t in own if _digest(t) not in drop]
                     out.append((page, url, "\n".join(kept), len(own), len(own) - len(kept)))
                 yield out

@@ -116,6 +116,20 @@ def test_site_relative_lines_equal_brute_force(spark):
         assert got == brute_lines(rows, ratio, least)
 
 
+def test_markup_of_lines_is_read_once(spark, monkeypatch, tmp_path):
+    log = str(tmp_path / "read")
+
+    def counted(source):
+        with open(log, "a") as f:
+            f.write("x")
+        return blocks(source)
+
+    monkeypatch.setattr(line_dedup, "blocks", counted)
+    rows = [(i, "http://a.example/", f"<p>all</p><p>own {i}</p>") for i in range(30)] + [(30, None, None)]
+    assert texts(line_dedup.drop_frequent_lines(pages(spark, rows))) == {i: f"own {i}" for i in range(30)} | {30: ""}
+    assert len(open(log).read()) == 31
+
+
 def test_query_keeps_whole_articles(spark):
     import html
     import re
