@@ -16,8 +16,7 @@ share of the root of the length, and the log length. Rows of fold 0 are never le
 
 The counts grow with the labelled documents. A task receives only words whose share of a class's counts is at least
 ``share``: at most 2 / share words by construction, a bound proven whatever the input. The ratios of all rarer words
-stay in a table and are joined to the distinct words of the texts that hold them; each different text is looked up
-once. Words that neither class counts more than D times have exactly the ratio of the shared backoff and need no row.
+stay in a table and are joined to the distinct words of the texts that hold them. Words that neither class counts more than D times have exactly the ratio of the shared backoff and need no row.
 """
 
 from __future__ import annotations
@@ -48,7 +47,8 @@ def distinct_words(text: str | None) -> set[str]:
 def labelled_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(fold, toxic, words)`` of the learning rows; only documents that may have a label leave their task."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # Written, so that the planner knows its size and moves no words where it is small.
+    known = materialize(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(known.select("doc_id")))
 
     def work(batches):
@@ -144,7 +144,7 @@ class Model:
     def figures(self, texts: DataFrame, words_of) -> DataFrame:
         """Columns of ``texts`` but ``text`` and the five figures of each row; ``words_of(text)`` gives distinct words.
 
-        A task knows the ratios of all words but the rare ones; those it finds are looked up for each different text.
+        A task knows the ratios of all words but the rare ones; those it finds are looked up for each row that has some.
         """
         others = [c for c in texts.columns if c != "text"]
         shared = self.shared
@@ -157,22 +157,26 @@ class Model:
                     for text, *values in zip(*(part[c].to_pylist() for c in ("text", *others))):
                         words = words_of(text)
                         rare = _may_be_rare(words, ratios, marked)
-                        digest = xxhash.xxh3_128_digest("\n".join(sorted(rare)).encode("utf-8", "replace")) if rare else None
                         known = [ratios.get(w, rest) for w in words.difference(rare)]
                         top = sorted(known, reverse=True)[:3]
-                        out.append((*values, len(words), math.fsum(known), sum(x > 2 for x in known), top, digest, rare))
+                        out.append((*values, len(words), math.fsum(known), sum(x > 2 for x in known), top, len(rare), rare))
                     yield out
 
         kept = texts.select(*others).schema
         schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "n long, total double, above long, "
-                            "top array<double>, digest binary, rare array<string>"])
+                            "top array<double>, n_rare int, rare array<string>"])
         partial = rows(texts.select("text", *others), work, schema)
         if not self.any_rare:
             return self._finished(partial.withColumn("found", F.expr("CAST(NULL AS array<double>)")), others)
-        partial = materialize(partial, "partial-figures")
-        looked = partial.where("digest IS NOT NULL").select("digest", F.explode("rare").alias("word")).distinct()
-        found = looked.join(self.rare, "word").groupBy("digest").agg(F.sort_array(F.collect_list("ratio")).alias("found"))
-        return self._finished(partial.join(found, "digest", "left"), others)
+        partial = materialize(partial.withColumn("__row", F.monotonically_increasing_id()), "partial-figures")
+        # A row and a word move, a row and a ratio come back: neither texts nor lists of words are moved.
+        looked = partial.where("n_rare > 0").select("__row", F.explode("rare").alias("word"))
+        found = looked.join(self.rare, "word").select("__row", "ratio").repartition("__row")
+        found = found.groupBy("__row").agg(F.sort_array(F.collect_list("ratio")).alias("found"))
+        partial = partial.drop("rare")
+        more = partial.where("n_rare > 0").join(found, "__row", "left").drop("__row")
+        none = partial.where("n_rare = 0").drop("__row").withColumn("found", F.expr("CAST(NULL AS array<double>)"))
+        return self._finished(more.unionByName(none), others)
 
     def _finished(self, partial: DataFrame, others: list[str]) -> DataFrame:
         """Rare words that the table does not have are left with the ratio of the backoff."""
@@ -182,16 +186,16 @@ class Model:
             rest = shared.value[1]
             for batch in batches:
                 out = []
-                for n, total, above, top, rare, found, *values in zip(
-                    *(batch[c].to_pylist() for c in ("n", "total", "above", "top", "rare", "found", *others))
+                for n, total, above, top, n_rare, found, *values in zip(
+                    *(batch[c].to_pylist() for c in ("n", "total", "above", "top", "n_rare", "found", *others))
                 ):
-                    more = (found or []) + [rest] * (len(rare or ()) - len(found or ()))
+                    more = (found or []) + [rest] * (n_rare - len(found or ()))
                     out.append((*values, *_five(n, total + math.fsum(more), above + sum(x > 2 for x in more), top + more)))
                 yield out
 
         kept = partial.select(*others).schema
         schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "a double, b double, c double, d double, e double"])
-        return rows(partial.select("n", "total", "above", "top", "rare", "found", *others), work, schema)
+        return rows(partial.select("n", "total", "above", "top", "n_rare", "found", *others), work, schema)
 
 
 def _may_be_rare(words: set[str], ratios: dict[str, float], marked) -> list[str]:

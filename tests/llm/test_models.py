@@ -61,6 +61,18 @@ def test_rare_words_count_as_they_do_on_a_small_table(spark, monkeypatch):
     assert kept == {d for d, _, p in got if not p and d >= 0}
 
 
+def test_lists_of_rare_words_and_rows_without_them_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(toxicity.log_ratios, "__defaults__", (2.0, 0.01))
+    monkeypatch.setattr(toxicity, "SHARE", 0.01)
+    texts = [(i, prose(i, 60) + (f" slur{'abcdefgh'[i % 8]}" if i % 7 == 0 else "")) for i in range(1500)]
+    labels = spark.createDataFrame([(i, 1, int(i % 7 == 0), 0.0, 1) for i in range(1500)], LABELS)
+    scored = toxicity.toxicity(documents(spark, texts), labels)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange" in x and "hashpartitioning" in x]
+    assert moved and not any("digest" in x for x in moved) and "Union" in plan
+    assert sum(r["predicted"] for r in scored.collect()) == len(range(0, 1500, 7))
+
+
 def test_awkward_rows_and_missing_labels(spark):
     docs, none = awkward(spark), spark.createDataFrame([], LABELS)
     odd = spark.createDataFrame([(1, 1, 1, 0.0, 1), (None, 1, 1, 0.0, 1), (3, None, None, 0.0, 1), (99, 1, 0, 0.0, 1), (1, 1, 0, 0.0, 1)], LABELS)
