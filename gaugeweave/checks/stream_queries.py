@@ -16,7 +16,7 @@ from gaugeweave.operators.alerts import evaluate_wide
 from gaugeweave.operators.delta import rates
 from gaugeweave.operators.report import inputs_of, report
 from gaugeweave.operators.states import averages
-from gaugeweave.session import scratch_dir
+from gaugeweave.session import materialize, scratch_dir
 from gaugeweave.plans.collection import CollectionRun
 from gaugeweave.sources.tables import read_table
 from gaugeweave.streaming.alerts import EpisodeStep
@@ -43,22 +43,28 @@ def event_stream(spark, sf, columns=()):
     return events.selectExpr(f"{HOST} AS host", "event_id AS id", "ts", *picked)
 
 
+def arrivals(spark, rows, part, batches):
+    """The rows of each part as files that arrive together, one micro-batch. All tasks write them, and all can read them."""
+    path, files = scratch_dir(spark, "arrivals"), spark.sparkContext.defaultParallelism
+    for i in range(batches):
+        folder = f"{path}/{i}"
+        rows.where(part == i).repartition(files, "id").write.parquet(folder)
+        # A batch is a number of files: files without rows stand for tasks that had none.
+        for _ in range(files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return read_files(spark, f"{path}/*", rows.schema, files_per_batch=files)
+
+
 def staged(spark, rows):
-    """All rows as files that arrive one after the other, each file one micro-batch."""
-    path = scratch_dir(spark, "arrivals")
+    """All rows in order of their number."""
+    rows = materialize(rows, "arriving")
     low, high = rows.agg(F.min("id"), F.max("id")).first()
-    part = F.least(F.floor((F.col("id") - low) * BATCHES / (high - low + 1)), F.lit(BATCHES - 1))
-    for i in range(BATCHES):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return read_files(spark, path, rows.schema, files_per_batch=1)
+    return arrivals(spark, rows, F.least(F.floor((F.col("id") - low) * BATCHES / (high - low + 1)), F.lit(BATCHES - 1)), BATCHES)
 
 
 def dealt(spark, rows, batches=BATCHES):
-    """All rows in files by hash, each file one micro-batch: neighbours fall into different ones, in no order of number or time."""
-    path = scratch_dir(spark, "arrivals")
-    for i in range(batches):
-        rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).coalesce(1).write.mode("append").parquet(path)
-    return read_files(spark, path, rows.schema, files_per_batch=1)
+    """All rows by hash: neighbours fall into different batches, in no order of number or time."""
+    return arrivals(spark, materialize(rows, "arriving"), F.pmod(F.xxhash64("id"), F.lit(batches)), batches)
 
 
 @FAMILY.add(
@@ -110,11 +116,9 @@ def j3(spark, sf):
 
 def windowed(spark, rows, parts):
     """All windows of rows that are dealt to micro-batches by hash, so that most come behind the clock."""
-    path = scratch_dir(spark, "arrivals")
-    rows.repartition(BATCHES, F.xxhash64("id")).write.parquet(path)
     step = WindowStep(parts, state_table(spark, "clock"), state_table(spark, "opened"), output_table(spark, "closed"),
                       output_table(spark, "late"))
-    each_batch(read_files(spark, path, rows.schema, files_per_batch=1), step, scratch_dir(spark, "state"))
+    each_batch(dealt(spark, rows), step, scratch_dir(spark, "state"))
     return step.every(spark)
 
 
@@ -142,11 +146,9 @@ def j4(spark, sf):
     samples, rolled = scratch_dir(spark, "samples"), scratch_dir(spark, "rolled")
     step = RefreshStep(CAT, METRICS, PARAMS, samples, {HOUR: rolled}, shards=1)
     rows = ev_samples(spark, sf, [*METRICS, *PARAMS])
-    path = scratch_dir(spark, "arrivals")
-    for late in (0, 1):
-        # Odd hours first: the even ones then come late and sit between stored samples.
-        rows.where((F.hour("ts") + 1) % 2 == late).coalesce(1).write.mode("append").parquet(path)
-    each_batch(read_files(spark, path, rows.schema, files_per_batch=1), step, scratch_dir(spark, "state"))
+    # Odd hours first: the even ones then come late and sit between stored samples.
+    stream = arrivals(spark, materialize(rows, "arriving"), (F.hour("ts") + 1) % 2, 2)
+    each_batch(stream, step, scratch_dir(spark, "state"))
     return read_table(spark, rolled)
 
 
