@@ -73,6 +73,20 @@ def test_lists_of_rare_words_and_rows_without_them_are_not_moved(spark, monkeypa
     assert sum(r["predicted"] for r in scored.collect()) == len(range(0, 1500, 7))
 
 
+def test_tasks_receive_as_many_words_as_their_bound_allows(spark, monkeypatch):
+    # None of 150 words has a share of 2e-6 of both classes' counts.
+    counts = [(f"w{i}", 10 + i % 3, 5) for i in range(150)] + [("once", 1, 2), ("the", 9_000_000, 4_000_000)]
+    counts = spark.createDataFrame(counts, "word string, ordinary long, toxic long")
+    ratios, rest = toxicity.log_ratios(counts)
+    assert len(ratios.hashes) == 151 and toxicity.rare_ratios(counts).isEmpty() and "once" not in ratios
+    assert not toxicity.Model(counts).any_rare
+    monkeypatch.setattr(toxicity, "TASK_WORDS", 120)
+    few, same = toxicity.log_ratios(counts)
+    rare = {r["word"]: r["ratio"] for r in toxicity.rare_ratios(counts).collect()}
+    assert same == rest and "the" in few and len(few.hashes) <= 120 and len(few.hashes) + len(rare) == 151
+    assert all(rare[w] == pytest.approx(ratios.get(w)) and w not in few for w in rare)
+
+
 def test_awkward_rows_and_missing_labels(spark):
     docs, none = awkward(spark), spark.createDataFrame([], LABELS)
     odd = spark.createDataFrame([(1, 1, 1, 0.0, 1), (None, 1, 1, 0.0, 1), (3, None, None, 0.0, 1), (99, 1, 0, 0.0, 1), (1, 1, 0, 0.0, 1)], LABELS)
