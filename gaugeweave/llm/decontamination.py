@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeweave.llm.shingles import WordHashes, windows
-from gaugeweave.llm.tables import columns, in_bitmap, marks, rows
+from gaugeweave.llm.tables import columns, in_bitmap, marks, rows, without
 from gaugeweave.session import materialize
 
 SEED, SEGMENT, LONG, STRIDE, BLOCK = 3, 96, 64, 32, 64
@@ -170,4 +170,4 @@ def contamination(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOL
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that align with no test item; rows without id stay."""
     bad = materialize(contamination(docs, bench).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    return without(docs, docs["doc_id"], bad)

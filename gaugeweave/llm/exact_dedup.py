@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeweave.llm.tables import columns, rows
+from gaugeweave.llm.tables import columns, rows, without
 from gaugeweave.session import materialize
 
 RUN_BITS, ROUND_BITS = 12, 4
@@ -103,7 +103,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     dropped = found.where("NOT kept").selectExpr("doc_id AS __id", "text_sha256 AS __sha").distinct()
     again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").selectExpr("doc_id AS __id").distinct()
     dropped, again = materialize(dropped, "dropped"), materialize(again, "repeated")
-    once = docs.join(dropped.where("__id IS NOT NULL").select("__id").distinct(), docs["doc_id"] == F.col("__id"), "left_anti")
+    once = without(docs, docs["doc_id"], dropped.where("__id IS NOT NULL").select("__id").distinct())
     if again.isEmpty() and dropped.where("__id IS NULL").isEmpty() and not _split_ids(found):
         return once
     return _row_by_row(docs, found)

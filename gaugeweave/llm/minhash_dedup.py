@@ -28,7 +28,7 @@ from pyspark.sql import Window
 
 from gaugeweave.llm.components import components
 from gaugeweave.llm.shingles import WordHashes, mixed, shingle_set, words_of
-from gaugeweave.llm.tables import bitmap, bitmap_position, columns, in_bitmap, rows
+from gaugeweave.llm.tables import bitmap, bitmap_position, columns, in_bitmap, rows, without
 from gaugeweave.session import materialize
 
 COLLECTIONS, EACH, MARKS = 14, 3, 16
@@ -262,4 +262,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """The documents without near copies; of each group the one with the smallest id stays, rows without id too."""
     found = near_duplicates(docs, words, percent)
     dropped = materialize(found.where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    return without(docs, docs["doc_id"], dropped)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITMAP_WORDS = 1 << 18  # 2^24 bits, 2 MB whatever the input
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,20 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select([df[f"`{source}`"].alias(name) for name, source in wanted.items()])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at 4 MB too, not only at 10,000 rows of any length, unless the session has its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def rows(df: DataFrame, work: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """``work(iterator of Arrow batches)`` yields lists of result rows; they are passed on in batches.
 
     Nothing is held beyond one input batch and the rows that ``work`` has yielded for it.
     """
     target = to_arrow(df.sparkSession, schema)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for result in work(batches):
@@ -50,6 +59,7 @@ def with_columns(df: DataFrame, work: Callable[[pa.RecordBatch], list[pa.Array]]
     kept = df.drop(*added.names)
     whole = StructType(kept.schema.fields + added.fields)
     target = to_arrow(df.sparkSession, schema)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,13 +99,35 @@ def marks(places: DataFrame) -> np.ndarray:
     The size does not depend on the number of rows; with very many rows every bit is set and the filter lets all
     pass. It only saves moving rows that a later exact join would discard.
     """
-    words = places.selectExpr("CAST(shiftright(at, 6) AS INT) AS word", "shiftleft(1L, CAST(at & 63 AS INT)) AS bits")
-    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = _bits(places).toArrow()
     out = np.zeros(BITMAP_WORDS, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 
+def _bits(places: DataFrame) -> DataFrame:
+    words = places.selectExpr("CAST(shiftright(at, 6) AS INT) AS word", "shiftleft(1L, CAST(at & 63 AS INT)) AS bits")
+    return words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in the single column of ``gone``; a null key stays.
+
+    Only rows that a bitmap of ``gone`` lets pass move to be compared, and most of those are dropped. The others, and
+    so their texts, stay in their tasks; they would all move once ``gone`` is too large for a broadcast.
+    """
+    (name,) = gone.columns
+    gone = gone.select(F.col(name).alias("__gone"))
+    # The bitmap as a table of 2^18 rows at most.
+    bits = _bits(gone.select(bitmap_position(F.col("__gone")).alias("at"))).toDF("__word", "__bits")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    marked = df.withColumns({"__key": key, "__at": bitmap_position(key)})
+    marked = marked.join(F.broadcast(bits), F.expr("CAST(shiftright(__at, 6) AS INT) = __word"), "left")
+    hit = F.expr("coalesce(shiftrightunsigned(__bits, CAST(__at & 63 AS INT)) & 1 = 1, false)")
+    compared = marked.where(hit).join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    return marked.where(~hit).select(own).union(compared.select(own))
+
+
 def bitmap_position(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITMAP_WORDS * 64))
 

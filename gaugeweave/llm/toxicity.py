@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeweave.llm.tables import BITMAP_WORDS, bitmap, bitmap_position, columns, fold, held_out, in_bitmap, rows
+from gaugeweave.llm.tables import BITMAP_WORDS, bitmap, bitmap_position, columns, fold, held_out, in_bitmap, rows, without
 from gaugeweave.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -328,7 +328,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = docs.select(_digest(docs["text"]).alias("key"), docs["text"].alias("text"))
     scored = _scores(texts, *fit(learned, columns(labels, doc_id="doc_id", toxic="toxic")))
     bad = materialize(scored.where("score >= 0.5").select(F.col("key").alias("__bad")).distinct(), "toxic-texts")
-    return docs.join(bad, _digest(docs["text"]) == bad["__bad"], "left_anti")
+    return without(docs, _digest(docs["text"]), bad)
 
 
 def _digest(text):
