@@ -66,9 +66,11 @@ def pivot(rows: DataFrame, names: Sequence[str], cat: MetricCatalog, types: Mapp
     kind = {n: (types or {}).get(n) or cat.type_of(n) for n in names}
     name, value = F.col("name"), F.col("value")
     # Whole numbers of 64 bits are read as such; only the few wide metrics pay for decimals.
+    wide = [n for n in names if kind[n] != "long"]
     number = {"long": normalize_value(name, value, "long").alias("_long")}
-    if any(k != "long" for k in kind.values()):
-        number["decimal(20,0)"] = normalize_value(name, value).alias("_decimal")
+    if wide:
+        number["long"] = F.when(~name.isin(*wide), normalize_value(name, value, "long")).alias("_long")
+        number["decimal(20,0)"] = F.when(name.isin(*wide), normalize_value(name, value)).alias("_decimal")
     source = {"long": "_long", "decimal(20,0)": "_decimal"}
     valued = rows.where(name.isin(*names)).select(*SNAPSHOT_KEYS, "name", *number.values())
     picked = [F.max(F.when(F.col("name") == n, F.col(source[kind[n]]))).alias(n) for n in names]
@@ -85,7 +87,10 @@ def observed(rows: DataFrame, cat: MetricCatalog, limit: int = OBSERVED_LIMIT) -
     ``limit`` of them are an error, not cut off. A listed gauge is signed. Any other metric is unsigned: it is a long
     until a value beyond 2^63 - 1 is seen, then it has twenty digits.
     """
-    large = normalize_value(F.col("name"), F.col("value")) > F.lit((1 << 63) - 1).cast("decimal(20,0)")
+    value = F.col("value")
+    # Without an exponent a number beyond 2^63 - 1 has nineteen digits; other texts need not be read.
+    may_be = (F.length(value) >= 19) | F.contains(F.lower(value), F.lit("e"))
+    large = F.when(may_be, normalize_value(F.col("name"), value) > F.lit((1 << 63) - 1).cast("decimal(20,0)"))
     seen = rows.groupBy("name").agg(F.coalesce(F.bool_or(large), F.lit(False)).alias("wide")).orderBy("name").limit(limit + 1).collect()
     if len(seen) > limit:
         raise ValueError(f"more than {limit} names of variables")

@@ -95,3 +95,22 @@ def test_observed_names_become_columns_with_their_types(spark):
     with pytest.raises(ValueError, match="more than 2"):
         observed(wanted(raw, cat), cat, limit=2)
     assert observed(wanted(raw.limit(0), cat), cat) == {}
+
+
+def test_only_wide_metrics_are_read_as_decimals(spark):
+    from gaugeweave.catalog import MetricCatalog
+    from gaugeweave.sources.snapshots import observed, snapshot_to_samples, wanted
+
+    cat = MetricCatalog()
+    values = {"by_digits": "9223372036854775808", "by_exponent": "1E19", "last_long": "9223372036854775807", "word": "ON", "none": None, "text": "never"}
+    raw = spark.createDataFrame(
+        [("h", 1, None, "status", n, v) for n, v in values.items()],
+        "host string, snapshot_id long, ts timestamp_ntz, kind string, name string, value string")
+    wide = {"by_digits", "by_exponent"}
+    assert observed(wanted(raw, cat), cat) == {n: "decimal(20,0)" if n in wide else "long" for n in sorted(values)}
+    samples = snapshot_to_samples(raw, cat, expected=[])
+    (row,) = samples.collect()
+    got = {n: row[n] for n in values}
+    assert got == {"by_digits": 2**63, "by_exponent": 10**19, "last_long": 2**63 - 1, "word": 1, "none": None, "text": None}
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN name#" in plan.split(" AS _decimal")[0].rsplit(" AS _long", 1)[1]
